@@ -12,6 +12,37 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _held(modulus: int, remainder: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == remainder
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document from a linear-chain field over its lines."""
+    from strandlake.llm import line_crf
+
+    docs = _read(spark, sf_dir, "documents")
+    model = line_crf.fit(docs, _read(spark, sf_dir, "labels"))
+    return line_crf.classify(docs, model).select(
+        "doc_id", _held(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def op5_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from strandlake.llm.page_diff import extract
+
+    return extract(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by cross-parsing against suffix automata."""
+    from strandlake.llm import language_id
+
+    docs = _read(spark, sf_dir, "documents")
+    found = language_id.classify(docs, language_id.fit(docs))
+    return found.select("doc_id", _held(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have a similarity of 0.8 or more."""
     from strandlake.llm.near_dedup import near_duplicates
@@ -30,8 +61,23 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document from a learnt lexicon."""
+    from strandlake.llm import toxicity
+
+    docs = _read(spark, sf_dir, "documents")
+    lexicon = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
+    return toxicity.classify(docs, lexicon).select(
+        "doc_id", _held(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
+    "op5_page_differencing": op5_page_differencing,
+    "op6_language_id": op6_language_id,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_decontaminate": op8_decontaminate,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
