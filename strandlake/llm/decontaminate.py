@@ -22,11 +22,10 @@ import json
 import math
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.flat import batches, text_list
+from strandlake.llm.flat import appended
 
 #: Window text of one automaton, in characters; about 40 bytes of memory each at most.
 BLOCK_CHARS = 8_000_000
@@ -101,44 +100,36 @@ _built: dict[str, ahocorasick.Automaton] = {}
 
 
 def _scanner(shared, name: str, size: int, spans: bool):
-    def run(frames):
+    def make(texts):
         if name not in _built:
             _built.clear()
             _built[name] = build(json.loads(shared.value), size)
-        automaton = _built[name]
-        for part in batches(frames):
-            out = []
-            for text in text_list(part["text"]):
-                words = normal_words(text)
-                ranges, found = scan(automaton, words)
-                places = []
-                if spans and ranges:
-                    where = word_spans(text)
-                    places = [{"start": where[a][0], "end": where[b - 1][1]} for a, b in ranges]
-                out.append((len(words), [x for r in ranges for x in r], sorted(found), places))
-            yield pd.DataFrame({
-                "row_id": part["row_id"].to_numpy(), "doc_id": part["doc_id"].to_numpy(),
-                "n_words": [x[0] for x in out], "ranges": [x[1] for x in out], "items": [x[2] for x in out],
-                "spans": [x[3] for x in out],
-            })
-
-    return run
+        out = {"n_words": [], "ranges": [], "items": [], "spans": []}
+        for text in texts:
+            words = normal_words(text)
+            ranges, found = scan(_built[name], words)
+            where = word_spans(text) if spans and ranges else []
+            out["n_words"].append(len(words))
+            out["ranges"].append([{"a": a, "b": b} for a, b in ranges])
+            out["items"].append(sorted(found))
+            out["spans"].append([{"start": where[a][0], "end": where[b - 1][1]} for a, b in ranges] if where else [])
+        return out
+
+    return make
 
 
 _SCHEMA = (
-    "row_id long, doc_id long, n_words long, ranges array<long>, items array<string>, "
-    "spans array<struct<start: long, end: long>>"
+    "n_words long, ranges array<struct<a: long, b: long>>, items array<string>, spans array<struct<start: long, end: long>>"
 )
 
 
-
-
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, size: int = 10, spans: bool = True, block_chars: int = BLOCK_CHARS
+    docs: DataFrame, benchmark: DataFrame, size: int = 10, spans: bool = True, block_chars: int = BLOCK_CHARS,
+    keep_text: bool = False,
 ) -> DataFrame:
-    """Matches of benchmark windows in every row of ``docs`` (doc_id, text).
+    """Matches of benchmark windows in every row of ``docs`` (text and any other columns).
 
-    Returns doc_id, n_words, n_hit (words inside any match), items (sorted ids),
+    Returns the other columns of ``docs`` (and its text with ``keep_text``), n_words, n_hit (words inside any match), items (sorted ids),
     spans (character offsets in the original text, per block of items merged)
     and contaminated.
     """
@@ -147,34 +138,28 @@ def find_leaks(
     bench = bench.where("item_id is not null and text is not null")
     total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total * size / block_chars))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.withColumn("row_id", F.monotonically_increasing_id() if blocks > 1 else F.lit(0).cast("long"))
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    if blocks > 1:
+        rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    others = [c for c in rows.columns if c != "text" or keep_text]
     parts = []
     for block in range(blocks):
         mine = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         items = json.dumps(sorted((r[0], r[1]) for r in mine.toLocalIterator()))
         name = hashlib.sha256(f"{size}\n{items}".encode()).hexdigest()
         shared = spark.sparkContext.broadcast(items)
-        parts.append(texts.mapInPandas(_scanner(shared, name, size, spans), _SCHEMA))
+        parts.append(appended(rows, "text", _scanner(shared, name, size, spans), _SCHEMA, drop=not keep_text))
     found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
     if blocks > 1:
-        found = found.groupBy("row_id").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-            F.flatten(F.collect_list("ranges")).alias("ranges"),
-            F.flatten(F.collect_list("items")).alias("items"),
-            F.flatten(F.collect_list("spans")).alias("spans"),
-        )
-    pairs = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size("ranges")), lambda i: (i % 2 == 0) & (i < F.size("ranges"))),
-        lambda i: F.struct(
-            F.element_at("ranges", (i + 1).cast("int")).alias("a"), F.element_at("ranges", (i + 2).cast("int")).alias("b")
-        ),
-    )
+        more = parts[0]
+        for part in parts[1:]:
+            more = more.unionByName(part)
+        together = [F.first(c).alias(c) for c in (*others, "n_words") if c != "_row"]
+        together += [F.flatten(F.collect_list(c)).alias(c) for c in ("ranges", "items", "spans")]
+        found = more.groupBy("_row").agg(*together).drop("_row")
     state = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("reach"))
     hit = F.aggregate(
-        F.array_sort(pairs), state,
+        F.array_sort("ranges"), state,
         lambda s, r: F.struct(
             (s["total"] + F.greatest(F.lit(0), r["b"] - F.greatest(r["a"], s["reach"]))).alias("total"),
             F.greatest(s["reach"], r["b"]).alias("reach"),
@@ -182,6 +167,6 @@ def find_leaks(
         lambda s: s["total"],
     )
     return found.select(
-        "doc_id", "n_words", F.when(F.size("ranges") == 0, F.lit(0).cast("long")).otherwise(hit).alias("n_hit"),
-        F.array_sort("items").alias("items"), "spans", (F.size("items") > 0).alias("contaminated"),
+        *[c for c in others if c != "_row"], "n_words", hit.alias("n_hit"), F.array_sort("items").alias("items"), "spans",
+        (F.size("items") > 0).alias("contaminated"),
     )

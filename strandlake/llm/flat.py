@@ -4,6 +4,11 @@ done by array operations instead of Python loops."""
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _U = np.uint64
 #: Odd multiplier of the polynomial hash, its inverse modulo 2^64, and the mixing constants of splitmix64.
@@ -74,19 +79,40 @@ class Flat:
         return mix(value + (self.ends - self.starts).astype(_U))
 
 
-def batches(frames, column: str = "text", chars: int = 4_000_000):
-    """Cut pandas frames into pieces whose texts hold about ``chars`` characters,
+def pieces(batch, column: str, chars: int = 4_000_000):
+    """Cut an Arrow batch into slices whose strings hold about ``chars`` bytes,
     so that memory does not depend on how long texts are."""
-    for frame in frames:
-        if not len(frame):
-            continue
-        sizes = frame[column].map(lambda t: len(t) if isinstance(t, str) else 0).to_numpy()
-        piece = np.cumsum(sizes) // chars
-        edges = np.flatnonzero(np.diff(piece)) + 1
-        for a, b in zip([0, *edges], [*edges, len(frame)], strict=True):
-            yield frame.iloc[a:b]
-
-
-def text_list(series) -> list:
-    """Strings of a pandas column, None for whatever is missing."""
-    return [t if isinstance(t, str) else None for t in series]
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    piece = np.cumsum(sizes.astype(np.int64)) // chars
+    edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
+def appended(df: DataFrame, column: str, make, ddl: str, drop: bool = True) -> DataFrame:
+    """Add the columns of ``ddl``, computed from a string column, to every row.
+
+    ``make`` takes the list of strings (None for null) of a piece of a batch and
+    returns a dict of columns; it runs in Python workers. Other columns pass
+    through as Arrow data, so ids keep their exact values beside nulls. With
+    ``drop`` the string column itself is not returned.
+    """
+    new = T.StructType.fromDDL(ddl)
+    kept = [f for f in df.schema.fields if not (drop and f.name == column)]
+    clash = {f.name for f in kept} & set(new.names)
+    if clash:
+        raise ValueError(f"columns already there: {sorted(clash)}")
+    types = to_arrow_schema(new)
+    names = [f.name for f in kept]
+
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch, column):
+                made = make(piece.column(column).to_pylist())
+                arrays = [piece.column(n) for n in names]
+                arrays += [pa.array(made[f.name], type=f.type) for f in types]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, *types.names])
+
+    return df.mapInArrow(run, T.StructType([*kept, *new.fields]))

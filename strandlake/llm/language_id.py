@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.flat import batches, text_list
+from strandlake.llm.flat import appended
 from strandlake.llm.sampling import fold
 
 #: Characters of training text per language, the largest alphabet, and characters of a lane.
@@ -205,21 +205,15 @@ def samples_of(docs: DataFrame, modulus: int, held_out: int, docs_per_language:
     return out
 
 
-def _classifier(shared):
-    def run(frames):
-        model = shared.value  # loaded once per Python worker
-        for part in batches(frames):
-            names, scores = model.predict(text_list(part["text"]))
-            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "lang_pred": names, "score": scores})
-
-    return run
+def classify(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+    """Adds lang_pred and score to the columns of ``docs``; the text goes unless ``keep_text``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def make(texts):
+        names, scores = shared.value.predict(texts)
+        return {"lang_pred": names, "score": scores}
 
-def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row of ``docs`` (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInPandas(_classifier(shared), "doc_id long, lang_pred string, score double")
+    return appended(docs, "text", make, "lang_pred string, score double", drop=not keep_text)
 
 
 def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2) -> Model:

@@ -19,11 +19,9 @@ score 0.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from strandlake.llm.flat import Flat, batches, text_list
+from strandlake.llm.flat import Flat, appended
 
 _U = np.uint64
 
@@ -246,24 +244,15 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2)
     return LineField().fit(list(rows["text"]), rows["label"].to_numpy(dtype=np.int64))
 
 
-def _scorer(shared, lines: bool):
-    def run(frames):
-        model = shared.value
-        for part in batches(frames):
-            score, marginals = model.score(text_list(part["text"]))
-            out = {"doc_id": part["doc_id"].to_numpy(), "score": score}
-            if lines:
-                out["bad_lines"] = [m.tolist() for m in marginals]
-            yield pd.DataFrame(out)
-
-    return run
-
-
-def classify(docs: DataFrame, model: LineField, lines: bool = False) -> DataFrame:
-    """(doc_id, score[, bad_lines]) of every row of ``docs`` (doc_id, text).
+def classify(docs: DataFrame, model: LineField, lines: bool = False, keep_text: bool = False) -> DataFrame:
+    """Adds score (and bad_lines) to the columns of ``docs``; the text goes unless ``keep_text``.
 
     ``bad_lines`` holds the marginal of being bad of each line that has a word.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInPandas(_scorer(shared, lines), "doc_id long, score double" + ", bad_lines array<double>" * lines)
+
+    def make(texts):
+        score, marginals = shared.value.score(texts)
+        return {"score": score, "bad_lines": [m.tolist() for m in marginals] if lines else None}
+
+    return appended(docs, "text", make, "score double" + ", bad_lines array<double>" * lines, drop=not keep_text)

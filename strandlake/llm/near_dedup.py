@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.flat import batches, mix, text_list
+from strandlake.llm.flat import appended, mix
 from strandlake.llm.shingles import distinct_shingles
 from strandlake.llm.superminhash import signatures
 from strandlake.plans.components import connected_components
@@ -47,23 +47,17 @@ SLACK = 0.14
 
 
 def _sketch(width: int, bands: int, rows: int):
-    def run(frames):
-        for part in batches(frames):
-            texts = text_list(part["text"])
-            doc, value = distinct_shingles(texts, width)
-            size = np.bincount(doc, minlength=len(texts))
-            sig = signatures(doc, value, len(texts), bands * rows)
-            prints = []
-            for salt in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
-                total = np.zeros(len(texts), dtype=_U)
-                np.add.at(total, doc, mix(value ^ _U(salt)))
-                prints.append(total.view(np.int64))
-            yield pd.DataFrame({
-                "doc_id": part["doc_id"].to_numpy(), "n_shingles": size, "f1": prints[0], "f2": prints[1],
-                "sig": [s.tobytes() for s in sig],
-            })
+    def make(texts):
+        doc, value = distinct_shingles(texts, width)
+        out = {"n_shingles": np.bincount(doc, minlength=len(texts))}
+        out["sig"] = [s.tobytes() for s in signatures(doc, value, len(texts), bands * rows)]
+        for name, salt in (("f1", 0x2545F4914F6CDD1D), ("f2", 0x9FB21C651E98DF25)):
+            total = np.zeros(len(texts), dtype=_U)
+            np.add.at(total, doc, mix(value ^ _U(salt)))
+            out[name] = total.view(np.int64)
+        return out
 
-    return run
+    return make
 
 
 def _find(up: list[int], i: int) -> int:
@@ -171,9 +165,7 @@ def near_duplicates(
     is named after its smallest id, whose row is the one ``kept``.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = cut(
-        texts.mapInPandas(_sketch(width, bands, rows), "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
-    )
+    sketch = cut(appended(texts, "text", _sketch(width, bands, rows), "n_shingles long, f1 long, f2 long, sig binary"))
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     copies = cut(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     reps = (

@@ -23,11 +23,9 @@ import unicodedata
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from strandlake.llm.flat import batches, text_list
+from strandlake.llm.flat import appended
 
 #: Training: at most this many documents of each class, and characters in total.
 TRAIN_PER_CLASS, TRAIN_CHARS = 3000, 12_000_000
@@ -241,21 +239,12 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0)
     return learn(list(rows["text"]), rows["label"].to_numpy(dtype=np.int64))
 
 
-def _scorer(shared, terms: bool):
-    def run(frames):
-        lexicon = shared.value
-        for part in batches(frames):
-            texts = text_list(part["text"])
-            out = {"doc_id": part["doc_id"].to_numpy(), "score": lexicon.score(texts)}
-            if terms:
-                out["terms"] = [[h[2] for h in lexicon.matches(t)[0]] for t in texts]
-            yield pd.DataFrame(out)
-
-    return run
+def classify(docs: DataFrame, lexicon: Lexicon, terms: bool = False, keep_text: bool = False) -> DataFrame:
+    """Adds score (and the terms matched) to the columns of ``docs``; the text goes unless ``keep_text``."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
+    def make(texts):
+        found = [[h[2] for h in shared.value.matches(t)[0]] for t in texts] if terms else None
+        return {"score": shared.value.score(texts), "terms": found}
 
-def classify(docs: DataFrame, lexicon: Lexicon, terms: bool = False) -> DataFrame:
-    """(doc_id, score[, terms matched]) of every row of ``docs`` (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInPandas(_scorer(shared, terms), "doc_id long, score double" + ", terms array<string>" * terms)
+    return appended(docs, "text", make, "score double" + ", terms array<string>" * terms, drop=not keep_text)
