@@ -1,12 +1,425 @@
-"""Registered queries over the sequence operators, and their SQL."""
+"""Registered queries over the sequence operators, and their SQL.
+
+Every query runs over whole tables: reads are derived from all texts (see
+:mod:`strandlake.plans.bridge`).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandlake.functions import codec, quality
+from strandlake.operators import demux, dictionary, explore, graph, kmers, overlap, paired
+from strandlake.plans.bridge import ADAPTORS_SQL, QUALITY_SQL, READS_SQL, adaptors, reads
+from strandlake.plans.shipping import ship
+from strandlake.sources.sinks import fastq_records, kmer_table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
 
 
 def top_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The 20 most frequent 10-mers."""
+    return kmers.top_kmers(reads(spark, sf_dir), 10, 20).select(F.col("id").cast("long").alias("id"), "label", "count")
+
+
+def kmer_count(spark, sf_dir):
+    """Count, code and decoded label of every 10-mer."""
+    rows = kmers.kmer_counts(reads(spark, sf_dir), 10)
+    return rows.select(F.col("id").cast("long").alias("id"), "label", "count", codec.decode("id", 10).alias("decoded"))
+
+
+def kmer_quality(spark, sf_dir):
+    """Count, mean and deviation of quality, and accuracy of every 10-mer."""
+    rows = kmers.kmer_statistics(reads(spark, sf_dir, quality=True), 10)
+    return rows.select(
+        "label", "count", *[F.round(c, 9).alias(c) for c in ("mean_qual", "sd_qual", "accuracy")]
+    )
+
+
+def kmer_table_csv(spark, sf_dir):
+    """The k-mer table as it is written (K1)."""
+    rows = kmer_table(kmers.kmer_counts(reads(spark, sf_dir), 8))
+    return rows.select(F.col("ID").cast("long").alias("id"), "label", "count")
+
+
+def kmer_compat(spark, sf_dir):
+    """10-mers counted with the fixed quirks of windows near bad bases (compatible mode of X1)."""
+    return kmers.kmer_counts(reads(spark, sf_dir), 10, compat=True).select("label", "count")
+
+
+def kmer_variability(spark, sf_dir):
+    """Number of distinct k-mers by k (A2)."""
+    return kmers.kmer_variability(reads(spark, sf_dir), [1, 2, 4, 8, 12, 16, 24, 32]).select(F.col("k").cast("long").alias("k"), "n_kmers")
+
+
+def kmer_positions(spark, sf_dir):
+    """Positions of each 20-mer, as count and sum."""
+    rows = kmers.collected(reads(spark, sf_dir), 20)
+    return rows.select("label", F.size("positions").cast("long").alias("n"), F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+def prefix_kmer_count(spark, sf_dir):
+    """10-mers in the first 12 bases (X2, B)."""
+    return kmers.kmer_counts(reads(spark, sf_dir), 10, prefix=12).select("label", "count")
+
+
+def wide_codes(spark, sf_dir):
+    """Codes of all 32-mers as unsigned decimals, summed by first base (F1 wide, F4)."""
+    rows = kmers.windows(reads(spark, sf_dir), 32)
+    per = rows.groupBy(F.substring("kmer", 1, 1).alias("first"))
+    return per.agg(F.count("*").alias("n"), F.max(codec.encode("kmer", wide=True)).cast("string").alias("largest"))
+
+
+def read_errors(spark, sf_dir):
+    """First bad base of each read."""
+    return kmers.read_errors(reads(spark, sf_dir, quality=True)).select(
+        "read_id", F.col("len").cast("long").alias("len"), F.col("rec").cast("long").alias("rec"), "symb", F.col("qual").cast("long").alias("qual")
+    )
+
+
+def pattern_quality(spark, sf_dir):
+    """Mean quality of every occurrence of one pattern."""
+    rows = kmers.pattern_qualities(reads(spark, sf_dir, quality=True), "TTGCA")
+    return rows.select("read_id", F.col("pos").cast("long").alias("pos"), F.round("qual", 6).alias("qual"))
+
+
+def reverse_complement(spark, sf_dir):
+    """Reverse complement of every read."""
+    return reads(spark, sf_dir).select("read_id", codec.reverse_complement("sequence").alias("rc"))
+
+
+def read_quality(spark, sf_dir):
+    """Mean, deviation and accuracy of whole reads."""
+    p = quality.phred("quality")
+    return reads(spark, sf_dir, quality=True).select(
+        "read_id", F.round(quality.adjusted_mean("quality"), 6).alias("mean"), F.round(quality.adjusted_sd("quality"), 6).alias("sd"),
+        F.round(quality.accuracy(p), 9).alias("accuracy"),
+    )
+
+
+def alignment_probability(spark, sf_dir):
+    """Probability of up to 10 mismatches and 5 indels."""
+    grid = spark.range(66).select((F.col("id") % 11).alias("m"), F.floor(F.col("id") / 11).alias("i"))
+    return grid.select("m", "i", F.round(quality.alignment_probability("m", "i"), 9).alias("p"))
+
+
+def barcode_frequency(spark, sf_dir):
+    """Reads per barcode found in the first 15 bases."""
+    return dictionary.barcode_counts(reads(spark, sf_dir), adaptors(spark, sf_dir))
+
+
+def adaptor_assign(spark, sf_dir):
+    """Reads per adaptor anywhere in the read, zeros and the rest included."""
+    return dictionary.adaptor_counts(reads(spark, sf_dir), adaptors(spark, sf_dir))
+
+
+def adaptor_windows(spark, sf_dir):
+    """Assignments once per matching window (J7 compatible)."""
+    rows = dictionary.assign(reads(spark, sf_dir), adaptors(spark, sf_dir), every_window=True)
+    return rows.groupBy("read_id", "adaptor_idx").agg(F.count("*").alias("n"))
+
+
+def adaptor_unmatched(spark, sf_dir):
+    """Reads without an adaptor."""
+    rows = reads(spark, sf_dir)
+    return dictionary.unmatched(rows, dictionary.assign(rows, adaptors(spark, sf_dir))).select("read_id")
+
+
+def set_intersection(spark, sf_dir):
+    """Distinct prefix 8-mers that also are adaptors."""
+    left = kmers.windows(reads(spark, sf_dir), 8, prefix=12).select("kmer").distinct()
+    return dictionary.intersects(left, adaptors(spark, sf_dir).select(F.col("bases").alias("kmer")))
+
+
+def overlap_pairs(spark, sf_dir):
+    """Pairs of reads that share a 31-mer."""
+    return overlap.shared_kmer_pairs(reads(spark, sf_dir), 31)
+
+
+def overlap_degree(spark, sf_dir):
+    """Partners of every read."""
+    rows = reads(spark, sf_dir)
+    return overlap.overlap_degree(rows, overlap.shared_kmer_pairs(rows, 31))
+
+
+def _prefix_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs of different sequences among reads of one 24-base prefix, tied to the smallest read."""
+    keyed = rows.where(F.length("sequence") >= 24).withColumn("_key", F.substring("sequence", 1, 24))
+    heads = keyed.groupBy("_key").agg(F.min("read_id").alias("read1"))
+    return keyed.join(heads, "_key").where("read1 <> read_id").select("read1", F.col("read_id").alias("read2"))
+
+
+def nw_score(spark, sf_dir):
+    """Alignment scores of reads with the first read of their prefix."""
+    rows = reads(ship(spark), sf_dir)
+    return overlap.pair_scores(_prefix_pairs(rows), rows)
+
+
+def nw_score_paired(spark, sf_dir):
+    """The same with the costs of the paired aligner."""
+    rows = reads(ship(spark), sf_dir)
+    return overlap.pair_scores(_prefix_pairs(rows), rows, gap=25, mismatch=13)
+
+
+def overlap_scores(spark, sf_dir):
+    """Alignment, overlap and its score for the same pairs."""
+    rows = reads(ship(spark), sf_dir)
+    return overlap.overlaps(_prefix_pairs(rows), rows)
+
+
+def _edges(spark, sf_dir) -> DataFrame:
+    """Edges of the prefix pairs with the edit distance as weight."""
+    rows = reads(spark, sf_dir)
+    both = overlap._with_sequences(_prefix_pairs(rows), rows)
+    return both.select(F.col("read1").alias("src"), F.col("read2").alias("dst"), F.levenshtein("seq1", "seq2").cast("long").alias("distance"))
+
+
+def edge_clusters(spark, sf_dir):
+    """Single-linkage clusters at a cutoff, with the distance to the seed."""
+    edges = _edges(spark, sf_dir)
+    return graph.with_seed_distance(graph.linkage_clusters(edges, 60), edges)
+
+
+def cluster_sizes(spark, sf_dir):
+    """Sizes of those clusters."""
+    return graph.component_sizes(graph.linkage_clusters(_edges(spark, sf_dir), 60))
+
+
+def demux_clusters(spark, sf_dir):
+    """Components of reads that share a prefix 10-mer."""
+    return demux.demux_clusters(reads(spark, sf_dir)).select(F.col("node").alias("read_id"), "component")
+
+
+def demux_sizes(spark, sf_dir):
+    """Size of every such component (K7)."""
+    return graph.component_sizes(demux.demux_clusters(reads(spark, sf_dir)))
+
+
+def demux_reads(spark, sf_dir):
+    """Bucket of every read at a threshold of 20."""
+    rows = reads(spark, sf_dir)
+    return demux.demux_reads(rows, demux.demux_clusters(rows), 20).select("read_id", "bucket")
+
+
+def demux_fastq(spark, sf_dir):
+    """Records as the FASTQ sink writes them, counted by bucket (K8)."""
+    rows = reads(spark, sf_dir, quality=True).withColumn("identifier", F.concat(F.lit("@r"), F.col("read_id").cast("string")))
+    made = fastq_records(demux.demux_reads(rows, demux.demux_clusters(rows), 20))
+    return made.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"))
+
+
+def bucket_barcodes(spark, sf_dir):
+    """Most frequent prefix 9-mer of each bucket (A14 per cluster)."""
+    rows = reads(spark, sf_dir)
+    return demux.top_barcodes(rows, demux.cluster_buckets(demux.demux_clusters(rows), 20))
+
+
+def percent_range_filter(spark, sf_dir):
+    """K-mers strictly within percentages of the ranges of count and mean quality."""
+    stats = kmers.kmer_statistics(reads(spark, sf_dir, quality=True), 6).withColumn("mean_qual", F.round("mean_qual", 6))
+    found = explore.percent_range_filter(stats, {"count": (1, 60), "mean_qual": (10, 90)})
+    return found.select("label", "count", "mean_qual")
+
+
+def length_histogram(spark, sf_dir):
+    """Histogram of read lengths in bins of 10."""
+    return explore.histogram(reads(spark, sf_dir).withColumn("n", F.length("sequence")), "n", 10)
+
+
+def length_stats(spark, sf_dir):
+    """Number, mean and deviation of read lengths."""
+    return explore.length_statistics(reads(spark, sf_dir)).select(
+        "n_reads", F.round("mean_length", 6).alias("mean_length"), F.round("sd_length", 6).alias("sd_length")
+    )
+
+
+def mate_range_join(spark, sf_dir):
+    """Pairs of 12-mer positions of the two hits less than 700 bases apart."""
+    hits = kmers.windows(adaptor_genome(spark, sf_dir), 12, step=2).select(
+        F.col("chr_id"), F.col("kmer"), F.col("pos").alias("ref_pos")
+    )
+    mates = hits.where(F.col("kmer").startswith("TT")).select(
+        F.lit(0).alias("pair_id"), F.lit("+").alias("strand"), F.lit(1).alias("mate"), "chr_id", "ref_pos", F.lit(0).alias("read_pos")
+    ).unionByName(hits.where(F.col("kmer").startswith("AT")).select(
+        F.lit(0).alias("pair_id"), F.lit("+").alias("strand"), F.lit(2).alias("mate"), "chr_id", "ref_pos", F.lit(0).alias("read_pos")
+    ))
+    return paired.mate_pairs(mates, 70).select(F.col("chr_id"), F.col("ref1").cast("long").alias("ref1"), F.col("ref2").cast("long").alias("ref2"))
+
+
+def adaptor_genome(spark, sf_dir) -> DataFrame:
+    """(chr_id, sequence): every benchmark item's bases as a chromosome."""
+    from strandlake.plans.bridge import bases
+
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return rows.select(F.col("item_id").alias("chr_id"), F.regexp_replace(bases(), "N", "").alias("sequence"))
+
+
+def paired_alignment(spark, sf_dir):
+    """Mates of 45 bases cut from the documents' own sequences, aligned to them (H: X4, X5, J9, J10, L2-L5, A20)."""
+    rows = reads(ship(spark), sf_dir).where((F.length("sequence") >= 150) & ~F.col("sequence").contains("N"))
+    sequences = rows.select(F.col("read_id").alias("chr_id"), "sequence")
+    mates = rows.select(
+        F.col("read_id").alias("pair_id"), F.lit("m1").alias("name1"), F.substring("sequence", 11, 45).alias("seq1"),
+        F.lit("m2").alias("name2"), codec.reverse_complement(F.substring("sequence", 91, 45)).alias("seq2"),
+    )
+    return paired.align_pairs(mates, sequences, step=2).select(
+        "pair_id", "mate", "name", "chr_id", "begin", "end", "strand", F.round("probability", 9).alias("probability")
+    )
+
+
+QUERIES = {f.__name__: f for f in (
+    top_kmers, kmer_count, kmer_quality, kmer_table_csv, kmer_compat, kmer_variability, kmer_positions, prefix_kmer_count,
+    wide_codes, read_errors, pattern_quality, reverse_complement, read_quality, alignment_probability, barcode_frequency,
+    adaptor_assign, adaptor_windows, adaptor_unmatched, set_intersection, overlap_pairs, overlap_degree, nw_score,
+    nw_score_paired, overlap_scores, edge_clusters, cluster_sizes, demux_clusters, demux_sizes, demux_reads, demux_fastq,
+    bucket_barcodes, percent_range_filter, length_histogram, length_stats, mate_range_join, paired_alignment,
+)}
+
+
+def _windows(k: int, source: str = "reads", starts: str | None = None, more: str = "", where: str = "") -> str:
+    """SQL of clean windows: read_id, i (0-based), kmer."""
+    starts = starts or f"greatest(length(sequence) - {k - 1}, 0)"
+    return (
+        f"(SELECT * FROM (SELECT read_id, CAST(i AS INT) AS i, substr(sequence, CAST(i + 1 AS INT), {k}) AS kmer{more} FROM "
+        f"(SELECT *, unnest(range({starts})) AS i FROM {source} {where})) WHERE NOT regexp_matches(kmer, '[^ACGT]'))"
+    )
+
+
+def _code(kmer: str, k: int) -> str:
+    return (
+        f"list_sum(list_transform(range({k}), lambda j: CAST(strpos('TGAC', {kmer}[j + 1]) - 1 AS HUGEINT) * (CAST(1 AS HUGEINT) << (2 * j))))"
+    )
+
+
+_STATS = (
+    "list_avg(q[i + 1:i + {k}]) AS qual, list_product(list_transform(q[i + 1:i + {k}], lambda x: 1 - pow(10.0, -x / 10.0))) AS acc"
+)
+_COMPONENTS = """
+e AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+lab(node, label) USING KEY (node) AS (
+  SELECT node, node FROM nodes
+  UNION
+  SELECT e.u, min(l.label) FROM e JOIN lab l ON l.node = e.v JOIN recurring.lab m ON m.node = e.u WHERE l.label < m.label GROUP BY e.u
+)"""
+_DEMUX = f"""WITH RECURSIVE {READS_SQL},
+km AS (SELECT DISTINCT read_id, kmer FROM {_windows(10, starts='2', where='WHERE length(sequence) >= 12')}),
+edges AS (SELECT DISTINCT a.read_id AS u, b.head AS v FROM km a JOIN (SELECT kmer, min(read_id) AS head FROM km GROUP BY kmer) b USING (kmer)),
+nodes AS (SELECT read_id AS node FROM reads),{_COMPONENTS},
+sized AS (SELECT node, label, count(*) OVER (PARTITION BY label) AS size FROM lab),
+buckets AS (SELECT node AS read_id, CASE WHEN size >= 20 THEN 'output' || label ELSE 'ungrouped' END AS bucket FROM sized)
+"""
+_PAIRS = """
+keyed AS (SELECT read_id, sequence, substr(sequence, 1, 24) AS k FROM reads WHERE length(sequence) >= 24),
+heads AS (SELECT k, min(read_id) AS read1 FROM keyed GROUP BY k),
+pairs AS (
+  SELECT h.read1, a.read_id AS read2, b.sequence AS s1, a.sequence AS s2
+  FROM keyed a JOIN heads h USING (k) JOIN reads b ON b.read_id = h.read1 WHERE h.read1 <> a.read_id
+)"""
+_EDGES = f"""WITH RECURSIVE {READS_SQL},{_PAIRS},
+weighted AS (SELECT read1 AS src, read2 AS dst, levenshtein(s1, s2) AS distance FROM pairs),
+edges AS (SELECT src AS u, dst AS v FROM weighted WHERE distance < 60),
+nodes AS (SELECT src AS node FROM weighted UNION SELECT dst FROM weighted),{_COMPONENTS}
+"""
+
+
+def _needleman(gap: int, mismatch: int) -> str:
+    """Rows of the table folded over the first sequence, cells over the second; distinct texts once."""
+    return f"""WITH {READS_SQL},{_PAIRS},
+texts AS (SELECT DISTINCT s1, s2 FROM pairs),
+scored AS (
+  SELECT s1, s2, list_reduce(range(length(s1)), lambda row, i:
+    list_reduce(range(1, length(s2) + 1), lambda new, j: list_append(new, least(
+      new[j] + {gap}, row[j + 1] + {gap}, row[j] + CASE WHEN s1[i + 1] = s2[j] THEN 0 ELSE {mismatch} END)),
+      [row[1] + {gap}]),
+    list_transform(range(length(s2) + 1), lambda j: CAST(j * {gap} AS BIGINT)))[length(s2) + 1] AS score FROM texts
+)
+SELECT read1, read2, score FROM pairs JOIN scored USING (s1, s2)"""
+
+
+ORACLE_SQL = {
+    "top_kmers": f"""WITH {READS_SQL}, c AS (SELECT kmer AS label, count(*) AS count FROM {_windows(10)} GROUP BY kmer)
+SELECT CAST({_code('label', 10)} AS BIGINT) AS id, label, count FROM c ORDER BY count DESC, id LIMIT 20""",
+    "kmer_count": f"""WITH {READS_SQL}, c AS (SELECT kmer AS label, count(*) AS count FROM {_windows(10)} GROUP BY kmer)
+SELECT CAST({_code('label', 10)} AS BIGINT) AS id, label, count, label AS decoded FROM c""",
+    "kmer_quality": f"""WITH {QUALITY_SQL}, w AS (SELECT kmer, {_STATS.format(k=10)} FROM {_windows(10, 'scored', more=', q')})
+SELECT kmer AS label, count(*) AS count, round(avg(qual), 9) AS mean_qual, round(stddev_pop(qual), 9) AS sd_qual, round(avg(acc), 9) AS accuracy
+FROM w GROUP BY kmer""",
+    "kmer_table_csv": f"""WITH {READS_SQL}, c AS (SELECT kmer AS label, count(*) AS count FROM {_windows(8)} GROUP BY kmer)
+SELECT CAST({_code('label', 8)} AS BIGINT) AS id, label, count FROM c""",
+    "kmer_compat": f"""WITH {READS_SQL},
+b AS (SELECT *, CASE WHEN regexp_matches(sequence, '[^ACGT]') THEN length(regexp_extract(sequence, '^[ACGT]*')) // 32 ELSE NULL END AS w FROM reads),
+bad AS (SELECT read_id, sequence, CASE WHEN w IS NULL THEN 0 ELSE w * 32 + length(regexp_replace(substr(sequence, CAST(w * 32 + 1 AS INT), 32), '[ACGT]*$', '')) END AS e FROM b)
+SELECT kmer AS label, count(*) AS count FROM (
+  SELECT regexp_replace(substr(sequence, CAST(i + 1 AS INT), 10), '[^ACGT]', 'T', 'g') AS kmer, i, e
+  FROM (SELECT *, unnest(range(greatest(length(sequence) - 10, 0))) AS i FROM bad)
+) WHERE NOT (i > e - 10 AND i <= e) GROUP BY kmer""",
+    "kmer_variability": f"WITH {READS_SQL} " + " UNION ALL ".join(
+        f"SELECT CAST({k} AS BIGINT) AS k, count(DISTINCT kmer) AS n_kmers FROM {_windows(k)}" for k in (1, 2, 4, 8, 12, 16, 24, 32)
+    ),
+    "kmer_positions": f"WITH {READS_SQL} SELECT kmer AS label, count(*) AS n, CAST(sum(i) AS BIGINT) AS total FROM {_windows(20)} GROUP BY kmer",
+    "prefix_kmer_count": f"""WITH {READS_SQL}
+SELECT kmer AS label, count(*) AS count FROM {_windows(10, starts='2', where='WHERE length(sequence) >= 12')} GROUP BY kmer""",
+    "wide_codes": f"""WITH {READS_SQL}, w AS (SELECT DISTINCT kmer FROM {_windows(32)}),
+n AS (SELECT substr(kmer, 1, 1) AS first, count(*) AS n FROM {_windows(32)} GROUP BY 1),
+m AS (SELECT substr(kmer, 1, 1) AS first, max({_code('kmer', 32)}) AS m FROM w GROUP BY 1)
+SELECT first, n, CAST(m AS VARCHAR) AS largest FROM n JOIN m USING (first)""",
+    "read_errors": f"""WITH {QUALITY_SQL}
+SELECT read_id, CAST(length(sequence) AS BIGINT) AS len, CAST(strpos(sequence, 'N') AS BIGINT) AS rec, 'N' AS symb, CAST(0 AS BIGINT) AS qual
+FROM scored WHERE contains(sequence, 'N')""",
+    "pattern_quality": f"""WITH {QUALITY_SQL}, w AS (SELECT read_id, i, kmer, {_STATS.format(k=5)} FROM {_windows(5, 'scored', more=', q')})
+SELECT read_id, CAST(i AS BIGINT) AS pos, round(qual, 6) AS qual FROM w WHERE kmer = 'TTGCA'""",
+    "reverse_complement": f"WITH {READS_SQL} SELECT read_id, translate(reverse(sequence), 'ACGT', 'TGCA') AS rc FROM reads",
+    "read_quality": f"""WITH {QUALITY_SQL}
+SELECT read_id, round(list_avg(q), 6) AS mean, round(list_stddev_pop(q), 6) AS sd,
+  round(list_product(list_transform(q, lambda x: 1 - pow(10.0, -x / 10.0))), 9) AS accuracy FROM scored""",
+    "alignment_probability": """WITH g AS (SELECT m, i FROM range(11) a(m), range(6) b(i)),
+c AS (SELECT m, i, (1 - 1.0::DOUBLE / 800) * (1 - 1.0::DOUBLE / 500) AS a, (1 - 1.0::DOUBLE / 1000) * (1 - 1.0::DOUBLE / 5000) AS b FROM g)
+SELECT CAST(m AS BIGINT) AS m, CAST(i AS BIGINT) AS i, round(
+  coalesce(list_product(list_transform(range(m), lambda j: (150.0 - j) / (j + 1))), 1) * pow(a, 150 - m) * pow(1 - a, m)
+  * coalesce(list_product(list_transform(range(i), lambda j: (150.0 - j) / (j + 1))), 1) * pow(b, 150 - i) * pow(1 - b, i), 9) AS p FROM c""",
+    "barcode_frequency": f"""WITH {READS_SQL},{ADAPTORS_SQL}
+SELECT bases, count(*) AS n_reads FROM reads JOIN adaptors ON contains(substr(sequence, 1, 15), bases) GROUP BY bases""",
+    "adaptor_assign": f"""WITH {READS_SQL},{ADAPTORS_SQL},
+hit AS (SELECT adaptor_idx, count(*) AS n FROM reads JOIN adaptors ON contains(sequence, bases) GROUP BY 1)
+SELECT name, coalesce(n, 0) AS n_reads FROM adaptors LEFT JOIN hit USING (adaptor_idx)
+UNION ALL SELECT 'noBarCode', count(*) FROM reads r WHERE NOT EXISTS (SELECT 1 FROM adaptors a WHERE contains(r.sequence, a.bases))""",
+    "adaptor_windows": f"""WITH {READS_SQL},{ADAPTORS_SQL}
+SELECT read_id, adaptor_idx, count(*) AS n FROM {_windows(8)} w JOIN adaptors a ON a.bases = w.kmer GROUP BY 1, 2""",
+    "adaptor_unmatched": f"""WITH {READS_SQL},{ADAPTORS_SQL}
+SELECT read_id FROM reads r WHERE NOT EXISTS (SELECT 1 FROM adaptors a WHERE contains(r.sequence, a.bases))""",
+    "set_intersection": f"""WITH {READS_SQL},{ADAPTORS_SQL}
+SELECT DISTINCT kmer FROM {_windows(8, starts='4', where='WHERE length(sequence) >= 12')} WHERE kmer IN (SELECT bases FROM adaptors)""",
+    "overlap_pairs": f"""WITH {READS_SQL}, k AS (SELECT DISTINCT read_id, kmer FROM {_windows(31)})
+SELECT DISTINCT a.read_id AS read1, b.read_id AS read2 FROM k a JOIN k b ON a.kmer = b.kmer AND a.read_id < b.read_id""",
+    "overlap_degree": f"""WITH {READS_SQL}, k AS (SELECT DISTINCT read_id, kmer FROM {_windows(31)}),
+p AS (SELECT DISTINCT a.read_id AS read1, b.read_id AS read2 FROM k a JOIN k b ON a.kmer = b.kmer AND a.read_id < b.read_id)
+SELECT r.read_id AS read, count(p.read2) AS n_matches FROM reads r LEFT JOIN p ON p.read1 = r.read_id GROUP BY 1""",
+    "nw_score": _needleman(5, 10),
+    "nw_score_paired": _needleman(25, 13),
+    "edge_clusters": f"""{_EDGES}
+SELECT label AS seed, node AS member, CASE WHEN node = label THEN 0 ELSE distance END AS distance
+FROM lab LEFT JOIN weighted ON src = label AND dst = node""",
+    "cluster_sizes": f"{_EDGES} SELECT label AS leader, count(*) AS size FROM lab GROUP BY label",
+    "demux_clusters": f"{_DEMUX} SELECT node AS read_id, label AS component FROM lab",
+    "demux_sizes": f"{_DEMUX} SELECT label AS leader, count(*) AS size FROM lab GROUP BY label",
+    "demux_reads": f"{_DEMUX} SELECT read_id, bucket FROM buckets",
+    "demux_fastq": f"""{_DEMUX} SELECT bucket, count(*) AS n, CAST(sum(2 * length(sequence) + length('@r' || read_id) + 4) AS BIGINT) AS chars
+FROM buckets JOIN reads USING (read_id) GROUP BY bucket""",
+    "bucket_barcodes": f"""{_DEMUX}, w AS (SELECT bucket, kmer, count(*) AS count FROM {_windows(9, starts='3', where='WHERE length(sequence) >= 12')}
+JOIN buckets USING (read_id) GROUP BY 1, 2)
+SELECT bucket, kmer AS label, count FROM w QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY count DESC, {_code('kmer', 9)}) = 1""",
+    "percent_range_filter": f"""WITH {QUALITY_SQL}, w AS (SELECT kmer, {_STATS.format(k=6)} FROM {_windows(6, 'scored', more=', q')}),
+s AS (SELECT kmer AS label, count(*) AS count, round(avg(qual), 6) AS mean_qual FROM w GROUP BY kmer),
+r AS (SELECT min(count) AS c0, max(count) - min(count) AS cr, min(mean_qual) AS q0, max(mean_qual) - min(mean_qual) AS qr FROM s)
+SELECT label, count, mean_qual FROM s, r
+WHERE count > c0 + 0.01 * cr AND count < c0 + 0.6 * cr AND mean_qual > q0 + 0.1 * qr AND mean_qual < q0 + 0.9 * qr""",
+    "length_histogram": f"""WITH {READS_SQL} SELECT CAST(length(sequence) // 10 AS BIGINT) AS bin, CAST(length(sequence) // 10 * 10 AS DOUBLE) AS lower, count(*) AS count
+FROM reads GROUP BY 1, 2""",
+    "length_stats": f"""WITH {READS_SQL}
+SELECT count(*) AS n_reads, round(avg(length(sequence)), 6) AS mean_length, round(stddev_samp(length(sequence)), 6) AS sd_length FROM reads""",
+    "mate_range_join": """WITH g AS (
+  SELECT item_id AS read_id, regexp_replace(translate(upper(text), 'NX', '¤N'), '[^ACGT]', '', 'g') AS sequence FROM benchmark),
+h AS (SELECT read_id AS chr_id, i AS p, substr(sequence, CAST(i + 1 AS INT), 2) AS head
+  FROM (SELECT *, unnest(range(0, greatest(length(sequence) - 11, 0), 2)) AS i FROM g))
+SELECT a.chr_id, a.p AS ref1, b.p AS ref2 FROM h a JOIN h b ON a.chr_id = b.chr_id AND abs(a.p - b.p) < 70 WHERE a.head = 'TT' AND b.head = 'AT'""",
+}
