@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.llm.sql import ORACLE_SQL
 from strandlake.plans.shipping import ship
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
@@ -20,7 +23,8 @@ def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and Jensen-Shannon distances to language references for every document."""
     from strandlake.llm.divergence import quality_rules
 
-    return quality_rules(_read(spark, sf_dir, "documents"))
+    found = quality_rules(_read(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 9) for c in ("word_distance", "char_distance")})
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +43,7 @@ def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.llm.url_reputation import content_outcomes, filter_urls
 
     pages = _read(spark, sf_dir, "pages")
-    return filter_urls(pages, content_outcomes(pages)).select("page_id", "host", "path", "rule", "verdict", "bound")
+    return filter_urls(pages, content_outcomes(pages)).select("page_id", "host", "path", "rule", "verdict", F.round("bound", 9).alias("bound"))
 
 
 def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +104,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.llm.licenses import scan
 
     found = scan(_read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "license", "dice", F.array_join("licenses", ",").alias("licenses"), "n_units")
+    return found.select("doc_id", "license", F.round("dice", 9).alias("dice"), F.array_join("licenses", ",").alias("licenses"), "n_units")
 
 
 QUERIES = {
@@ -115,4 +119,3 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
