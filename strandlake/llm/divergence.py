@@ -9,8 +9,9 @@ length guard. The base rules (word count, repeated 5-word windows) come first.
 
 Everything per document is computed within its row; only word counts are
 shuffled, after partial aggregation, and of these only words of up to
-``SHORT`` letters. The driver receives at most ``TOP`` words for each language that has
-at least one in a thousand documents.
+``SHORT`` letters. Words are compared as they stand: sentence case and shouting
+are part of a distribution. The driver receives at most ``TOP`` words for each language that has
+at least one in a hundred documents.
 
 Null and empty texts have no words and fail the base rules. With no language in
 the table the divergence rules pass everything. Repeated rows are judged alike.
@@ -18,11 +19,16 @@ the table the divergence rules pass everything. Repeated rows are judged alike.
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.plans.lineage import cut
+
 #: Common words per language, longest of them, and the smallest share of documents of a language.
-TOP, SHORT, LEAST_SHARE = 20, 6, 0.001
+TOP, SHORT, LEAST_SHARE = 20, 6, 0.01
 #: Guards: words and characters from which the histograms are compared, and the largest distances kept.
 MIN_WORDS, MIN_CHARS, MAX_WORD_DISTANCE, MAX_CHAR_DISTANCE = 60, 300, 0.42, 0.25
 MIN_BASE_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -54,14 +60,14 @@ def _repeats(df: DataFrame) -> DataFrame:
     window = F.transform(starts, lambda i: F.xxhash64(*[F.get("_hw", i + k) for k in range(w)]))
     df = df.withColumn("_win", F.when(F.size("_words") > w, window).otherwise(F.array().cast("array<bigint>")))
     again = F.size(F.array_distinct("_win")) < F.size("_win")
-    pairs = F.array_sort(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    pairs = F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     empty = F.lit(None).cast("array<struct<h: bigint, i: int>>")
     df = df.withColumn("_sorted", F.when(again, pairs).otherwise(empty))
     same = F.filter(
         "_sorted",
         lambda s, j: (F.get("_sorted", j - 1)["h"] == s["h"]) | F.coalesce(F.get("_sorted", j + 1)["h"] == s["h"], F.lit(False)),
     )
-    df = df.withColumn("_at", F.array_sort(F.transform(same, lambda s: s["i"])))
+    df = df.withColumn("_at", F.sort_array(F.transform(same, lambda s: s["i"])))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
         "_at", zero,
@@ -74,25 +80,25 @@ def _repeats(df: DataFrame) -> DataFrame:
 def references(docs: DataFrame) -> list[tuple[str, list[float], dict[str, float]]]:
     """(language, shares of character classes, shares of its common words) of each language."""
     known = docs.where(F.col("_lang").isNotNull())
-    rows = measured(known)
-    sums = rows.groupBy("_lang").agg(
-        F.count("*").alias("n"), F.sum(F.size("_words")).alias("words"),
-        *[F.sum(f"_{c}").alias(c) for c in CLASSES],
-    ).collect()
+    sums = measured(known).groupBy("_lang").agg(F.count("*").alias("n"), *[F.sum(f"_{c}").alias(c) for c in CLASSES]).collect()
     total = sum(r["n"] for r in sums)
-    wide = {r["_lang"]: r for r in sums if r["n"] >= LEAST_SHARE * total and r["words"]}
+    wide = {r["_lang"]: r for r in sums if r["n"] >= LEAST_SHARE * total}
     if not wide:
         return []
-    text = F.lower(F.coalesce(F.col("_text"), F.lit("")))
-    words = known.select("_lang", F.explode(F.split(text, _SPACE)).alias("w"))
-    counts = words.where(F.length("w").between(1, SHORT) & F.col("_lang").isin(sorted(wide))).groupBy("_lang", "w").count()
+    # long words share one group, so one pass gives the totals as well
+    words = known.where(F.col("_lang").isin(sorted(wide))).select("_lang", F.explode(F.split("_text", _SPACE)).alias("w"))
+    short = F.when(F.length("w") <= SHORT, F.col("w"))
+    counts = cut(words.where("w <> ''").groupBy("_lang", short.alias("w")).count())
+    held = {r[0]: r[1] for r in counts.groupBy("_lang").agg(F.sum("count")).collect()}
     best = Window.partitionBy("_lang").orderBy(F.col("count").desc(), "w")
-    top = counts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= TOP).collect()
+    top = counts.where("w is not null").withColumn("r", F.row_number().over(best)).where(F.col("r") <= TOP).collect()
     out = []
     for name in sorted(wide):
         row = wide[name]
+        if name not in held:
+            continue
         chars = sum(row[c] for c in CLASSES) or 1
-        shares = {r["w"]: r["count"] / row["words"] for r in top if r["_lang"] == name}
+        shares = {r["w"]: r["count"] / held[name] for r in top if r["_lang"] == name}
         out.append((name, [row[c] / chars for c in CLASSES], shares))
     return out
 
@@ -101,23 +107,59 @@ def _doubles(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def _part(p: Column, q: Column) -> Column:
-    """One bin's part of the Jensen-Shannon divergence, in bits."""
-    def half(x, y):
-        return F.when(x > 0, 0.5 * x * F.log2(2 * x / (x + y))).otherwise(0.0)
+def _entropy_part(m: Column) -> Column:
+    return F.coalesce(m * F.log2(m), F.lit(0.0))
+
+
+def _mixed(q: float) -> float:
+    """Part of a bin that only the reference has."""
+    return q / 2 * math.log2(q / 2) if q > 0 else 0.0
 
-    return half(p, q) + half(q, p)
 
+def _least_distance(bins: Column, refs: list[list[float]]) -> Column:
+    """Smallest Jensen-Shannon distance between a document's non-empty bins and the references.
+
+    ``bins`` is an array of (i, p): bin numbers and shares. With m the mean of
+    both distributions the divergence is H(m) - (H(p) + H(q)) / 2; bins that the
+    document leaves empty enter through a constant per reference, so only
+    non-empty ones are visited. ``bins`` is bound to a lambda's variable: as a
+    column it could be inlined and computed again for every reference.
+    """
+    tables = F.array(*[
+        F.struct(
+            _doubles(q).alias("q"), _doubles(map(_mixed, q)).alias("alone"), F.lit(math.fsum(map(_mixed, q))).alias("all"),
+            F.lit(math.fsum(2 * _mixed(x) + x for x in q)).alias("own"),
+        )
+        for q in refs
+    ])
 
-def _distance(shares: str, refs: list[list[float]]) -> Column:
-    """Smallest Jensen-Shannon distance between an array column and the references."""
-    tables = F.array(*[_doubles(r) for r in refs])
+    def least(mine):
+        own = F.aggregate(mine, F.lit(0.0), lambda a, b: a + _entropy_part(b["p"]))
 
-    def one(ref):
-        total = F.aggregate(F.zip_with(shares, ref, _part), F.lit(0.0), lambda a, x: a + x)
-        return F.sqrt(F.greatest(total, F.lit(0.0)))
+        def one(ref):
+            mean = F.aggregate(
+                mine, ref["all"],
+                lambda a, b: a + _entropy_part((b["p"] + F.get(ref["q"], b["i"])) / 2) - F.get(ref["alone"], b["i"]),
+            )
+            return (ref["own"] / 2 - mean).alias("v")
 
-    return F.array_min(F.transform(tables, one))
+        return F.sqrt(F.greatest(F.array_min(F.transform(tables, one)) + own / 2, F.lit(0.0)))
+
+    return F.get(F.transform(F.array(bins), least), F.lit(0))
+
+
+def _least_dense_distance(shares: list[Column], refs: list[list[float]]) -> Column:
+    """The same for a few bins that are columns of their own: plain arithmetic, compiled with the stage."""
+
+    def total(parts):
+        return functools.reduce(lambda a, b: a + b, map(_entropy_part, parts))
+
+    own = total(shares)
+    each = [
+        (own + math.fsum(2 * _mixed(x) + x for x in q)) / 2 - total([(p + F.lit(x)) / 2 for p, x in zip(shares, q, strict=True)])
+        for q in refs
+    ]
+    return F.sqrt(F.greatest(F.lit(0.0), F.least(*each) if len(each) > 1 else each[0]))
 
 
 def quality_rules(docs: DataFrame, refs: list | None = None) -> DataFrame:
@@ -134,22 +176,26 @@ def quality_rules(docs: DataFrame, refs: list | None = None) -> DataFrame:
     refs = references(rows) if refs is None else refs
     df = _repeats(measured(rows))
     n_words, chars = F.size("_words").cast("long"), F.length("_t")
-    df = df.withColumn("_chars", F.array(*[F.col(f"_{c}") / chars.cast("double") for c in CLASSES]))
     none = F.lit(None).cast("double")
     if refs:
         vocabulary = sorted({w for _, _, shares in refs for w in shares})
-        common = F.filter(F.transform("_words", lambda w: F.lower(w)), lambda w: w.isin(vocabulary))
-        df = df.withColumn("_common", F.concat(F.lit(" "), F.array_join(common, "  "), F.lit(" ")))
-        counted = F.transform(
-            F.array(*[F.lit(f" {w} ") for w in vocabulary]),
-            lambda v: (F.length("_common") - F.length(F.replace("_common", v, F.lit("")))) / F.length(v) / F.size("_words"),
-        )
-        df = df.withColumn("_bins", F.when(n_words >= MIN_WORDS, counted))
-        rest = F.greatest(F.lit(0.0), 1.0 - F.aggregate("_bins", F.lit(0.0), lambda a, x: a + x))
-        df = df.withColumn("_shares", F.concat("_bins", F.array(rest)))
+        common = F.filter("_words", lambda w: w.isin(vocabulary))
+        df = df.withColumn("_common", F.when(n_words >= MIN_WORDS, common))
+        df = df.withColumn("_line", F.concat(F.lit(" "), F.array_join("_common", "  "), F.lit(" ")))
+        names = F.array(*map(F.lit, vocabulary))
+
+        def share(w):
+            key = F.concat(F.lit(" "), w, F.lit(" "))
+            n = (F.length("_line") - F.length(F.replace("_line", key, F.lit("")))) / F.length(key)
+            return F.struct((F.array_position(names, w) - 1).cast("int").alias("i"), (n / F.size("_words")).alias("p"))
+
+        df = df.withColumn("_bins", F.transform(F.array_distinct("_common"), share))
+        rest = 1.0 - F.aggregate("_bins", F.lit(0.0), lambda a, b: a + b["p"])
+        last = F.struct(F.lit(len(vocabulary)).alias("i"), F.greatest(F.lit(0.0), rest).alias("p"))
         tables = [[s.get(w, 0.0) for w in vocabulary] for _, _, s in refs]
-        word_distance = _distance("_shares", [[*t, max(0.0, 1 - sum(t))] for t in tables])
-        char_distance = _distance("_chars", [c for _, c, _ in refs])
+        word_distance = _least_distance(F.concat("_bins", F.array(last)), [[*t, max(0.0, 1 - sum(t))] for t in tables])
+        df = df.withColumns({f"_p{i}": F.col(f"_{c}") / chars.cast("double") for i, c in enumerate(CLASSES)})
+        char_distance = _least_dense_distance([F.col(f"_p{i}") for i in range(len(CLASSES))], [c for _, c, _ in refs])
     else:
         word_distance = char_distance = none
     df = df.withColumn("word_distance", F.when(n_words >= MIN_WORDS, word_distance)).withColumn(

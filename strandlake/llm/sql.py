@@ -51,7 +51,7 @@ langs AS (
   FROM classed WHERE lang IS NOT NULL GROUP BY lang
 ),
 wide AS (SELECT * FROM langs WHERE docs >= {d.LEAST_SHARE} * (SELECT sum(docs) FROM langs) AND words > 0),
-tokens AS (SELECT lang, unnest(regexp_split_to_array(lower(t), '{_SPACE}')) AS w FROM base WHERE lang IN (SELECT lang FROM wide)),
+tokens AS (SELECT lang, unnest(regexp_split_to_array(t, '{_SPACE}')) AS w FROM base WHERE lang IN (SELECT lang FROM wide)),
 top AS (
   SELECT lang, w, count(*) AS c FROM tokens WHERE length(w) BETWEEN 1 AND {d.SHORT} GROUP BY 1, 2
   QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) <= {d.TOP}
@@ -67,7 +67,7 @@ refs AS (
 ),
 docs AS (
   SELECT doc_id, n, length(t) AS chars, [{', '.join(f'{c} / CAST(length(t) AS DOUBLE)' for c in names)}] AS cp,
-    list_transform(v, lambda x: len(list_filter(words, lambda y: lower(y) = x)) / CAST(n AS DOUBLE)) AS wp
+    list_transform(v, lambda x: len(list_filter(words, lambda y: y = x)) / CAST(n AS DOUBLE)) AS wp
   FROM classed, vocab WHERE n >= {d.MIN_WORDS} OR length(t) >= {d.MIN_CHARS}
 ),
 full_docs AS (SELECT *, list_append(wp, greatest(0, 1 - list_sum(wp))) AS wq FROM docs),
