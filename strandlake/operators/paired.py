@@ -94,13 +94,18 @@ def mate_pairs(found: DataFrame, reach: int = MATE_RANGE) -> DataFrame:
     return one.join(two, [*keys, "_bin"]).where(F.abs(F.col("ref1") - F.col("ref2")) < reach).drop("_bin")
 
 
-@F.pandas_udf("score int, first int, last int, mismatches int, indels int")
-def _extend(piece: pd.Series, at: pd.Series, read: pd.Series, read_pos: pd.Series) -> pd.DataFrame:
-    rows = [
-        seeded_alignment(p, int(a), r, int(i), WIDTH, GAP, MISMATCH, MAX_MISMATCHES, MAX_INDELS) or (None,) * 5
-        for p, a, r, i in zip(piece, at, read, read_pos, strict=True)
-    ]
-    return pd.DataFrame(rows, columns=["score", "first", "last", "mismatches", "indels"]).astype("Int32")
+def _extension():
+    """Arrow function (piece, seed's place in it, read, seed's place in the read) -> alignment or nulls."""
+
+    @F.pandas_udf("score int, first int, last int, mismatches int, indels int")
+    def extend(piece: pd.Series, at: pd.Series, read: pd.Series, read_pos: pd.Series) -> pd.DataFrame:
+        rows = [
+            seeded_alignment(p, int(a), r, int(i), WIDTH, GAP, MISMATCH, MAX_MISMATCHES, MAX_INDELS) or (None,) * 5
+            for p, a, r, i in zip(piece, at, read, read_pos, strict=True)
+        ]
+        return pd.DataFrame(rows, columns=["score", "first", "last", "mismatches", "indels"]).astype("Int32")
+
+    return extend
 
 
 def aligned(found: DataFrame, pairs: DataFrame, chunks: DataFrame, size: int = 100_000, reach: int = 200) -> DataFrame:
@@ -115,7 +120,7 @@ def aligned(found: DataFrame, pairs: DataFrame, chunks: DataFrame, size: int = 1
     low = F.greatest(F.col("ref_pos") - F.col("read_pos") - reach, F.col("start"))
     span = F.length("read") + 2 * reach
     rows = rows.withColumn("_low", low).withColumn("_piece", F.substring("sequence", F.col("_low") - F.col("start") + 1, span)).drop("sequence")
-    rows = rows.withColumn("a", _extend("_piece", F.col("ref_pos") - F.col("_low"), "read", "read_pos"))
+    rows = rows.withColumn("a", _extension()("_piece", F.col("ref_pos") - F.col("_low"), "read", "read_pos"))
     return rows.where("a.score is not null").select(
         "pair_id", "strand", "mate", "chr_id", "ref_pos", "read_pos", "a.score", (F.col("_low") + F.col("a.first")).alias("first"),
         (F.col("_low") + F.col("a.last")).alias("last"), "a.mismatches", "a.indels", F.length("read").alias("len"),
