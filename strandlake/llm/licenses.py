@@ -5,7 +5,9 @@ whole text, each paragraph (lines up to an empty line) and each line. A unit and
 a template are compared by the Dice coefficient of their sets of word bigrams;
 since 2 min(a, b) / (a + b) bounds it, a unit whose number of words cannot reach
 the threshold with any template is dropped before its bigrams are made, and
-compared only with templates that its size admits.
+compared only with templates that its size admits. The same bound says how many
+bigrams a match shares at least, so some of a template's words must be there:
+texts with none of these words are not normalised at all.
 
 All in DataFrame expressions within the row: nothing is shuffled. Null and empty
 texts have no unit and no licence. Of equal scores the licence that sorts first
@@ -14,6 +16,8 @@ is named. Repeated rows get the same result each.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +46,8 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
 )
+# Words that are frequent in any text, taken last as a sign of a licence
+FREQUENT = frozenset("this that these with without from under which have been will such other copy source subject possible related".split())
 #: Smallest Dice coefficient of a match.
 THRESHOLD = 0.8
 
@@ -65,6 +71,27 @@ def _bounds(n: int, threshold: float) -> tuple[int, int]:
     return low, high
 
 
+def telling_words(grams: list[str], low: int, high: int, threshold: float) -> set[str]:
+    """Words of which every unit that matches a template has at least one.
+
+    A match shares at least ``least`` bigrams with the template, whatever its
+    size; words are taken, longer ones first among those in as many bigrams,
+    until fewer bigrams than that have none of them.
+    """
+    n = len(grams)
+    least = min(math.ceil(threshold * (a + n) / 2 - 1e-9) for a in range(low, high + 1))
+    left, words = list(grams), set()
+    while len(left) >= least:
+        counts: dict[str, int] = {}
+        for g in left:
+            for w in set(g.split()):
+                counts[w] = counts.get(w, 0) + 1
+        best = max(counts, key=lambda w: (len(w) > 3 and w not in FREQUENT, counts[w], len(w), w))
+        words.add(best)
+        left = [g for g in left if best not in g.split()]
+    return words
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Licences of every row of ``docs`` (doc_id, text).
 
@@ -82,8 +109,14 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
         )
         for (name, grams), (a, b) in zip(known, sizes, strict=True)
     ])
-    flat = F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), "[^a-z0-9\\n]+", " ")
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), flat.alias("_flat"))
+    telling = sorted(set().union(*[telling_words(g, a, b, threshold) for (_, g), (a, b) in zip(known, sizes, strict=True)]))
+    # most texts have none of these words and end here
+    pattern = f"(?:^|[^a-z0-9])(?:{'|'.join(telling)})(?![a-z0-9])"
+    df = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_low")
+    )
+    maybe = F.when(F.col("_low").rlike(pattern), F.col("_low")).otherwise("")
+    df = df.select("doc_id", maybe.alias("_maybe")).withColumn("_flat", F.regexp_replace("_maybe", "[^a-z0-9\\n]+", " "))
     lines = F.split("_flat", "\n")
     paragraphs = F.filter(F.split(F.col("_flat"), "\n[ \n]*\n"), lambda p: p.contains("\n"))
     whole = F.when(F.instr("_flat", "\n") > 0, F.array("_flat")).otherwise(F.array().cast("array<string>"))
