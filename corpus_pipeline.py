@@ -19,19 +19,29 @@ from strandlake.plans.shipping import ship
 LANGUAGE_SCORE, QUALITY_SCORE = 0.5, 0.5
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """The text, and all other columns in one struct, so that no name can clash with an operator's."""
+    return docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"))
+
+
+def _restored(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from a frame made of :func:`_carried`."""
+    return found.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: not ``und`` and of a score of at least LANGUAGE_SCORE."""
     ship(spark)
     model = language_id.fit(docs)
-    found = language_id.classify(docs, model, keep_text=True)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)).select(*docs.columns)
+    found = language_id.classify(_carried(docs), model, keep_text=True)
+    return _restored(found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)), docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least QUALITY_SCORE."""
     ship(spark)
     model = line_crf.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return line_crf.classify(docs, model, keep_text=True).where(F.col("score") >= QUALITY_SCORE).select(*docs.columns)
+    return _restored(line_crf.classify(_carried(docs), model, keep_text=True).where(F.col("score") >= QUALITY_SCORE), docs)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +58,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents without any 10-word window of a benchmark item."""
     ship(spark)
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.find_leaks(docs, bench, size=10, spans=False, keep_text=True)
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    found = decontaminate.find_leaks(_carried(docs), bench, size=10, spans=False, keep_text=True)
+    return _restored(found.where(~F.col("contaminated")), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

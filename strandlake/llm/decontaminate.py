@@ -96,6 +96,8 @@ def scan(automaton: ahocorasick.Automaton, words: list[bytes]) -> tuple[list[tup
     return [(a, b) for a, b in ranges], found
 
 
+#: Column that numbers the rows while several blocks are put together.
+_NUMBER = "_leak_row_number"
 _built: dict[str, ahocorasick.Automaton] = {}
 
 
@@ -129,7 +131,8 @@ def find_leaks(
 ) -> DataFrame:
     """Matches of benchmark windows in every row of ``docs`` (text and any other columns).
 
-    Returns the other columns of ``docs`` (and its text with ``keep_text``), n_words, n_hit (words inside any match), items (sorted ids),
+    Returns the other columns of ``docs`` (and its text with ``keep_text``; those
+    with the name of a result are replaced), n_words, n_hit (words inside any match), items (sorted ids),
     spans (character offsets in the original text, per block of items merged)
     and contaminated.
     """
@@ -138,10 +141,11 @@ def find_leaks(
     bench = bench.where("item_id is not null and text is not null")
     total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total * size / block_chars))
-    rows = docs.withColumn("text", F.col("text").cast("string"))
-    if blocks > 1:
-        rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    made = ("n_words", "n_hit", "ranges", "items", "spans", "contaminated", _NUMBER)
+    rows = docs.withColumn("text", F.col("text").cast("string")).drop(*made)
     others = [c for c in rows.columns if c != "text" or keep_text]
+    if blocks > 1:
+        rows = rows.withColumn(_NUMBER, F.monotonically_increasing_id())
     parts = []
     for block in range(blocks):
         mine = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
@@ -154,9 +158,9 @@ def find_leaks(
         more = parts[0]
         for part in parts[1:]:
             more = more.unionByName(part)
-        together = [F.first(c).alias(c) for c in (*others, "n_words") if c != "_row"]
+        together = [F.first(c).alias(c) for c in (*others, "n_words")]
         together += [F.flatten(F.collect_list(c)).alias(c) for c in ("ranges", "items", "spans")]
-        found = more.groupBy("_row").agg(*together).drop("_row")
+        found = more.groupBy(_NUMBER).agg(*together).drop(_NUMBER)
     state = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("reach"))
     hit = F.aggregate(
         F.array_sort("ranges"), state,
@@ -167,6 +171,6 @@ def find_leaks(
         lambda s: s["total"],
     )
     return found.select(
-        *[c for c in others if c != "_row"], "n_words", hit.alias("n_hit"), F.array_sort("items").alias("items"), "spans",
+        *others, "n_words", hit.alias("n_hit"), F.array_sort("items").alias("items"), "spans",
         (F.size("items") > 0).alias("contaminated"),
     )

@@ -194,7 +194,7 @@ def quality_rules(docs: DataFrame, refs: list | None = None) -> DataFrame:
         last = F.struct(F.lit(len(vocabulary)).alias("i"), F.greatest(F.lit(0.0), rest).alias("p"))
         tables = [[s.get(w, 0.0) for w in vocabulary] for _, _, s in refs]
         word_distance = _least_distance(F.concat("_bins", F.array(last)), [[*t, max(0.0, 1 - sum(t))] for t in tables])
-        df = df.withColumns({f"_p{i}": F.col(f"_{c}") / chars.cast("double") for i, c in enumerate(CLASSES)})
+        df = df.withColumns({f"_p{i}": F.col(f"_{c}") / F.greatest(chars, F.lit(1)).cast("double") for i, c in enumerate(CLASSES)})
         char_distance = _least_dense_distance([F.col(f"_p{i}") for i in range(len(CLASSES))], [c for _, c, _ in refs])
     else:
         word_distance = char_distance = none

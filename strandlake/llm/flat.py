@@ -96,14 +96,12 @@ def appended(df: DataFrame, column: str, make, ddl: str, drop: bool = True) -> D
 
     ``make`` takes the list of strings (None for null) of a piece of a batch and
     returns a dict of columns; it runs in Python workers. Other columns pass
-    through as Arrow data, so ids keep their exact values beside nulls. With
-    ``drop`` the string column itself is not returned.
+    through as Arrow data, so ids keep their exact values beside nulls; those
+    with the name of a new one are replaced. With ``drop`` the string column
+    itself is not returned.
     """
     new = T.StructType.fromDDL(ddl)
-    kept = [f for f in df.schema.fields if not (drop and f.name == column)]
-    clash = {f.name for f in kept} & set(new.names)
-    if clash:
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    kept = [f for f in df.schema.fields if not (drop and f.name == column) and f.name not in new.names]
     types = to_arrow_schema(new)
     names = [f.name for f in kept]
 

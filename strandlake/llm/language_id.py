@@ -105,18 +105,22 @@ def suffix_automaton(text: np.ndarray, size: int) -> np.ndarray:
 
 
 def steps(automaton: np.ndarray) -> np.ndarray:
-    """Flat step table: 2 * (next state * symbols) + 1 if a new phrase begins here."""
-    width = automaton.shape[1]
+    """Flat step table: 2 * (next state * symbols) + 1 if a new phrase begins here.
+
+    One state is added, the last: between phrases. A lane begins there, and it
+    follows a symbol that the text doesn't have, which is a phrase of its own.
+    """
+    states, width = automaton.shape
     root = automaton[0]
-    again = np.where(root >= 0, root, 0).astype(np.int64) * width * 2 + 1
+    again = np.where(root >= 0, root, states).astype(np.int64) * width * 2 + 1
     table = np.where(automaton >= 0, automaton.astype(np.int64) * width * 2, again[None, :])
-    return np.ascontiguousarray(table.reshape(-1), dtype=np.int32)
+    return np.ascontiguousarray(np.concatenate((table, again[None, :])).reshape(-1), dtype=np.int32)
 
 
-def phrases(lanes: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarray:
+def phrases(lanes: np.ndarray, sizes: np.ndarray, table: np.ndarray, width: int) -> np.ndarray:
     """Phrases of each lane. ``lanes`` is (LANE, n), ``sizes`` are lane lengths in descending order."""
     n = len(sizes)
-    state, count = np.zeros(n, dtype=np.int32), np.ones(n, dtype=np.int64)
+    state, count = np.full(n, len(table) - width, dtype=np.int32), np.zeros(n, dtype=np.int64)
     live = n
     for t in range(int(sizes[0]) if n else 0):
         while live and sizes[live - 1] <= t:
@@ -134,7 +138,7 @@ class Model:
         self.names = sorted(samples)
         letters = alphabet([t for texts in samples.values() for t in texts])
         self.table = symbol_table(letters)
-        width = len(letters) + 2
+        self.width = width = len(letters) + 2
         self.steps = []
         for name in self.names:
             text = np.concatenate([symbols(t, self.table) for t in samples[name]])[:TRAIN_CHARS]
@@ -158,7 +162,7 @@ class Model:
             lanes[: sizes[i], k] = pieces[i]
         who = np.array(owner)[order]
         for j, table in enumerate(self.steps):
-            out[:, j] = np.bincount(who, weights=phrases(lanes, sizes[order], table), minlength=len(texts))
+            out[:, j] = np.bincount(who, weights=phrases(lanes, sizes[order], table, self.width), minlength=len(texts))
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:

@@ -21,8 +21,9 @@ rows (1.2e-7 at exactly 0.8, falling steeply above) or if their estimate from
 200 components is below 0.66 (5 standard deviations).
 
 Rows without words, or with null text, are linked with nothing. Repeated rows
-get the same result each. Ids must not be null to be linked: a null id keeps a
-null component and is kept. Extra columns are ignored.
+get the same result each. A row with a null id links nothing: it takes the
+component of rows of an equal set, and is then not kept, else a null component.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
