@@ -37,6 +37,13 @@ def length_spread(dictionary: DataFrame) -> tuple[int, int]:
     return row[0] or 0, row[1] or 0
 
 
+def check_spread(dictionary: DataFrame, most: int = 4) -> None:
+    """Raise if the lengths of keys differ by more than ``most``, as adaptors of one kit never do."""
+    low, high = length_spread(dictionary)
+    if high - low > most:
+        raise ValueError(f"adaptor lengths {low} to {high} differ by more than {most}")
+
+
 def barcode_hits(reads: DataFrame, barcodes: DataFrame, prefix: int = 15) -> DataFrame:
     """(read_id, bases): each barcode that occurs in the first ``prefix`` bases of a read.
 

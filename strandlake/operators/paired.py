@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import codec
-from strandlake.functions.alignment import seeded_alignment
+from strandlake.functions.alignment import fitted_alignment, seeded_alignment
 from strandlake.functions.quality import alignment_probability
 
 #: Seed width, bases between mates (exclusive), limits of an alignment, and index strides by difficulty.
@@ -94,21 +94,27 @@ def mate_pairs(found: DataFrame, reach: int = MATE_RANGE) -> DataFrame:
     return one.join(two, [*keys, "_bin"]).where(F.abs(F.col("ref1") - F.col("ref2")) < reach).drop("_bin")
 
 
-def _extension():
+def _extension(mode: str):
     """Arrow function (piece, seed's place in it, read, seed's place in the read) -> alignment or nulls."""
+    if mode not in ("fast", "accurate"):
+        raise ValueError("mode is fast or accurate")
+
+    def one(piece, at, read, read_pos):
+        if mode == "accurate":
+            return fitted_alignment(piece, read, GAP, MISMATCH, MAX_MISMATCHES, MAX_INDELS)
+        return seeded_alignment(piece, int(at), read, int(read_pos), WIDTH, GAP, MISMATCH, MAX_MISMATCHES, MAX_INDELS)
 
     @F.pandas_udf("score int, first int, last int, mismatches int, indels int")
     def extend(piece: pd.Series, at: pd.Series, read: pd.Series, read_pos: pd.Series) -> pd.DataFrame:
-        rows = [
-            seeded_alignment(p, int(a), r, int(i), WIDTH, GAP, MISMATCH, MAX_MISMATCHES, MAX_INDELS) or (None,) * 5
-            for p, a, r, i in zip(piece, at, read, read_pos, strict=True)
-        ]
+        rows = [one(*x) or (None,) * 5 for x in zip(piece, at, read, read_pos, strict=True)]
         return pd.DataFrame(rows, columns=["score", "first", "last", "mismatches", "indels"]).astype("Int32")
 
     return extend
 
 
-def aligned(found: DataFrame, pairs: DataFrame, chunks: DataFrame, size: int = 100_000, reach: int = 200) -> DataFrame:
+def aligned(
+    found: DataFrame, pairs: DataFrame, chunks: DataFrame, size: int = 100_000, reach: int = 200, mode: str = "fast"
+) -> DataFrame:
     """Adds score, first, last, mismatches and indels to candidates; those given up are left out."""
     read = F.when(F.col("mate") == 1, F.col("seq1")).otherwise(F.col("seq2"))
     flipped = (F.col("strand") == "-") == (F.col("mate") == 1)
@@ -120,7 +126,7 @@ def aligned(found: DataFrame, pairs: DataFrame, chunks: DataFrame, size: int = 1
     low = F.greatest(F.col("ref_pos") - F.col("read_pos") - reach, F.col("start"))
     span = F.length("read") + 2 * reach
     rows = rows.withColumn("_low", low).withColumn("_piece", F.substring("sequence", F.col("_low") - F.col("start") + 1, span)).drop("sequence")
-    rows = rows.withColumn("a", _extension()("_piece", F.col("ref_pos") - F.col("_low"), "read", "read_pos"))
+    rows = rows.withColumn("a", _extension(mode)("_piece", F.col("ref_pos") - F.col("_low"), "read", "read_pos"))
     return rows.where("a.score is not null").select(
         "pair_id", "strand", "mate", "chr_id", "ref_pos", "read_pos", "a.score", (F.col("_low") + F.col("a.first")).alias("first"),
         (F.col("_low") + F.col("a.last")).alias("last"), "a.mismatches", "a.indels", F.length("read").alias("len"),
@@ -139,12 +145,13 @@ def best_pairs(scored: DataFrame, reach: int = MATE_RANGE) -> DataFrame:
     return rows.groupBy("pair_id").agg(F.min(rank).alias("b")).select("pair_id", "b.chr_id", "b.strand", "b.m1", "b.m2", "b.total")
 
 
-def align_pairs(pairs: DataFrame, genome: DataFrame, step: int = 10, chunk: int = 100_000) -> DataFrame:
+def align_pairs(pairs: DataFrame, genome: DataFrame, step: int = 10, chunk: int = 100_000, mode: str = "fast") -> DataFrame:
     """(pair_id, mate, name, chr_id, begin, end, strand, probability) of every mate, two rows per pair.
 
     ``pairs`` has pair_id, name1, seq1, name2, seq2; ``genome`` chr_id and
     sequence. begin and end are 1-based and inclusive; all are null for pairs
-    without an alignment.
+    without an alignment. ``mode`` is ``fast`` (blocks outward from the seed) or
+    ``accurate`` (the whole read fitted into the seed's surroundings).
     """
     chunks = chunked(genome, chunk)
     found = candidates(seeds(pairs, step=step), kmer_index(chunks, step=step, size=chunk))
@@ -154,7 +161,7 @@ def align_pairs(pairs: DataFrame, genome: DataFrame, step: int = 10, chunk: int
     useful = near.select(*keys, F.lit(1).alias("mate"), F.col("ref1").alias("ref_pos"), F.col("read1").alias("read_pos")).unionByName(
         near.select(*keys, F.lit(2).alias("mate"), F.col("ref2").alias("ref_pos"), F.col("read2").alias("read_pos"))
     ).distinct()
-    best = best_pairs(aligned(useful, pairs, chunks, chunk))
+    best = best_pairs(aligned(useful, pairs, chunks, chunk, mode=mode))
 
     def row(mate: int):
         m = f"m{mate}"
@@ -182,3 +189,30 @@ def report_lines(alignments: DataFrame, compat: bool = False, missing_chr: int =
         F.coalesce(end, F.lit(2).cast("long")), F.coalesce("strand", F.when(first, "+").otherwise("-")),
         F.coalesce("probability", F.lit(0.0)),
     ).alias("value"))
+
+
+def reference_slice(genome: DataFrame, chr_id: int, first: int, width: int) -> DataFrame:
+    """value: ``width`` bases of a chromosome from a 0-based position."""
+    return genome.where(F.col("chr_id") == chr_id).select(F.substring("sequence", first + 1, width).alias("value"))
+
+
+class Aligner:
+    """The aligner as an object: choose a difficulty, pass the genome, build the index, align."""
+
+    def __init__(self, difficulty: int = 0):
+        self.step = STRIDES[difficulty]
+        self.genome: DataFrame | None = None
+
+    def pass_reference_genome(self, genome: DataFrame) -> Aligner:
+        """Adds chromosomes (chr_id, sequence)."""
+        self.genome = genome if self.genome is None else self.genome.unionByName(genome)
+        return self
+
+    def index(self) -> DataFrame:
+        """The k-mer index; write it bucketed by ``code`` to reuse it."""
+        return kmer_index(chunked(self.genome), step=self.step)
+
+    def get_alignment(self, pairs: DataFrame, n: int | None = None, mode: str = "fast") -> DataFrame:
+        """Alignments of the first ``n`` pairs by pair_id, or of all."""
+        chosen = pairs if n is None else pairs.where(F.col("pair_id") < n)
+        return align_pairs(chosen, self.genome, self.step, mode=mode)

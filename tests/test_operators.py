@@ -203,3 +203,23 @@ def test_paired_alignment(spark):
     assert seen[99, 1] == (None,) * 4
     lines = [r.value for r in paired.report_lines(got.where("pair_id = 99"), missing_chr=1).collect()]
     assert sorted(lines) == ["a,1,1,2,+,0.000000", "b,1,1,2,-,0.000000"]
+
+
+def test_fitted_alignment(spark):
+    rng = random.Random(6)
+    ref = "".join(rng.choices("ACGT", k=300))
+    assert alignment.fitted_alignment(ref, ref[50:200]) == (0, 50, 200, 0, 0)
+    assert alignment.fitted_alignment(ref, ref[50:100] + ref[101:200]) == (25, 50, 200, 0, 1)
+    assert alignment.fitted_alignment(ref, "".join(rng.choices("ACGT", k=100))) is None
+    assert alignment.fitted_alignment("", "A") is None
+    genome = spark.createDataFrame([(7, ref * 4)], "chr_id int, sequence string")
+    assert paired.reference_slice(genome, 7, 3, 5).first()[0] == ref[3:8]
+    mates = spark.createDataFrame([(0, "a", ref[10:160], "b", ref[140:290])], "pair_id long, name1 string, seq1 string, name2 string, seq2 string")
+    mates = mates.withColumn("seq2", F.translate(F.reverse("seq2"), "ACGT", "TGCA"))
+    one = spark.createDataFrame([(7, ref)], "chr_id int, sequence string")
+    for mode in ("fast", "accurate"):
+        got = paired.Aligner(1).pass_reference_genome(one).get_alignment(mates, mode=mode).orderBy("mate").collect()
+        assert [(r.begin, r.end, r.strand) for r in got] == [(11, 160, "+"), (141, 290, "-")]
+    assert paired.Aligner(2).pass_reference_genome(one).index().count() == 10
+    with pytest.raises(ValueError):
+        dictionary.check_spread(spark.createDataFrame([(0, "a", "AC"), (1, "b", "ACACACAC")], "adaptor_idx int, name string, bases string"))
