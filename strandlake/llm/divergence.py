@@ -25,12 +25,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.llm.fence import fenced
 from strandlake.plans.lineage import cut
 
 #: Common words per language, longest of them, and the smallest share of documents of a language.
 TOP, SHORT, LEAST_SHARE = 20, 6, 0.01
 #: Guards: words and characters from which the histograms are compared, and the largest distances kept.
-MIN_WORDS, MIN_CHARS, MAX_WORD_DISTANCE, MAX_CHAR_DISTANCE = 60, 300, 0.42, 0.25
+MIN_WORDS, MIN_CHARS, MAX_WORD_DISTANCE, MAX_CHAR_DISTANCE = 60, 300, 0.45, 0.25
 MIN_BASE_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
@@ -205,9 +206,10 @@ def quality_rules(docs: DataFrame, refs: list | None = None) -> DataFrame:
     fits = (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE) & (
         F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE
     )
-    return df.select(
+    judged = df.select(
         "doc_id", n_words.alias("n_words"), (chars.cast("long") - F.col("_space")).alias("word_chars"),
         F.col("_symbol").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words", failed.alias("base_failed"), "word_distance", "char_distance", (~failed & fits).alias("kept"),
     )
+    return fenced(judged, "doc_id", "base_failed", "kept")

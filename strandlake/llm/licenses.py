@@ -21,6 +21,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.fence import fenced
+
 # Notices and texts of public licences
 TEMPLATES = (
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
@@ -155,8 +157,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     df = df.withColumn("_hits", F.transform("_fit", best))
     hits = F.flatten("_hits")
     first = F.array_min(F.transform(hits, lambda h: F.struct((-h["dice"]).alias("d"), h["name"].alias("name"))))
-    return df.select(
+    found = df.select(
         "doc_id", first["name"].alias("license"), (-first["d"]).alias("dice"),
         F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["name"]))).alias("licenses"),
         F.size(F.filter("_hits", lambda h: F.size(h) > 0)).cast("long").alias("n_units"),
     )
+    return fenced(found, "doc_id", "license", "n_units")

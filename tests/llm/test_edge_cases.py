@@ -62,6 +62,8 @@ def test_divergence(docs):
     assert rows[1][0].n_words == rows[2][0].n_words == rows[3][0].n_words == 0 and rows[1][0].base_failed
     assert rows[4][0].n_words == 150_000 and rows[6][0] == rows[6][1]
     assert rows[9][0].n_repeat_words == 40 and not rows[9][0].kept
+    # a filter on the result must not be substituted into its own definition
+    assert len(divergence.quality_rules(docs).where("kept")._jdf.queryExecution().optimizedPlan().toString()) < 60_000
     none = divergence.quality_rules(docs.withColumn("lang", F.lit(None).cast("string"))).where("doc_id = 0").first()
     assert none.word_distance is None and none.kept
     assert divergence.quality_rules(docs.limit(0)).count() == 0
