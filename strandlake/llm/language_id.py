@@ -23,14 +23,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.flat import appended
 from strandlake.llm.sampling import fold
 
-#: Characters of training text per language, the largest alphabet, and characters of a lane.
-TRAIN_CHARS, SYMBOLS, LANE = 60_000, 56, 1024
+#: Characters of training text per language and of all languages, the largest alphabet, and characters of a lane.
+TRAIN_CHARS, TOTAL_CHARS, SYMBOLS, LANE = 60_000, 900_000, 56, 1024
 #: Languages with fewer training documents than this are left out.
 MIN_DOCS = 3
 UNKNOWN = "und"
@@ -141,7 +141,7 @@ class Model:
         self.width = width = len(letters) + 2
         self.steps = []
         for name in self.names:
-            text = np.concatenate([symbols(t, self.table) for t in samples[name]])[:TRAIN_CHARS]
+            text = np.concatenate([symbols(t, self.table) for t in samples[name]])[: min(TRAIN_CHARS, TOTAL_CHARS // len(self.names))]
             self.steps.append(steps(suffix_automaton(text, width)))
 
     def counts(self, texts: list[str]) -> np.ndarray:
@@ -191,21 +191,22 @@ def samples_of(docs: DataFrame, modulus: int, held_out: int, docs_per_language:
     known = known.where(F.pmod(fold(), F.lit(modulus)) != held_out)
     size = F.length("text")
     known = known.where((size >= 200) & (size <= TRAIN_CHARS // 4)).select("lang", "doc_id", "text")
-    # top documents by hash per language: a bounded heap per partition, no shuffle of texts
-    keyed = known.select("lang", F.struct(F.xxhash64("doc_id").alias("h"), "doc_id").alias("key"))
-    languages = [r[0] for r in known.groupBy("lang").count().where(F.col("count") >= MIN_DOCS).orderBy("lang").collect()]
+    # the first of each language: partitions keep their own first ones before anything is shuffled
+    first = Window.partitionBy("lang").orderBy("h", "doc_id")
+    keyed = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(first))
+    chosen: dict[str, list[int]] = {}
+    for name, doc_id in keyed.where(F.col("r") <= docs_per_language).select("lang", "doc_id").collect():
+        chosen.setdefault(name, []).append(doc_id)
+    chosen = {name: ids for name, ids in chosen.items() if len(ids) >= MIN_DOCS}
     out: dict[str, list[str]] = {}
-    chosen = []
-    for name in languages:
-        ids = [r[0] for r in keyed.where(F.col("lang") == name).orderBy("key").limit(docs_per_language).select("key.doc_id").collect()]
-        chosen += [(i,) for i in ids]
     if not chosen:
         return out
-    picked = docs.sparkSession.createDataFrame(chosen, "doc_id long")
+    picked = docs.sparkSession.createDataFrame([(i,) for ids in chosen.values() for i in ids], "doc_id long")
     rows = known.join(F.broadcast(picked), "doc_id").toPandas()
     rows["order"] = pd.util.hash_array(rows["doc_id"].to_numpy())
     for name, group in rows.sort_values(["order", "doc_id", "text"]).drop_duplicates(["lang", "text"]).groupby("lang"):
-        out[name] = list(group["text"])
+        if name in chosen:
+            out[name] = list(group["text"])
     return out
 
 
