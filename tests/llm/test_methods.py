@@ -313,6 +313,9 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 def test_markup():
     assert page_diff.main_text(*map(list, zip(*page_diff.blocks(PAGE), strict=True)), [], []) == "Title & more First bold line next Second!"
     assert page_diff.blocks("<p>a < b &lt;c&gt;</p>")[0][0] == "a < b <c>"
+    wide = '<div class="layout has-sidebar"><p>kept</p><div class="user-comments">gone</div></div>'
+    assert page_diff.blocks(wide) == [("kept", page_diff.OPEN)]
+    assert page_diff.blocks('<div class="widget"><p>all there is</p></div><nav>menu</nav>') == [("all there is", page_diff.OPEN)]
     assert page_diff.blocks("<div>unclosed <span>text")[0][0] == "unclosed text"
 
 
