@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.sources.lines import numbered_lines
@@ -45,14 +45,16 @@ def read_fasta(spark: SparkSession, paths, drop_last: bool = False) -> DataFrame
     ``drop_last`` removes the last character of every sequence line instead of a
     carriage return only.
     """
-    lines = numbered_lines(spark, paths)
-    heads = lines.where(F.startswith("value", F.lit(">"))).groupBy("file").agg(F.array_sort(F.collect_list("line_no")).alias("_heads"))
-    rows = lines.join(heads, "file", "left")
+    lines = numbered_lines(spark, paths).withColumn("_head", F.startswith("value", F.lit(">")))
     value = F.expr("substring(value, 1, length(value) - 1)") if drop_last else F.col("value")
-    # position of the last header at or before the line, by counting
-    record = F.size(F.filter(F.coalesce("_heads", F.array().cast("array<bigint>")), lambda h: h <= F.col("line_no")))
-    rows = rows.withColumn("record", record).drop("_heads")
-    head = F.startswith("value", F.lit(">"))
+    # a line's record is the number of headers so far: in the splits before, one row each, and within its own
+    per = lines.groupBy("file", "block").agg(F.count_if("_head").alias("_n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select("file", "block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("_in", F.count_if("_head").over(inside)).join(F.broadcast(before), ["file", "block"])
+    rows = rows.withColumn("record", F.col("_before") + F.col("_in"))
+    head = F.col("_head")
     body = F.array_sort(F.collect_list(F.when(~head, F.struct("line_no", value.alias("v")))))
     return rows.groupBy("file", "record").agg(
         F.max(F.when(head, F.substring("value", F.lit(2), F.length("value")))).alias("name"),

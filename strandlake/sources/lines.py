@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 
 def numbered_lines(spark: SparkSession, paths) -> DataFrame:
-    """(file, line_no, value): 0-based numbers in file order; a trailing carriage return is removed."""
+    """(file, block, line_no, value): 0-based numbers in file order; a trailing carriage return is removed.
+
+    ``block`` is where the line's split begins in the file.
+    """
     text = spark.read.option("lineSep", "\n").text(paths if isinstance(paths, list) else [paths])
     rows = text.select(
         F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"),
@@ -22,4 +25,4 @@ def numbered_lines(spark: SparkSession, paths) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # one row per file split: bounded by the input's size over the split size
     offsets = splits.select("file", "block", (before - F.col("first")).alias("shift"))
-    return rows.join(F.broadcast(offsets), ["file", "block"]).select("file", (F.col("row") + F.col("shift")).alias("line_no"), "value")
+    return rows.join(F.broadcast(offsets), ["file", "block"]).select("file", "block", (F.col("row") + F.col("shift")).alias("line_no"), "value")

@@ -64,6 +64,18 @@ def test_fasta(spark, tmp_path):
     assert [(m.pair_id, m.name1, m.seq1, m.seq2) for m in mates] == [(0, "p1", "AC", "TT")]
 
 
+def test_fasta_over_splits(spark, tmp_path):
+    path = tmp_path / "many.fa"
+    path.write_text("".join(f">s{i}\n" + f"{'ACGT' * 5}\n" * (i % 7) for i in range(900)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = {r.name: r.sequence for r in read_fasta(spark, str(path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {f"s{i}": "ACGT" * 5 * (i % 7) for i in range(900)}
+
+
 def test_tables(spark, tmp_path):
     (tmp_path / "bc.txt").write_text("IX1\tACGT\nIX2  GGTT\n\nIX3\tAA\n")
     got = read_adaptors(spark, str(tmp_path / "bc.txt")).orderBy("adaptor_idx").collect()
