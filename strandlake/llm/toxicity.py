@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from strandlake.llm.flat import appended
 
 #: Training: at most this many documents of each class, and characters in total.
-TRAIN_PER_CLASS, TRAIN_CHARS = 3000, 12_000_000
+TRAIN_PER_CLASS, TRAIN_CHARS = 2000, 7_000_000
 #: Terms of the lexicon, prefix lengths tried, and the smallest log odds and number of documents of a term.
 TERMS, PREFIXES, LEAST_ODDS, LEAST_DOCS = 400, (4, 5, 6, 7, 8), 3.0, 4
 #: Log odds from which a term is taken though other terms cover its documents.
@@ -193,6 +193,14 @@ def learn(texts: list[str], toxic: np.ndarray, exceptions=EXCEPTIONS) -> Lexicon
         """Whether enough different words stand before the term; in copies of one document the same one does."""
         return len(beside.get(term, ())) >= max(least, 0.4 * len(where[term]))
 
+    def narrowed(term: str) -> str:
+        """The longest stem, or the word, that is in nearly all documents of a stem: short stems hit harmless words."""
+        if not term.endswith("*"):
+            return term
+        core, most = term[:-1], 0.95 * len(where[term])
+        inner = [t for t, ids in where.items() if t.startswith(core) and len(ids) >= most]
+        return max(inner, key=lambda t: (not t.endswith("*"), len(t), t))
+
     fewest = min(LEAST_DOCS, max(3, yes // 50))
     pool = {t for t, ids in where.items() if len(ids) >= fewest and odds(t) >= LEAST_ODDS and varied(t, 3)}
     terms: dict[str, float] = {}
@@ -203,6 +211,7 @@ def learn(texts: list[str], toxic: np.ndarray, exceptions=EXCEPTIONS) -> Lexicon
         gain = len(where[best] - covered)
         if gain < 2:
             break
+        best = narrowed(best)
         terms[best] = odds(best)
         covered |= where[best]
         pool = {t for t in pool if t != best and len(where[t] - covered) >= 2}
@@ -213,6 +222,7 @@ def learn(texts: list[str], toxic: np.ndarray, exceptions=EXCEPTIONS) -> Lexicon
         kin = any(core.startswith(c.rstrip("*")) if c.endswith("*") else term.endswith("*") and c.startswith(core) for c in terms)
         longer = term.endswith("*") and any(c.endswith("*") and c.startswith(core) for c in terms)
         if not kin and not longer and len(terms) < TERMS:
+            term = narrowed(term)
             terms[term] = odds(term)
     # a clean document with a term shows phrases in which the term is harmless
     lexicon = Lexicon(terms, exceptions)
