@@ -79,7 +79,7 @@ class Flat:
         return mix(value + (self.ends - self.starts).astype(_U))
 
 
-def pieces(batch, column: str, chars: int = 4_000_000):
+def pieces(batch, column: str, chars: int = 1_500_000):
     """Cut an Arrow batch into slices whose strings hold about ``chars`` bytes,
     so that memory does not depend on how long texts are."""
     if not batch.num_rows:

@@ -30,7 +30,7 @@ _CLASSES = [
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"#*$%&|<>", b"!?", b".,",
     b"\"'()+-/:;=@[\\]^_`{}~", bytes(range(128, 256)),
 ]
-_CLASS_OF = np.zeros(256, dtype=np.int64)
+_CLASS_OF = np.zeros(256, dtype=np.uint8)
 for _k, _members in enumerate(_CLASSES):
     for _b in _members:
         _CLASS_OF[_b] = _k + 1
