@@ -8,15 +8,15 @@
    are the nearest in URL. Hosts with more than ``BIG_HOST`` pages are cut into
    ranges by the first characters of the last path segment, in the same order,
    so no host is one group.
-3. The lines of a page that no markup decides on, and those in an article that
-   are mostly links, are aligned with the neighbour's by longest common
-   subsequence; shared lines are deleted.
+3. All lines that stand in no such element are aligned with the neighbour's by
+   longest common subsequence; shared lines are deleted, in articles too.
 
-Lines that markup declares an article's own are exempt from deletion: pages
-that are copies of each other, or that quote one passage, would lose the very
-text that is wanted. If a page has an article, what stands outside is no
-content. A pair that shares all its undecided lines tells template from text as
-little as a copy does, so the deletion is dropped if it would empty the page.
+Pages that are copies of each other would lose the very text that is wanted: a
+neighbour that shares more than half the characters of the shorter article
+deletes none of an article's lines but those that are mostly links. If a page
+has an article, what stands outside is no content. A pair that shares all its
+lines tells template from text as little as a copy does, so the deletion is
+dropped if it would empty the page.
 
 Null html gives an empty text; a null url has no host and no neighbour. Repeated
 rows get the same text: a page is never compared with a row of its own page_id.
@@ -198,38 +198,49 @@ def shared_lines(mine: list[int], other: list[int]) -> set[int]:
     return out
 
 
-def main_text(lines: list[str], kinds: list[int], keys: list[int], neighbours: list[list[int]]) -> str:
-    """Text of a page's lines less those shared with a neighbour; ``keys`` are hashes of the lines that may be deleted."""
+def main_text(lines: list[str], kinds: list[int], keys: list[int], neighbours: list[tuple[list[int], int]]) -> str:
+    """Text of a page's lines less those shared with a neighbour.
+
+    ``keys`` are hashes of the lines; a neighbour is its own keys and the
+    characters of its article, or of all its lines if it has none.
+    """
     has_own = OWN in kinds
-    free = [i for i, k in enumerate(kinds) if k != OWN]
+    size = own_chars(lines, kinds)
     gone: set[int] = set()
-    for other in neighbours:
-        if other:
-            gone |= {free[i] for i in shared_lines(keys, other)}
-    keep = [
-        i for i, k in enumerate(kinds) if k == OWN or i not in gone and (k == LINKS or not has_own)
-    ]
-    if not keep and not has_own:
-        keep = list(range(len(lines)))
+    for other, other_size in neighbours:
+        shared = shared_lines(keys, other)
+        if 2 * sum(len(lines[i]) for i in shared if kinds[i] == OWN) > min(size, other_size):  # a copy
+            shared = {i for i in shared if kinds[i] != OWN}
+        gone |= shared
+    inside = [i for i, k in enumerate(kinds) if k != OPEN or not has_own]
+    keep = [i for i in inside if i not in gone]
+    if not keep:
+        keep = [i for i in inside if kinds[i] == OWN or not has_own]
     return " ".join(lines[i] for i in keep)
 
 
-def _hash(line: str) -> int:
-    return int(pd.util.hash_array(np.array([line], dtype=object))[0].view(np.int64))
+def own_chars(lines: list[str], kinds: list[int]) -> int:
+    """Characters of a page's article, or of all lines if it has none."""
+    return sum(len(t) for t, k in zip(lines, kinds, strict=True) if k == OWN or OWN not in kinds)
 
 
 def _parse(pages_html):
     rows = [blocks(t) for t in pages_html]
+    ends = np.cumsum([len(r) for r in rows])
+    hashes = pd.util.hash_array(np.array([t for r in rows for t, _ in r], dtype=object), categorize=False).view(np.int64)
+    lines, kinds = [[t for t, _ in r] for r in rows], [[k for _, k in r] for r in rows]
     return {
-        "lines": [[t for t, _ in r] for r in rows], "kinds": [[k for _, k in r] for r in rows],
-        "keys": [[_hash(t) for t, k in r if k != OWN] for r in rows],
+        "lines": lines, "kinds": kinds, "keys": [hashes[e - len(r) : e].tolist() for r, e in zip(rows, ends, strict=True)],
+        "own": [own_chars(t, k) for t, k in zip(lines, kinds, strict=True)],
     }
 
 
 def _assemble(batches):
     for batch in batches:
         rows = batch.select(["lines", "kinds", "keys", "before", "after"]).to_pylist()
-        texts = [main_text(r["lines"], r["kinds"], r["keys"], [r["before"] or [], r["after"] or []]) for r in rows]
+        texts = [
+            main_text(r["lines"], r["kinds"], r["keys"], [(n["keys"], n["own"]) for n in (r["before"], r["after"]) if n]) for r in rows
+        ]
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
         )
@@ -244,9 +255,9 @@ def extract(pages: DataFrame, big_host: int = BIG_HOST) -> DataFrame:
         F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"),
         F.col("html").cast("string").alias("html"),
     )
-    parsed = cut(appended(base, "html", _parse, "lines array<string>, kinds array<int>, keys array<long>"))
-    # pages without a line to compare are done; the others are dealt by host and, in large hosts, path range
-    done = parsed.where(F.size("keys") == 0).select("page_id", "url", F.array_join("lines", " ").alias("text"))
+    parsed = cut(appended(base, "html", _parse, "lines array<string>, kinds array<int>, keys array<long>, own long"))
+    # pages without a line are done; the others are dealt by host and, in large hosts, path range
+    done = parsed.where(F.size("keys") == 0).select("page_id", "url", F.lit("").alias("text"))
     free = parsed.where(F.size("keys") > 0)
     sizes = free.groupBy("host").count().where(F.col("count") > big_host).select("host", F.lit(True).alias("big"))
     ranged = F.regexp_extract("path", rf"^(.*/[^/]{{0,{RANGE_CHARS}}})[^/]*/?$", 1)
@@ -258,7 +269,7 @@ def extract(pages: DataFrame, big_host: int = BIG_HOST) -> DataFrame:
     def other(step):
         shift = F.lag if step < 0 else F.lead
         known = (F.col("host") != "") & (shift("page_id", 1).over(by) != F.col("page_id"))
-        return F.when(known, shift("keys", 1).over(by))
+        return F.when(known, shift(F.struct("keys", "own"), 1).over(by))
 
     compared = (
         ranked.withColumn("before", other(-1)).withColumn("after", other(1))

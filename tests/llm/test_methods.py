@@ -332,6 +332,20 @@ def test_shared_lines_go(spark):
         assert got[100] == "Home About us alone Imprint of the site" and got[101] == got[10]
 
 
+def test_shared_lines_of_articles_go(spark):
+    def page(i, body):
+        return f"<body><p>Home</p><article><h1>Story {i}</h1><p>Sent to you by the desk</p><p>{body}</p><p>All rights reserved</p></article></body>"
+
+    bodies = [f"what happened on day {i} and why it is told at such length here, page {i}" for i in range(6)]
+    rows = [(i, f"https://h.example.com/{i}", page(i, b)) for i, b in enumerate(bodies)]
+    # copies beside each other, and near copies, keep their text
+    rows += [(10 + i, f"https://copy.example.com/{i}", page(i // 3, bodies[0])) for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in page_diff.extract(pages).collect()}
+    assert all(got[i] == f"Story {i} {b}" for i, b in enumerate(bodies))
+    assert all(bodies[0] in got[10 + i] for i in range(5))
+
+
 # --- urls
 
 
