@@ -5,9 +5,10 @@
    asides, forms, and classes, ids or roles for adverts, notices, comments and
    the like), inside an ``article`` or ``main`` element, or neither.
 2. Within each host pages are ordered by URL path; the pages before and after
-   are the nearest in URL. Hosts with more than ``BIG_HOST`` pages are cut into
-   ranges by the first characters of the last path segment, in the same order,
-   so no host is one group.
+   are the nearest in URL. The order of all pages is cut into ranges of about
+   ``BIG_HOST`` pages, wherever hosts begin, so no host is one group. The last
+   page of a range also goes to the next one and the first to the one before,
+   so every page sees both its neighbours.
 3. All lines that stand in no such element are aligned with the neighbour's by
    longest common subsequence; shared lines are deleted, in articles too.
 
@@ -34,12 +35,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.flat import appended
-from strandlake.plans.lineage import cut
 
-#: Pages of a host from which its path ranges are dealt separately, and characters of the last segment that do so.
-BIG_HOST, RANGE_CHARS = 2_000, 2
-#: Lines aligned per pair; longer lists are aligned in pieces of this size (an anchor on equal lines keeps them in step).
-PIECE = 400
+#: Pages of a range, most ranges for each shuffle partition, and pages sampled for each to find where ranges begin.
+BIG_HOST, RANGES, SAMPLED = 2_000, 4, 20
+#: Cells of a table held at a time; longer lists of lines are halved until their parts fit.
+CELLS = 640_000
 
 # Elements that are no content, elements that begin a block, elements without an end tag, elements of raw text
 DROPPED = frozenset(
@@ -175,27 +175,41 @@ def shared_lines(mine: list[int], other: list[int]) -> set[int]:
     common = set(mine[a : len(mine) - z]) & set(other[a : len(other) - z])
     left = [i for i in range(a, len(mine) - z) if mine[i] in common]
     right = [x for x in other[a : len(other) - z] if x in common]
-    for start in range(0, len(left), PIECE):
-        own = left[start : start + PIECE]
-        if not right:
-            break
-        rows = np.array(right[:] if len(right) <= 4 * PIECE else right[: 4 * PIECE])
-        table = np.zeros((len(own) + 1, len(rows) + 1), dtype=np.int32)
-        for i, k in enumerate(own, 1):
-            best = np.maximum(table[i - 1, 1:], table[i - 1, :-1] + (rows == mine[k]))
-            table[i, 1:] = np.maximum.accumulate(best)
-        i, j, last = len(own), len(rows), 0
-        while i and j:
-            if rows[j - 1] == mine[own[i - 1]] and table[i, j] == table[i - 1, j - 1] + 1:
-                out.add(own[i - 1])
-                last = max(last, j)
-                i, j = i - 1, j - 1
-            elif table[i - 1, j] >= table[i, j - 1]:
-                i -= 1
-            else:
-                j -= 1
-        right = right[last:]
-    return out
+    return out | {left[i] for i in _aligned(np.array([mine[i] for i in left]), np.array(right))}
+
+
+def _lengths(a, b):
+    """Rows 0, 1, ... of the table: longest common subsequences of beginnings of ``a`` with those of ``b``."""
+    row = np.zeros(len(b) + 1, dtype=np.int32)
+    yield row
+    for x in a:
+        row = np.concatenate(([0], np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))))
+        yield row
+
+
+def _aligned(a, b) -> list[int]:
+    """Positions of ``a`` on a longest common subsequence with ``b``, in memory that doesn't grow with the product (Hirschberg, 1975)."""
+    if not len(a) or not len(b):
+        return []
+    if len(a) > 1 and (len(a) + 1) * (len(b) + 1) > CELLS:
+        half = len(a) // 2
+        for upper in _lengths(a[:half], b):
+            pass
+        for lower in _lengths(a[half:][::-1], b[::-1]):
+            pass
+        at = int(np.argmax(upper + lower[::-1]))
+        return _aligned(a[:half], b[:at]) + [half + i for i in _aligned(a[half:], b[at:])]
+    table = np.stack(list(_lengths(a, b)))
+    i, j, out = len(a), len(b), []
+    while i and j:
+        if b[j - 1] == a[i - 1] and table[i, j] == table[i - 1, j - 1] + 1:
+            out.append(i - 1)
+            i, j = i - 1, j - 1
+        elif table[i - 1, j] >= table[i, j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
 
 
 def main_text(lines: list[str], kinds: list[int], keys: list[int], neighbours: list[tuple[list[int], int]]) -> str:
@@ -246,6 +260,40 @@ def _assemble(batches):
         )
 
 
+_PLACE = ("host", "path", "page_id", "url")
+
+
+def _ranged(base: DataFrame, size: int) -> DataFrame:
+    """Adds part, the number of the range of about ``size`` pages, to rows that have the columns of _PLACE."""
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(-(-base.count() // size), RANGES * parts)
+    starts: list[tuple] = []
+    if ranges > 1:
+        # a page's hash chooses it, so the sample is the same each time
+        found = base.where("page_id is not null").select(*_PLACE[:3]).orderBy(F.xxhash64(*_PLACE), *_PLACE[:3]).limit(SAMPLED * ranges).collect()
+        order = sorted(map(tuple, found), key=lambda r: (r[0].encode(), r[1].encode(), r[2]))
+        starts = list(dict.fromkeys(order[i * len(order) // ranges] for i in range(1, ranges) if order))
+    if not starts:
+        return base.withColumn("part", F.lit(0))
+    place = F.struct(*_PLACE[:3])
+    begins = F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(i).cast("long").alias("page_id")) for h, p, i in starts])
+    return base.withColumn("part", F.aggregate(begins, F.lit(0), lambda n, x: n + (x <= place).cast("int")))
+
+
+def _met(ranged: DataFrame) -> DataFrame | None:
+    """(page_id, url, also): the pages at an end of a range and the ranges that they border on within their host."""
+    place = F.struct(*_PLACE)
+    ends = ranged.groupBy("part").agg(F.min(place).alias("first"), F.max(place).alias("last")).collect()
+    ends.sort(key=lambda r: r["part"])
+    also: dict[tuple, list[int]] = {}
+    for one, two in zip(ends, ends[1:], strict=False):
+        if one["last"]["host"] and one["last"]["host"] == two["first"]["host"]:
+            also.setdefault((one["last"]["page_id"], one["last"]["url"]), []).append(two["part"])
+            also.setdefault((two["first"]["page_id"], two["first"]["url"]), []).append(one["part"])
+    rows = [(i, u, p) for (i, u), p in also.items()]
+    return ranged.sparkSession.createDataFrame(rows, "page_id long, url string, also array<int>") if rows else None
+
+
 def extract(pages: DataFrame, big_host: int = BIG_HOST) -> DataFrame:
     """(page_id, url, text) of every row of ``pages`` (page_id, url, html)."""
     rest = F.regexp_extract(F.coalesce("url", F.lit("")), r"^.*?://(.*)$", 1)
@@ -255,25 +303,30 @@ def extract(pages: DataFrame, big_host: int = BIG_HOST) -> DataFrame:
         F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"),
         F.col("html").cast("string").alias("html"),
     )
-    parsed = cut(appended(base, "html", _parse, "lines array<string>, kinds array<int>, keys array<long>, own long"))
-    # pages without a line are done; the others are dealt by host and, in large hosts, path range
-    done = parsed.where(F.size("keys") == 0).select("page_id", "url", F.lit("").alias("text"))
-    free = parsed.where(F.size("keys") > 0)
-    sizes = free.groupBy("host").count().where(F.col("count") > big_host).select("host", F.lit(True).alias("big"))
-    ranged = F.regexp_extract("path", rf"^(.*/[^/]{{0,{RANGE_CHARS}}})[^/]*/?$", 1)
-    ranked = free.join(sizes, "host", "left").withColumn("part", F.when(F.col("big"), ranged).otherwise(""))
+    ranged = _ranged(base, big_host)
+    met = _met(ranged)
+    parsed = appended(ranged, "html", _parse, "lines array<string>, kinds array<int>, keys array<long>, own long")
+    if met is None:
+        dealt = parsed.withColumn("guest", F.lit(False))
+    else:
+        # a page at the end of a range is a guest in the next one: a neighbour there, without a result
+        places = F.concat(
+            F.array(F.struct("part", F.lit(False).alias("guest"))),
+            F.transform(F.coalesce("also", F.array().cast("array<int>")), lambda p: F.struct(p.alias("part"), F.lit(True).alias("guest"))),
+        )
+        dealt = parsed.join(F.broadcast(met), ["page_id", "url"], "left").withColumn("place", F.explode(places)).select(
+            *[c for c in parsed.columns if c != "part"], "place.part", "place.guest"
+        )
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranked = ranked.repartition(parts, "host", "part")
-    by = Window.partitionBy("host", "part").orderBy("path", "page_id", "url")
+    by = Window.partitionBy("part").orderBy(*_PLACE)
 
     def other(step):
         shift = F.lag if step < 0 else F.lead
-        known = (F.col("host") != "") & (shift("page_id", 1).over(by) != F.col("page_id"))
-        return F.when(known, shift(F.struct("keys", "own"), 1).over(by))
+        near = shift(F.struct("host", "page_id", "keys", "own"), 1).over(by)
+        return F.when((F.col("host") != "") & (near["host"] == F.col("host")) & (near["page_id"] != F.col("page_id")), near)
 
     compared = (
-        ranked.withColumn("before", other(-1)).withColumn("after", other(1))
+        dealt.repartition(parts, "part").withColumn("before", other(-1)).withColumn("after", other(1)).where(~F.col("guest"))
         .select("page_id", "url", "lines", "kinds", "keys", "before", "after")
-        .mapInArrow(_assemble, "page_id long, url string, text string")
     )
-    return done.unionByName(compared)
+    return compared.mapInArrow(_assemble, "page_id long, url string, text string")

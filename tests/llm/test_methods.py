@@ -346,6 +346,26 @@ def test_shared_lines_of_articles_go(spark):
     assert all(bodies[0] in got[10 + i] for i in range(5))
 
 
+def test_ranges_lose_no_neighbour(spark):
+    def page(body):
+        return f"<body><div>Home</div><div>{body}</div><div>Imprint of the site</div></body>"
+
+    rows = [(i, f"https://h.example.com/story/{i:03d}/index.html", page(f"story number {i}")) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for big in (1, 7, 1000):
+        got = {r.page_id: r.text for r in page_diff.extract(pages, big_host=big).collect()}
+        assert got == {i: f"story number {i}" for i in range(40)}
+
+
+def test_long_lists_of_lines_align_whole(monkeypatch):
+    own, other = [-1, *range(1, 2001), -2], [-3, *range(401, 1601), *range(1, 401), -4]
+    assert page_diff.shared_lines(own, other) == set(range(401, 1601))
+    lists = [[RNG.randint(1, 9) for _ in range(60)] for _ in range(20)]
+    whole = [len(page_diff.shared_lines(a, b)) for a, b in zip(lists, lists[1:])]
+    monkeypatch.setattr(page_diff, "CELLS", 30)
+    assert [len(page_diff.shared_lines(a, b)) for a, b in zip(lists, lists[1:])] == whole
+
+
 # --- urls
 
 
