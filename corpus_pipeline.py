@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from strandlake.llm import decontaminate, language_id, line_crf, near_dedup, packing
 from strandlake.plans.shipping import ship
 
-#: Smallest scores with which a document stays.
+#: Scores from which a language is clear, which no stage asks for, and the smallest quality with which a document stays.
 LANGUAGE_SCORE, QUALITY_SCORE = 0.5, 0.5
 
 
@@ -30,11 +30,11 @@ def _restored(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: not ``und`` and of a score of at least LANGUAGE_SCORE."""
+    """Documents whose language is known: not ``und``. Scores of short texts are low, however clean, so none is asked for."""
     ship(spark)
     model = language_id.fit(docs)
     found = language_id.classify(_carried(docs), model, keep_text=True)
-    return _restored(found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)), docs)
+    return _restored(found.where(F.col("lang_pred") != language_id.UNKNOWN), docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
