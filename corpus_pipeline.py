@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import decontaminate, language_id, line_crf, near_dedup, packing
+from strandlake.plans.lineage import cut
 from strandlake.plans.shipping import ship
 
 #: Scores from which a language is clear, which no stage asks for, and the smallest quality with which a document stays.
@@ -44,14 +45,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _restored(line_crf.classify(_carried(docs), model, keep_text=True).where(F.col("score") >= QUALITY_SCORE), docs)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """:func:`_carried` with ``_n``: a number for each pair of id and text, in the order of ids; null beside a null id."""
+    rows = _carried(docs).withColumn("_id", F.col("_row.doc_id").cast("long"))
+    rows = rows.withColumn("_print", F.coalesce(F.sha2(F.col("text").cast("string"), 256), F.lit("")))
+    pairs = rows.where("_id is not null").select("_id", "_print").distinct().orderBy("_id", "_print")
+    made = pairs.rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1]))
+    numbers = cut(docs.sparkSession.createDataFrame(made, "_id long, _print string, _n long"))
+    return rows.join(numbers, ["_id", "_print"], "left").select("text", "_row", "_n")
+
+
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each near-duplicate group (5-word shingles, similarity 0.8)."""
+    """One document, of the smallest id, of each near-duplicate group (5-word shingles, similarity 0.8).
+
+    Where ids repeat, rows of one id and different texts are documents of their
+    own, and of equal rows one stays. Documents without an id all stay.
+    """
     ship(spark)
-    found = near_dedup.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        found = near_dedup.near_duplicates(docs)
+        gone = found.where(~F.col("kept")).select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = _numbered(docs)
+    found = near_dedup.near_duplicates(rows.select(F.col("_n").alias("doc_id"), "text"))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_n")).distinct()
+    kept = rows.join(gone, "_n", "left_anti").select("text", "_row", "_n")
+    return _restored(kept.where("_n is not null").dropDuplicates(["_n"]).unionByName(kept.where("_n is null")), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
