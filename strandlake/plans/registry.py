@@ -161,10 +161,22 @@ def nw_score_paired(spark, sf_dir):
     return overlap.pair_scores(_prefix_pairs(rows), rows, gap=25, mismatch=13)
 
 
+def nw_score_shared(spark, sf_dir):
+    """Alignment scores of all pairs of reads that share a 31-mer."""
+    rows = reads(ship(spark), sf_dir)
+    return overlap.pair_scores(overlap.shared_kmer_pairs(rows, 31), rows)
+
+
+def nw_score_paired_shared(spark, sf_dir):
+    """The same with the costs of the paired aligner."""
+    rows = reads(ship(spark), sf_dir)
+    return overlap.pair_scores(overlap.shared_kmer_pairs(rows, 31), rows, gap=25, mismatch=13)
+
+
 def overlap_scores(spark, sf_dir):
-    """Alignment, overlap and its score for the same pairs."""
+    """Alignment, overlap and its score of all pairs of reads that share a 31-mer."""
     rows = reads(ship(spark), sf_dir)
-    return overlap.overlaps(_prefix_pairs(rows), rows)
+    return overlap.overlaps(overlap.shared_kmer_pairs(rows, 31), rows)
 
 
 def _edges(spark, sf_dir) -> DataFrame:
@@ -185,6 +197,24 @@ def cluster_sizes(spark, sf_dir):
     return graph.component_sizes(graph.linkage_clusters(_edges(spark, sf_dir), 60))
 
 
+def _shared_prefix_edges(spark, sf_dir) -> DataFrame:
+    """Edges of all pairs of reads that share a prefix 10-mer, with the edit distance as weight."""
+    rows = reads(spark, sf_dir)
+    both = overlap._with_sequences(overlap.shared_kmer_pairs(rows, 10, prefix=12), rows)
+    return both.select(F.col("read1").alias("src"), F.col("read2").alias("dst"), F.levenshtein("seq1", "seq2").cast("long").alias("distance"))
+
+
+def edge_clusters_shared(spark, sf_dir):
+    """Single-linkage clusters over all those edges at a cutoff, with the distance to the seed."""
+    edges = _shared_prefix_edges(spark, sf_dir)
+    return graph.with_seed_distance(graph.linkage_clusters(edges, 60), edges)
+
+
+def cluster_sizes_shared(spark, sf_dir):
+    """Sizes of those clusters."""
+    return graph.component_sizes(graph.linkage_clusters(_shared_prefix_edges(spark, sf_dir), 60))
+
+
 def demux_clusters(spark, sf_dir):
     """Components of reads that share a prefix 10-mer."""
     return demux.demux_clusters(reads(spark, sf_dir)).select(F.col("node").alias("read_id"), "component")
@@ -271,7 +301,8 @@ QUERIES = {f.__name__: f for f in (
     top_kmers, kmer_count, kmer_quality, kmer_table_csv, kmer_compat, kmer_variability, kmer_positions, prefix_kmer_count,
     wide_codes, read_errors, pattern_quality, reverse_complement, read_quality, alignment_probability, barcode_frequency,
     adaptor_assign, adaptor_windows, adaptor_unmatched, set_intersection, overlap_pairs, overlap_degree, nw_score,
-    nw_score_paired, overlap_scores, edge_clusters, cluster_sizes, demux_clusters, demux_sizes, demux_reads, demux_fastq,
+    nw_score_paired, nw_score_shared, nw_score_paired_shared, overlap_scores, edge_clusters, cluster_sizes, edge_clusters_shared,
+    cluster_sizes_shared, demux_clusters, demux_sizes, demux_reads, demux_fastq,
     bucket_barcodes, percent_range_filter, length_histogram, length_stats, mate_range_join, paired_alignment,
 )}
 
