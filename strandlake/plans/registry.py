@@ -264,7 +264,7 @@ def length_stats(spark, sf_dir):
 
 
 def mate_range_join(spark, sf_dir):
-    """Pairs of 12-mer positions of the two hits less than 700 bases apart."""
+    """Pairs of even 12-mer positions less than 70 bases apart, of which one begins with TT and the other with AT (J10, as its SQL has it)."""
     hits = kmers.windows(adaptor_genome(spark, sf_dir), 12, step=2).select(
         F.col("chr_id"), F.col("kmer"), F.col("pos").alias("ref_pos")
     )
@@ -276,6 +276,15 @@ def mate_range_join(spark, sf_dir):
     return paired.mate_pairs(mates, 70).select(F.col("chr_id"), F.col("ref1").cast("long").alias("ref1"), F.col("ref2").cast("long").alias("ref2"))
 
 
+def mate_range_pairs(spark, sf_dir):
+    """Pairs of 12-mer positions less than MATE_RANGE bases apart, every position as a hit of both mates."""
+    hits = kmers.windows(adaptor_genome(spark, sf_dir), 12).select(
+        F.lit(0).alias("pair_id"), F.lit("+").alias("strand"), "chr_id", F.col("pos").alias("ref_pos"), F.lit(0).alias("read_pos")
+    )
+    mates = hits.withColumn("mate", F.explode(F.array(F.lit(1), F.lit(2))))
+    return paired.mate_pairs(mates).select(F.col("chr_id"), F.col("ref1").cast("long").alias("ref1"), F.col("ref2").cast("long").alias("ref2"))
+
+
 def adaptor_genome(spark, sf_dir) -> DataFrame:
     """(chr_id, sequence): every benchmark item's bases as a chromosome."""
     from strandlake.plans.bridge import bases
@@ -303,7 +312,7 @@ QUERIES = {f.__name__: f for f in (
     adaptor_assign, adaptor_windows, adaptor_unmatched, set_intersection, overlap_pairs, overlap_degree, nw_score,
     nw_score_paired, nw_score_shared, nw_score_paired_shared, overlap_scores, edge_clusters, cluster_sizes, edge_clusters_shared,
     cluster_sizes_shared, demux_clusters, demux_sizes, demux_reads, demux_fastq,
-    bucket_barcodes, percent_range_filter, length_histogram, length_stats, mate_range_join, paired_alignment,
+    bucket_barcodes, percent_range_filter, length_histogram, length_stats, mate_range_join, mate_range_pairs, paired_alignment,
 )}
 
 
