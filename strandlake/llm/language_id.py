@@ -7,8 +7,9 @@ character (the cross-parsing of Ziv and Merhav, 1993). The language whose
 automaton needs the fewest phrases wins; the score is a softmax of the phrase
 counts, so 1 means that no other language comes near.
 
-The automaton is a dense table over a small alphabet: letters common in the
-training text, space and one symbol for everything else. Entry (state, symbol)
+The automaton is a dense table over a small alphabet: letters of the training
+text (in several scripts each language's commonest, the rest hashed to a few
+symbols), space and one symbol for everything else. Entry (state, symbol)
 holds the next state, and a flag if no transition exists and a new phrase
 begins with that symbol. Texts are parsed in lanes: each step moves all lanes of
 a batch by one symbol with array operations. Lanes are pieces of ``LANE``
@@ -21,6 +22,8 @@ learn from, every text gets ``und``. Ties go to the language that sorts first.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -31,26 +34,42 @@ from strandlake.llm.sampling import fold
 
 #: Characters of training text per language and of all languages, the largest alphabet, and characters of a lane.
 TRAIN_CHARS, TOTAL_CHARS, SYMBOLS, LANE = 60_000, 900_000, 56, 1024
+#: Of the alphabet, the symbols shared by letters that have none of their own.
+HASHED = 16
 #: Languages with fewer training documents than this are left out.
 MIN_DOCS = 3
 UNKNOWN = "und"
 
 
-def alphabet(texts: list[str]) -> dict[int, int]:
-    """Code point to symbol: 0 is space, 1 any other character, from 2 on common letters."""
-    counts: dict[str, int] = {}
-    for text in texts:
-        for ch in text.lower():
-            if ch.isalpha():
-                counts[ch] = counts.get(ch, 0) + 1
-    common = sorted(counts, key=lambda c: (-counts[c], c))[: SYMBOLS - 2]
-    return {ord(c): i + 2 for i, c in enumerate(common)}
+def alphabet(*languages: list[str]) -> dict[int, int]:
+    """Code point to symbol of the letters in the texts of each language: 0 is space, 1 any other character.
+
+    Where letters outnumber the symbols, languages choose their commonest in
+    turn, and the rest are hashed to the last HASHED symbols.
+    """
+    ranked, total = [], {}
+    for texts in languages:
+        counts: dict[str, int] = {}
+        for text in texts:
+            for ch in text.lower():
+                if ch.isalpha():
+                    counts[ch] = counts.get(ch, 0) + 1
+        ranked.append(sorted(counts, key=lambda c: (-counts[c], c)))
+        for c, n in counts.items():
+            total[c] = total.get(c, 0) + n
+    common = sorted(total, key=lambda c: (-total[c], c))
+    if len(common) <= SYMBOLS - 2:
+        return {ord(c): i + 2 for i, c in enumerate(common)}
+    own = SYMBOLS - 2 - HASHED
+    turns = dict.fromkeys(row[i] for i in range(own) for row in ranked if i < len(row))
+    out = {ord(c): i + 2 for i, c in enumerate([*turns][:own])}
+    return {ord(c): own + 2 + (ord(c) * 2654435761 % 2**32 >> 16) % HASHED for c in common} | out
 
 
 def symbol_table(letters: dict[int, int]) -> np.ndarray:
-    """Symbol of every code point below 0x3000; runs of what isn't a letter become one space later."""
-    table = np.zeros(0x3000, dtype=np.uint8)
-    for cp in range(0x3000):
+    """Symbol of every code point; runs of what isn't a letter become one space later."""
+    table = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+    for cp in range(len(table)):
         ch = chr(cp)
         if ch.isalpha():
             low = ch.lower()
@@ -61,7 +80,7 @@ def symbol_table(letters: dict[int, int]) -> np.ndarray:
 def symbols(text: str, table: np.ndarray) -> np.ndarray:
     """Symbols of a text with each run of spaces reduced to one, and one at both ends."""
     points = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    out = np.where(points < len(table), table[np.minimum(points, len(table) - 1)], 1).astype(np.uint8)
+    out = table[points]
     keep = np.ones(len(out), dtype=bool)
     keep[1:] = (out[1:] != 0) | (out[:-1] != 0)
     return out[keep]
@@ -136,9 +155,9 @@ class Model:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.names = sorted(samples)
-        letters = alphabet([t for texts in samples.values() for t in texts])
+        letters = alphabet(*(samples[name] for name in self.names))
         self.table = symbol_table(letters)
-        self.width = width = len(letters) + 2
+        self.width = width = max(letters.values(), default=1) + 1
         self.steps = []
         for name in self.names:
             text = np.concatenate([symbols(t, self.table) for t in samples[name]])[: min(TRAIN_CHARS, TOTAL_CHARS // len(self.names))]

@@ -366,6 +366,24 @@ def test_long_lists_of_lines_align_whole(monkeypatch):
     assert [len(page_diff.shared_lines(a, b)) for a, b in zip(lists, lists[1:])] == whole
 
 
+# --- scripts
+
+
+def test_scripts_are_told_apart():
+    rng = random.Random(9)
+    pools = {"zh": range(0x4E00, 0x4E40), "ja": range(0x3042, 0x3082), "ko": range(0xAC00, 0xAC40), "ru": range(0x430, 0x450), "el": range(0x3B1, 0x3CA)}
+    lexicon = {n: ["".join(chr(rng.choice(p)) for _ in range(rng.randint(2, 4))) for _ in range(60)] for n, p in pools.items()}
+
+    def text(name, n):
+        return " ".join(rng.choice(lexicon[name]) for _ in range(n))
+
+    model = language_id.Model({n: [text(n, 300) for _ in range(5)] for n in pools})
+    assert model.width <= language_id.SYMBOLS
+    tests = [(n, text(n, 30)) for n in pools for _ in range(10)]
+    assert model.predict([t for _, t in tests])[0] == [n for n, _ in tests]
+    assert language_id.Model({"zh": [text("zh", 99)], "ja": [text("ja", 99)]}).predict([text("ja", 20), "。、！"])[0] == ["ja", "und"]
+
+
 # --- urls
 
 
