@@ -5,7 +5,9 @@ forest by pointer doubling and contracts the edges to the roots. A round at
 least halves the vertices that still have edges, so the number of rounds is
 logarithmic; a star, whatever its size, takes one. Neighbour minima are partial
 aggregates, so a hub with a third of all edges is reduced before the shuffle.
-Nothing but one boolean per round reaches the driver.
+Joins on an end that may be a hub go through :func:`~strandlake.plans.skew.lookup`,
+which deals a hub's rows out. Nothing but one boolean per round reaches the
+driver; a round's tables are deleted once the next ones are written.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.plans.lineage import cut
+from strandlake.plans.lineage import cut, spent
+from strandlake.plans.skew import lookup
 
 
 def _any(df: DataFrame) -> bool:
@@ -23,14 +26,13 @@ def _any(df: DataFrame) -> bool:
 def _roots(parents: DataFrame) -> DataFrame:
     """Pointer doubling of (v, p) until every p is a root; roots have v = p."""
     while True:
-        up = parents.select(F.col("v").alias("_v"), F.col("p").alias("_p"))
-        doubled = cut(
-            parents.join(up, F.col("p") == F.col("_v"), "left")
-            .select("v", F.coalesce("_p", "p").alias("p"), (F.col("_p") != F.col("p")).alias("_moved"))
-        )
-        parents = doubled.select("v", "p")
+        up = parents.where("v <> p").select("v", F.col("p").alias("_up"))
+        pairs = parents.select("v", "p")
+        doubled = cut(lookup(pairs, up, "p", "v").select("v", F.coalesce("_up", "p").alias("p"), F.col("_up").isNotNull().alias("_moved")))
+        spent(parents)
+        parents = doubled
         if not _any(doubled.where("_moved")):
-            return parents
+            return doubled
 
 
 def connected_components(
@@ -48,31 +50,34 @@ def connected_components(
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     live = cut(
-        pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    seen = live.select(F.col("a").alias("v")).union(live.select("b")).distinct()
+    whole = live
+    live = live.where("a <> b")
     labels = None
     while _any(live):
         hooks = live.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p"))
         ends = live.select(F.col("b").alias("v")).distinct().join(hooks, "v", "left_anti").select("v", F.col("v").alias("p"))
         roots = _roots(cut(hooks.unionByName(ends)))
+        step = roots.select("v", F.col("p").alias("_to"))
         if labels is None:
             labels = roots
         else:
-            step = roots.select(F.col("v").alias("_v"), F.col("p").alias("_p"))
-            labels = cut(
-                labels.join(step, F.col("p") == F.col("_v"), "left").select("v", F.coalesce("_p", "p").alias("p"))
-            )
-        to_a = roots.select(F.col("v").alias("a"), F.col("p").alias("ra"))
-        to_b = roots.select(F.col("v").alias("b"), F.col("p").alias("rb"))
-        live = cut(
-            live.join(to_a, "a").join(to_b, "b").where("ra <> rb")
-            .select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct()
-        )
+            moved = cut(lookup(labels.select("v", "p"), step, "p", "v").select("v", F.coalesce("_to", "p").alias("p")))
+            spent(labels)
+            labels = moved
+        near = live.join(roots.select(F.col("v").alias("a"), F.col("p").alias("ra")), "a")
+        pulled = lookup(near, step, "b", "v").select("ra", F.col("_to").alias("rb")).where("ra <> rb")
+        left = cut(pulled.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct())
+        spent(live)
+        if roots is not labels:
+            spent(roots)
+        live = left
+    spent(live)
+    alone = whole.where("a = b").select(F.col("a").alias("v"))
+    if vertices is not None:
+        alone = alone.union(vertices.select(F.col(node).alias("v")).where("v is not null"))
     if labels is None:
-        labels = seen.select("v", F.col("v").alias("p"))
-    out = labels.select(F.col("v").alias(node), F.col("p").alias(component))
-    loops = pairs.where("a = b").select(F.col("a").alias(node))
-    alone = loops if vertices is None else vertices.select(F.col(node)).where(F.col(node).isNotNull()).union(loops)
-    alone = alone.distinct().join(out, node, "left_anti").select(node, F.col(node).alias(component))
-    return out.unionByName(alone)
+        return alone.distinct().select(F.col("v").alias(node), F.col("v").alias(component))
+    alone = alone.distinct().join(labels, "v", "left_anti").select("v", F.col("v").alias("p"))
+    return labels.select("v", "p").unionByName(alone).select(F.col("v").alias(node), F.col("p").alias(component))

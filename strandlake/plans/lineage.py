@@ -3,19 +3,59 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it from there.
 
-    The folder is the one that ``spark.checkpoint.dir`` names. Only where that
-    is unset, as in local tests, a temporary folder is set; Spark's context
-    cleaner deletes the files once the frame is no longer used.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables between steps: what ``spark.checkpoint.dir`` names, or the context's checkpoint folder.
+
+    Where both are unset, a local master gets a temporary folder; on a cluster
+    that would leave each machine's files to itself, so it is an error there.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="strandlake-"))
-    return df.checkpoint(eager)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder."""
+    store, where = _place(spark, path)
+    store.delete(where, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table to the shared folder and read it from there.
+
+    The table goes with :func:`spent`, or when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    store, where = _place(spark, path)
+    store.deleteOnExit(where)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def spent(*frames: DataFrame | None) -> None:
+    """Delete the tables of frames from :func:`cut` that nothing will read again; other frames are ignored."""
+    for df in frames:
+        path = _written.pop(df, None) if df is not None else None
+        if path is not None:
+            forget(df.sparkSession, path)
