@@ -1,20 +1,26 @@
 """Quality rules by distribution divergence, in DataFrame expressions only.
 
 References are learnt from the table itself: for each language the shares of
-character classes over all its documents, and those of its most frequent short
-words. A document's own shares are compared with every language's by
-Jensen-Shannon distance and the nearest language counts, so no declared
-language is trusted. Documents too short for a histogram pass by a minimum
-length guard. The base rules (word count, repeated 5-word windows) come first.
+character classes over all its documents, and those of its most frequent words.
+A language needs ``REFERENCE_WORDS`` words in all, however small its share of the
+table; at most ``LANGUAGES`` of them, those with the most words, have a reference.
+A document's own shares are compared with every language's by Jensen-Shannon
+distance and the nearest language counts. The distance of words is measured in
+units of what a text without any of the language's common words has, so lacking
+them all gives 1 whatever the language. Documents too short for a histogram pass
+by a minimum length guard, and so do documents of a declared language that has
+no reference: there is nothing to compare them with. The base rules (word count,
+repeated 5-word windows) come first.
 
 Everything per document is computed within its row; only word counts are
-shuffled, after partial aggregation, and of these only words of up to
-``SHORT`` letters. Words are compared as they stand: sentence case and shouting
-are part of a distribution. The driver receives at most ``TOP`` words for each language that has
-at least one in a hundred documents.
+shuffled, after partial aggregation. Words are compared as they stand: sentence
+case and shouting are part of a distribution. The driver receives ``TOP`` words
+and one row of sums for each reference.
 
 Null and empty texts have no words and fail the base rules. With no language in
-the table the divergence rules pass everything. Repeated rows are judged alike.
+the table the divergence rules pass everything. Rows without a language are
+compared with all references. Repeated rows, and rows of a null id, are judged
+each on its own; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +32,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.fence import fenced
-from strandlake.plans.lineage import cut
+from strandlake.plans.lineage import cut, spent
 
-#: Common words per language, longest of them, and the smallest share of documents of a language.
-TOP, SHORT, LEAST_SHARE = 20, 6, 0.01
-#: Guards: words and characters from which the histograms are compared, and the largest distances kept.
-MIN_WORDS, MIN_CHARS, MAX_WORD_DISTANCE, MAX_CHAR_DISTANCE = 60, 300, 0.45, 0.25
+#: Common words per language, words that a language needs for a reference, and the most references.
+TOP, REFERENCE_WORDS, LANGUAGES = 20, 2_000, 200
+#: Guards: words and characters from which the histograms are compared, and the largest distances kept (of words: in units of having no common word).
+MIN_WORDS, MIN_CHARS, MAX_WORD_DISTANCE, MAX_CHAR_DISTANCE = 80, 300, 0.97, 0.25
 MIN_BASE_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
@@ -79,28 +85,29 @@ def _repeats(df: DataFrame) -> DataFrame:
 
 
 def references(docs: DataFrame) -> list[tuple[str, list[float], dict[str, float]]]:
-    """(language, shares of character classes, shares of its common words) of each language."""
+    """(language, shares of character classes, shares of its common words) of each language with enough words."""
     known = docs.where(F.col("_lang").isNotNull())
-    sums = measured(known).groupBy("_lang").agg(F.count("*").alias("n"), *[F.sum(f"_{c}").alias(c) for c in CLASSES]).collect()
-    total = sum(r["n"] for r in sums)
-    wide = {r["_lang"]: r for r in sums if r["n"] >= LEAST_SHARE * total}
-    if not wide:
+    words = known.select("_lang", F.explode(F.split("_text", _SPACE)).alias("w")).where("w <> ''")
+    counts = cut(words.groupBy("_lang", "w").count())
+    held = {
+        r["_lang"]: r["n"] for r in counts.groupBy("_lang").agg(F.sum("count").alias("n")).where(F.col("n") >= REFERENCE_WORDS)
+        .orderBy(F.desc("n"), "_lang").limit(LANGUAGES).collect()
+    }
+    if not held:
+        spent(counts)
         return []
-    # long words share one group, so one pass gives the totals as well
-    words = known.where(F.col("_lang").isin(sorted(wide))).select("_lang", F.explode(F.split("_text", _SPACE)).alias("w"))
-    short = F.when(F.length("w") <= SHORT, F.col("w"))
-    counts = cut(words.where("w <> ''").groupBy("_lang", short.alias("w")).count())
-    held = {r[0]: r[1] for r in counts.groupBy("_lang").agg(F.sum("count")).collect()}
+    wide = known.where(F.col("_lang").isin(sorted(held)))
     best = Window.partitionBy("_lang").orderBy(F.col("count").desc(), "w")
-    top = counts.where("w is not null").withColumn("r", F.row_number().over(best)).where(F.col("r") <= TOP).collect()
+    few = counts.where(F.col("_lang").isin(sorted(held))).withColumn("r", F.row_number().over(best)).where(F.col("r") <= TOP)
+    top: dict[str, dict[str, float]] = {}
+    for r in few.collect():
+        top.setdefault(r["_lang"], {})[r["w"]] = r["count"] / held[r["_lang"]]
+    spent(counts)
+    sums = {r["_lang"]: r for r in measured(wide).groupBy("_lang").agg(*[F.sum(f"_{c}").alias(c) for c in CLASSES]).collect()}
     out = []
-    for name in sorted(wide):
-        row = wide[name]
-        if name not in held:
-            continue
-        chars = sum(row[c] for c in CLASSES) or 1
-        shares = {r["w"]: r["count"] / held[name] for r in top if r["_lang"] == name}
-        out.append((name, [row[c] / chars for c in CLASSES], shares))
+    for name in sorted(held):
+        chars = sum(sums[name][c] for c in CLASSES) or 1
+        out.append((name, [sums[name][c] / chars for c in CLASSES], top[name]))
     return out
 
 
@@ -117,8 +124,16 @@ def _mixed(q: float) -> float:
     return q / 2 * math.log2(q / 2) if q > 0 else 0.0
 
 
+def lacking(q: list[float]) -> float:
+    """Distance between a reference and a document that has nothing but the reference's last bin."""
+    rest = q[-1]
+    alone = math.fsum(-_mixed(x) for x in q[:-1]) - ((1 + rest) / 2) * math.log2((1 + rest) / 2)
+    own = -math.fsum(x * math.log2(x) for x in q if x > 0)
+    return math.sqrt(max(alone - own / 2, 0.0))
+
+
 def _least_distance(bins: Column, refs: list[list[float]]) -> Column:
-    """Smallest Jensen-Shannon distance between a document's non-empty bins and the references.
+    """Smallest Jensen-Shannon distance between a document's non-empty bins and the references, each in units of :func:`lacking`.
 
     ``bins`` is an array of (i, p): bin numbers and shares. With m the mean of
     both distributions the divergence is H(m) - (H(p) + H(q)) / 2; bins that the
@@ -129,7 +144,7 @@ def _least_distance(bins: Column, refs: list[list[float]]) -> Column:
     tables = F.array(*[
         F.struct(
             _doubles(q).alias("q"), _doubles(map(_mixed, q)).alias("alone"), F.lit(math.fsum(map(_mixed, q))).alias("all"),
-            F.lit(math.fsum(2 * _mixed(x) + x for x in q)).alias("own"),
+            F.lit(math.fsum(2 * _mixed(x) + x for x in q)).alias("own"), F.lit(lacking(q) or 1.0).alias("unit"),
         )
         for q in refs
     ])
@@ -142,9 +157,9 @@ def _least_distance(bins: Column, refs: list[list[float]]) -> Column:
                 mine, ref["all"],
                 lambda a, b: a + _entropy_part((b["p"] + F.get(ref["q"], b["i"])) / 2) - F.get(ref["alone"], b["i"]),
             )
-            return (ref["own"] / 2 - mean).alias("v")
+            return F.sqrt(F.greatest(ref["own"] / 2 - mean + own / 2, F.lit(0.0))) / ref["unit"]
 
-        return F.sqrt(F.greatest(F.array_min(F.transform(tables, one)) + own / 2, F.lit(0.0)))
+        return F.array_min(F.transform(tables, one))
 
     return F.get(F.transform(F.array(bins), least), F.lit(0))
 
@@ -167,8 +182,8 @@ def quality_rules(docs: DataFrame, refs: list | None = None) -> DataFrame:
     """Verdict of every row of ``docs`` (doc_id, text, lang).
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, word_distance, char_distance (null below the
-    guards) and kept.
+    n_repeat_words, base_failed, word_distance (in units of a text without any
+    common word), char_distance (both null below the guards) and kept.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"),
@@ -183,12 +198,12 @@ def quality_rules(docs: DataFrame, refs: list | None = None) -> DataFrame:
         common = F.filter("_words", lambda w: w.isin(vocabulary))
         df = df.withColumn("_common", F.when(n_words >= MIN_WORDS, common))
         df = df.withColumn("_line", F.concat(F.lit(" "), F.array_join("_common", "  "), F.lit(" ")))
-        names = F.array(*map(F.lit, vocabulary))
+        listed = F.array(*map(F.lit, vocabulary))
 
         def share(w):
             key = F.concat(F.lit(" "), w, F.lit(" "))
             n = (F.length("_line") - F.length(F.replace("_line", key, F.lit("")))) / F.length(key)
-            return F.struct((F.array_position(names, w) - 1).cast("int").alias("i"), (n / F.size("_words")).alias("p"))
+            return F.struct((F.array_position(listed, w) - 1).cast("int").alias("i"), (n / F.size("_words")).alias("p"))
 
         df = df.withColumn("_bins", F.transform(F.array_distinct("_common"), share))
         rest = 1.0 - F.aggregate("_bins", F.lit(0.0), lambda a, b: a + b["p"])
@@ -203,7 +218,9 @@ def quality_rules(docs: DataFrame, refs: list | None = None) -> DataFrame:
         "char_distance", F.when(chars >= MIN_CHARS, char_distance)
     )
     failed = (n_words < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n_words)
-    fits = (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE) & (
+    names = [name for name, _, _ in refs]
+    foreign = F.col("_lang").isNotNull() & ~F.col("_lang").isin(names) if names else F.lit(True)
+    fits = foreign | (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE) & (
         F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE
     )
     judged = df.select(

@@ -50,10 +50,10 @@ langs AS (
   SELECT lang, count(*) AS docs, sum(n) AS words, {', '.join(f'sum({c}) AS {c}' for c in names)}, sum(length(t)) AS chars
   FROM classed WHERE lang IS NOT NULL GROUP BY lang
 ),
-wide AS (SELECT * FROM langs WHERE docs >= {d.LEAST_SHARE} * (SELECT sum(docs) FROM langs) AND words > 0),
+wide AS (SELECT * FROM langs WHERE words >= {d.REFERENCE_WORDS} ORDER BY words DESC, lang LIMIT {d.LANGUAGES}),
 tokens AS (SELECT lang, unnest(regexp_split_to_array(t, '{_SPACE}')) AS w FROM base WHERE lang IN (SELECT lang FROM wide)),
 top AS (
-  SELECT lang, w, count(*) AS c FROM tokens WHERE length(w) BETWEEN 1 AND {d.SHORT} GROUP BY 1, 2
+  SELECT lang, w, count(*) AS c FROM tokens WHERE w <> '' GROUP BY 1, 2
   QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) <= {d.TOP}
 ),
 vocab AS (SELECT list(w ORDER BY w) AS v FROM (SELECT DISTINCT w FROM top)),
@@ -65,6 +65,7 @@ refs AS (
   SELECT lang, list_append(s, greatest(0, 1 - list_sum(s))) AS ws, [{', '.join(f'{c} / CAST(greatest(chars, 1) AS DOUBLE)' for c in names)}] AS cs
   FROM wide JOIN shares USING (lang)
 ),
+units AS (SELECT *, {_jensen_shannon('list_append(list_transform(s0, lambda x: 0.0::DOUBLE), 1.0::DOUBLE)', 'ws')} AS unit FROM (SELECT *, ws[:-2] AS s0 FROM refs)),
 docs AS (
   SELECT doc_id, n, length(t) AS chars, [{', '.join(f'{c} / CAST(length(t) AS DOUBLE)' for c in names)}] AS cp,
     list_transform(v, lambda x: len(list_filter(words, lambda y: y = x)) / CAST(n AS DOUBLE)) AS wp
@@ -72,16 +73,17 @@ docs AS (
 ),
 full_docs AS (SELECT *, list_append(wp, greatest(0, 1 - list_sum(wp))) AS wq FROM docs),
 near AS (
-  SELECT doc_id, min(CASE WHEN n >= {d.MIN_WORDS} THEN {_jensen_shannon('wq', 'ws')} END) AS word_distance,
+  SELECT doc_id, min(CASE WHEN n >= {d.MIN_WORDS} THEN {_jensen_shannon('wq', 'ws')} / unit END) AS word_distance,
     min(CASE WHEN chars >= {d.MIN_CHARS} THEN {_jensen_shannon('cp', 'cs')} END) AS char_distance
-  FROM full_docs, refs GROUP BY doc_id
+  FROM full_docs, units GROUP BY doc_id
 )
 SELECT doc_id, n AS n_words, CAST(length(t) - c_space AS BIGINT) AS word_chars, CAST(c_symbol AS BIGINT) AS n_symbols,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words,
   n < {d.MIN_BASE_WORDS} OR 100 * coalesce(n_repeat, 0) > {d.MAX_REPEAT_PERCENT} * n AS base_failed,
   round(word_distance, 9) AS word_distance, round(char_distance, 9) AS char_distance,
   NOT (n < {d.MIN_BASE_WORDS} OR 100 * coalesce(n_repeat, 0) > {d.MAX_REPEAT_PERCENT} * n)
-    AND coalesce(word_distance, 0) <= {d.MAX_WORD_DISTANCE} AND coalesce(char_distance, 0) <= {d.MAX_CHAR_DISTANCE} AS kept
+    AND (lang IS NOT NULL AND lang NOT IN (SELECT lang FROM wide)
+      OR coalesce(word_distance, 0) <= {d.MAX_WORD_DISTANCE} AND coalesce(char_distance, 0) <= {d.MAX_CHAR_DISTANCE}) AS kept
 FROM classed LEFT JOIN again USING (doc_id) LEFT JOIN near USING (doc_id)"""
 
 

@@ -460,4 +460,24 @@ def test_distance(spark, a, b):
         divergence._least_dense_distance([F.lit(p[0]), F.lit(p[1])], [q]).alias("dense"),
         divergence._least_distance(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("p")) for i, x in enumerate(p) if x]), [q]).alias("sparse"),
     ).first()
-    assert row.dense == pytest.approx(want, abs=1e-7) and row.sparse == pytest.approx(want, abs=1e-7)
+    assert row.dense == pytest.approx(want, abs=1e-7) and row.sparse == pytest.approx(want / (divergence.lacking(q) or 1), abs=1e-7)
+
+
+def test_having_no_common_word_is_distance_one(spark):
+    q = [0.1, 0.06, 0.04, 0.8]
+    bins = F.array(F.struct(F.lit(3).alias("i"), F.lit(1.0).alias("p")))
+    assert spark.range(1).select(divergence._least_distance(bins, [q]).alias("d")).first().d == pytest.approx(1, abs=1e-9)
+
+
+def test_small_languages_and_word_salad(spark):
+    """The same ten documents are judged alike in a small and in a large table; a text without common words goes."""
+    rng = random.Random(8)
+    small = [(i, " ".join(words("de", 250, rng)), "de") for i in range(10)]
+    rare = [(20, " ".join(words("fr", 150, rng)), "fr")]  # too few words for a reference: nothing to compare with
+    salad = [(21, " ".join(f"{''.join(rng.choices('bcdfgklmnprst', k=4))}a{i}" for i in range(200)), "en"), (22, " ".join(words("fr", 200, rng)), None)]
+    for n in (60, 600):
+        many = [(100 + i, " ".join(words("en", 120, rng)), "en") for i in range(n)]
+        table = spark.createDataFrame([*small, *rare, *salad, *many], "doc_id long, text string, lang string")
+        got = {r.doc_id: r for r in divergence.quality_rules(table).collect()}
+        assert all(got[i].kept for i in range(10)) and got[20].kept and all(got[r[0]].kept for r in many)
+        assert not got[21].kept and not got[21].base_failed and got[21].word_distance > 0.97
