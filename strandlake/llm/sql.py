@@ -97,7 +97,7 @@ def reputation_sql() -> str:
     ordered = sorted(u.RULES, key=lambda r: (-len(r[1]), r[1]))
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN {_text(r)}" for _, r in ordered) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(r)} THEN {_text(v)}" for v, r in ordered) + " END"
-    second = ", ".join(map(_text, u.SECOND_LEVEL))
+    generic, shared = (", ".join(map(_text, x)) for x in (u.GENERIC, u.SHARED))
 
     def level(name: str, source: str, prior: str) -> str:
         m = f"greatest(least({prior}, 1 - 1e-6), 1e-6)"
@@ -119,20 +119,25 @@ p AS (
   SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split
 ),
-seen AS (
-  SELECT host, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS v FROM p
-),
-marks AS (SELECT host, length(v) AS n, regexp_replace(regexp_replace(v, '&[a-z]+;', '&', 'g'), '[a-z]+', '', 'g') AS m FROM seen),
+stripped AS (SELECT host, regexp_replace(coalesce(html, ''), '(?is)<(?:script|style)\\b[^<>]*>.*?(?:</(?:script|style)|\\z)', ' ', 'g') AS v FROM p),
+seen AS (SELECT host, regexp_replace(regexp_replace(v, '<[^<>]*>', ' ', 'g'), '&#?[A-Za-z0-9]{{1,31}};', ' ', 'g') AS v FROM stripped),
+marks AS (SELECT host, v, regexp_replace(v, '\\p{{L}}+', '', 'g') AS m FROM seen),
 sizes AS (
-  SELECT host, n - length(m) AS letters, length(m) - length(regexp_replace(m, '[#*$%&|<>!]+', '', 'g')) AS signs,
-    length(regexp_replace(m, '\\s+', '', 'g')) + n - length(m) AS solid FROM marks
+  SELECT host, len(regexp_extract_all(v, '\\p{{L}}')) AS letters, length(m) - length(regexp_replace(m, '[#*$%&|<>!]+', '', 'g')) AS signs,
+    length(regexp_replace(v, '[\\x20\\x09-\\x0D]+', '', 'g')) AS solid FROM marks
 ),
 outcomes AS (SELECT host, CAST(letters < 10 OR 100 * signs > 8 * solid AS INT) AS bad FROM sizes),
-hosts0 AS (SELECT host, count(*) AS n, sum(bad) AS bad, string_split(host, '.') AS l FROM outcomes WHERE host <> '' GROUP BY host),
+hosts0 AS (
+  SELECT host, count(*) AS n, sum(bad) AS bad, regexp_replace(host, '^.*@|:[0-9]*$|\\.+$', '', 'g') AS plain FROM outcomes WHERE host <> '' GROUP BY host
+),
+hosts1 AS (SELECT *, string_split(plain, '.') AS l, regexp_matches(plain, '^[0-9]+(\\.[0-9]+){{3}}$|^\\[') AS num FROM hosts0),
+hosts2 AS (
+  SELECT *, array_to_string(l[-2:], '.') AS two,
+    coalesce(regexp_full_match(l[-1], '[a-z]{{2}}') AND l[-2] IN ({generic}), false) OR array_to_string(l[-2:], '.') IN ({shared}) AS deep FROM hosts1
+),
 hosts AS (
-  SELECT host, n, bad, CASE WHEN two IN ({second}) THEN two ELSE l[-1] END AS suffix,
-    CASE WHEN two IN ({second}) THEN array_to_string(l[-3:], '.') ELSE two END AS domain
-  FROM (SELECT *, array_to_string(l[-2:], '.') AS two FROM hosts0)
+  SELECT host, n, bad, CASE WHEN num THEN 'ip' WHEN deep THEN two ELSE l[-1] END AS suffix,
+    CASE WHEN num THEN plain WHEN deep THEN array_to_string(l[-3:], '.') ELSE two END AS domain FROM hosts2
 ),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1, 2),
 suffixes0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY 1),
@@ -140,8 +145,8 @@ suffixes AS (SELECT *, (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1) FROM suff
 {level('top', 'suffixes', 'p0')},
 domains1 AS (SELECT d.*, t.rate AS p1 FROM domains d JOIN top t USING (suffix)),
 {level('mid', 'domains1', 'p1')},
-hosts1 AS (SELECT h.*, m.rate AS p2 FROM hosts h JOIN mid m USING (suffix, domain)),
-{level('low', 'hosts1', 'p2')},
+hosts3 AS (SELECT h.*, m.rate AS p2 FROM hosts h JOIN mid m USING (suffix, domain)),
+{level('low', 'hosts3', 'p2')},
 bounds AS (SELECT host, rate - {u.DEVIATIONS} * sqrt(rate * (1 - rate) / (sure + 1)) AS bound FROM low)
 SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN bound > {u.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
   round(bound, 9) AS bound

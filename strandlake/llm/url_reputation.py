@@ -9,11 +9,19 @@ their domain and nothing is blocked on thin evidence.
 
 All in DataFrame expressions. Outcomes are counted per host by partial
 aggregation before any shuffle, so a host with a third of all pages costs one
-row per task. Rules are a given list, applied as one expression.
+row per task, and its pages are dealt out when bounds are looked up. Rules are a
+given list, applied as one expression.
+
+Suffixes follow a rule instead of a list of thousands: a generic label under a
+country's two letters (``co.uk``, ``com.mx``) and domains whose subdomains belong
+to different people (``github.io``) are suffixes, else the last label is. User
+names and ports are no part of a domain; an address of numbers is its own domain
+under the suffix ``ip``.
 
 Null urls and urls without ``://`` have an empty host and path and are allowed
-unless a rule says otherwise. Repeated rows are judged alike, and count as
-outcomes each.
+unless a rule says otherwise. Repeated rows, and rows of a null page_id, are
+judged alike, and count as outcomes each. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -22,11 +30,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.plans.lineage import cut
+from strandlake.plans.skew import lookup
 
 # Rules as (verdict, host and path)
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-# Suffixes of two labels
-SECOND_LEVEL = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "com.br", "co.in", "com.cn", "co.nz", "co.za")
+# Labels that are generic under a country's suffix, and domains whose subdomains belong to different people
+GENERIC = tuple("ac art asn co com ed edu gen go gob gouv gov govt gv id in info int ltd me mil ne net nom nhs nic nt oop or org plc pro res sch web".split())
+SHARED = (
+    "altervista.org", "appspot.com", "azurewebsites.net", "bitbucket.io", "blogspot.com", "cloudfront.net", "firebaseapp.com", "fly.dev",
+    "free.fr", "github.io", "gitlab.io", "glitch.me", "herokuapp.com", "livejournal.com", "neocities.org", "netlify.app", "onrender.com",
+    "pages.dev", "readthedocs.io", "sourceforge.io", "surge.sh", "tumblr.com", "vercel.app", "web.app", "weebly.com", "wixsite.com",
+    "wordpress.com", "workers.dev",
+)
 
 #: Block from this lower bound of the bad rate; standard deviations below the posterior mean; bounds of a prior's strength.
 LIMIT, DEVIATIONS, WEAKEST, STRONGEST = 0.5, 2.0, 2.0, 1000.0
@@ -59,13 +74,17 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def with_domains(df: DataFrame) -> DataFrame:
     """Adds suffix and registered domain of a host column."""
-    labels = F.split("host", r"\.")
-    two = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
-    deep = two.isin(*SECOND_LEVEL)
+    plain = F.regexp_replace("host", r"^.*@|:[0-9]*$|\.+$", "")
+    labels = F.split(plain, r"\.")
+    last, before = F.element_at(labels, -1), F.get(labels, F.size(labels) - 2)
+    two = F.concat_ws(".", before, last)
+    deep = (last.rlike("^[a-z]{2}$") & F.coalesce(before.isin(*GENERIC), F.lit(False))) | two.isin(*SHARED)
     wide = F.when(deep, 3).otherwise(2)
-    return df.withColumn("suffix", F.when(deep, two).otherwise(F.element_at(labels, -1))).withColumn(
-        "domain", F.array_join(F.slice(labels, F.greatest(F.size(labels) - wide + 1, F.lit(1)), wide), ".")
-    )
+    numbers = plain.rlike(r"^[0-9]+(\.[0-9]+){3}$|^\[")
+    return df.withColumns({
+        "suffix": F.when(numbers, "ip").when(deep, two).otherwise(last),
+        "domain": F.when(numbers, plain).otherwise(F.array_join(F.slice(labels, F.greatest(F.size(labels) - wide + 1, F.lit(1)), wide), ".")),
+    })
 
 
 def _shrunk(counts: DataFrame, prior: str | float) -> DataFrame:
@@ -116,23 +135,25 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float
     known = reputation(outcomes).select("host", "bound")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound") > limit, "block").otherwise("allow")
-    return rows.join(known, "host", "left").select(
+    return lookup(rows, known, "host").select(
         "page_id", "url", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bound"
     )
 
 
 def content_outcomes(pages: DataFrame) -> DataFrame:
-    """(host, bad) of every page, from its content: bad if its visible text is mostly signs or shouting.
+    """(host, bad) of every page, from its content: bad if its visible text is mostly signs, or hardly has letters of any script.
 
-    Tags are removed; of the remaining characters that aren't white space, bad
-    is a share of ``#*$%&|<>!`` above 8 in 100 or fewer than 10 letters.
+    Scripts, styles, tags and character references are removed; of the remaining
+    characters that aren't white space, bad is a share of ``#*$%&|<>!`` above 8
+    in 100 or fewer than 10 letters. The patterns stop at the next ``<``, so
+    broken markup takes no more time than its length.
     """
     page = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    visible = F.regexp_replace(F.regexp_replace(page, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"<[^>]*>", " ")
-    marks = F.regexp_replace(F.regexp_replace(visible, r"&[a-z]+;", "&"), r"[a-z]+", "")
-    rows = with_host(pages).select("host", visible.alias("v"), marks.alias("m"))
+    visible = F.regexp_replace(page, r"(?is)<(?:script|style)\b[^<>]*>.*?(?:</(?:script|style)|\z)", " ")
+    visible = F.regexp_replace(F.regexp_replace(visible, r"<[^<>]*>", " "), r"&#?[A-Za-z0-9]{1,31};", " ")
+    rows = with_host(pages).select("host", visible.alias("v"), F.regexp_replace(visible, r"\p{L}+", "").alias("m"))
     letters = F.length("v") - F.length("m")
     signs = F.length("m") - F.length(F.regexp_replace("m", r"[#*$%&|<>!]+", ""))
-    solid = F.length(F.regexp_replace("m", r"\s+", "")) + letters
+    solid = F.length(F.regexp_replace("m", r"[\x20\x09-\x0D]+", "")) + letters
     bad = (letters < 10) | (100 * signs > 8 * solid)
     return rows.select("host", bad.cast("int").alias("bad"))

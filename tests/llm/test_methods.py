@@ -409,6 +409,46 @@ def test_reputation_shrinks(spark):
     assert {r.page_id: r.verdict for r in url_reputation.filter_urls(pages, outcomes).collect()} == {1: "block", 2: "allow"}
 
 
+def test_suffixes_and_domains(spark):
+    want = {
+        "www.a.co.uk": ("co.uk", "a.co.uk"), "x.b.com.mx": ("com.mx", "b.com.mx"), "me.github.io": ("github.io", "me.github.io"),
+        "deep.me.github.io": ("github.io", "me.github.io"), "a.example.com:8080": ("com", "example.com"), "10.0.0.1": ("ip", "10.0.0.1"),
+        "me@a.example.org.": ("org", "example.org"), "localhost": ("localhost", "localhost"), "co.uk": ("co.uk", "co.uk"), "x.y.de": ("de", "y.de"),
+    }
+    got = url_reputation.with_domains(spark.createDataFrame([(h,) for h in want], "host string")).collect()
+    assert {r.host: (r.suffix, r.domain) for r in got} == want
+
+
+def test_outcomes_of_all_scripts_and_broken_markup(spark):
+    """Ordinary pages of any script are good; signs, shouting and empty pages are bad; unclosed markup takes linear time."""
+    import time
+
+    good = [
+        "<p>Обычная страница о погоде в городе.</p>", "<p>Μια συνηθισμένη σελίδα για τον καιρό.</p>", "<p>صفحة عادية عن الطقس في المدينة</p>",
+        "<p>这是一个关于城市天气的普通页面。</p>", "<p>これは天気についての普通のページです。</p>", "<p>날씨에 관한 평범한 페이지입니다 오늘은</p>",
+        "<p>An ordinary page&nbsp;&amp;&nbsp;more of it.</p>", "<script>#### $$$ !!!!</script>Plain words after a script.",
+    ]
+    bad = ["", None, "<p>$$$ !!! ### buy now !!! $$$</p>", "<p>1 2 3</p>", "<script>only a script with many letters"]
+    broken = ["<script" * 150_000, "<" * 1_000_000, "<script>" * 120_000, "&" * 1_000_000]
+    rows = [(f"h{i}", t) for i, t in enumerate(good + bad + broken)]
+    pages = spark.createDataFrame([(f"http://{h}/x", t) for h, t in rows], "url string, html string")
+    began = time.time()
+    got = {r.host: r.bad for r in url_reputation.content_outcomes(pages).collect()}
+    assert time.time() - began < 30
+    assert [got[f"h{i}"] for i in range(len(good))] == [0] * len(good)
+    assert [got[f"h{len(good) + i}"] for i in range(len(bad))] == [1] * len(bad)
+
+
+def test_a_hot_host_is_looked_up_like_any_other(spark, monkeypatch):
+    monkeypatch.setattr("strandlake.plans.skew.lookup.__defaults__", (None, None, 4, 5))
+    urls = ["http://hot.example.com/a"] * 40 + [f"http://h{i}.example.com/" for i in range(20)] + [None, "x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    outcomes = spark.createDataFrame([("hot.example.com", 1)] * 50 + [("h1.example.com", 0)] * 50, "host string, bad int")
+    got = {r.page_id: r for r in url_reputation.filter_urls(pages, outcomes).collect()}
+    assert len(got) == 62 and all(got[i].verdict == "block" for i in range(40))
+    assert got[41].verdict == "allow" and got[41].bound is not None and got[40].bound is None
+
+
 # --- rules and licences
 
 
