@@ -3,9 +3,11 @@
 1. The global histogram of document lengths (in tokens: words by default) is
    counted by partial aggregation. Lengths up to ``EXACT`` have a bin each, above
    that a bin is one part in ``EXACT`` of its size, so the histogram has a bounded
-   number of bins (a few thousand for any length).
+   number of bins (a few thousand for any length). A bin carries its documents,
+   their tokens and the longest of them.
 2. Dynamic programming over the bins chooses at most ``n_buckets`` upper bounds
-   so that padding every document to its bucket's bound costs least.
+   so that padding every document to its bucket's bound costs least. A bound is
+   the length of the longest document that it holds, never a bin's end.
 3. Inside a bucket, batches hold as many documents as the token budget admits at
    the bucket's bound (one at least). Buckets are dealt by a hash of the id into
    shards of about ``SHARD`` documents, whose number follows from the histogram;
@@ -13,8 +15,9 @@
    at most one batch that is not full.
 
 Null and empty texts have length 0 and a bucket of their own at bound 0. Every
-row is kept, repeated rows too. The shards' order is by a hash of the id, then
-id and length, so equal rows are interchangeable.
+row is kept, repeated rows and rows of a null id too. The shards' order is by a
+hash of the id, then id and length, so equal rows are interchangeable. Other
+columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ def token_count(text: str = "text") -> Column:
 
 
 def bin_of(length: Column) -> Column:
-    """Upper end of a length's bin."""
+    """Upper end of a length's bin, which names it."""
     exponent = F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double") / EXACT)) + 1
     step = F.pow(F.lit(2.0), F.greatest(exponent, F.lit(0))).cast("long")
     return F.when(length <= EXACT, length).otherwise((F.ceil(length / step) * step).cast("long"))
@@ -43,8 +46,8 @@ def bin_of(length: Column) -> Column:
 def optimal_bounds(lengths, counts, totals, n_buckets: int) -> list[int]:
     """Upper bounds of at most ``n_buckets`` buckets with the least padding.
 
-    ``lengths`` are the bins' upper ends in ascending order, ``counts`` their
-    documents and ``totals`` their tokens. Among equal costs the one with fewer
+    ``lengths`` are the longest lengths of the bins in ascending order, ``counts``
+    their documents and ``totals`` their tokens. Among equal costs the one with fewer
     buckets wins.
     """
     n = len(lengths)
@@ -91,18 +94,14 @@ def pack(
         F.col("doc_id").cast("long").alias("doc_id"), (token_count() if length is None else length).alias("n_tokens")
     )
     rows = rows.withColumn("_bin", bin_of(F.col("n_tokens")))
-    histogram = sorted(
-        (r[0], r[1], r[2]) for r in rows.groupBy("_bin").agg(F.count("*"), F.sum("n_tokens")).collect()
-    )
-    empty = [h for h in histogram if h[0] == 0]
+    found = rows.groupBy("_bin").agg(F.max("n_tokens").alias("top"), F.count("*").alias("n"), F.sum("n_tokens").alias("total")).collect()
+    histogram = sorted((r["top"], r["n"], r["total"]) for r in found)
     full = [h for h in histogram if h[0] > 0]
-    bounds = [0] * bool(empty) + optimal_bounds([h[0] for h in full], [h[1] for h in full], [h[2] for h in full], n_buckets)
-    if not bounds:
-        bounds = [0]
+    bounds = [0] * (len(full) < len(histogram)) + optimal_bounds(*(list(x) for x in zip(*full, strict=True)), n_buckets) if full else [0]
     held = [sum(h[1] for h in histogram if (bounds[i - 1] if i else -1) < h[0] <= b) for i, b in enumerate(bounds)]
     shards = [max(1, -(-n // SHARD)) for n in held]
     per = [max(1, min(max_docs, budget // b if b else max_docs)) for b in bounds]
-    bucket = F.array_position(F.transform(F.array(*map(F.lit, bounds)), lambda b: F.col("_bin") <= b), F.lit(True)) - 1
+    bucket = F.array_position(F.transform(F.array(*map(F.lit, bounds)), lambda b: F.col("n_tokens") <= b), F.lit(True)) - 1
 
     def of(values):
         return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("bucket") + 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import pytest
@@ -41,6 +42,25 @@ def test_contracts(spark, name):
         assert rows["score"].between(0, 1).all()
 
 
+def test_buckets_against_brute_force(spark):
+    """Padding of the whole table is that of the best bounds, up to the width of bins above 1024; batches are full but for one a shard."""
+    got = queries.QUERIES["op4_length_buckets"](spark, str(TABLES)).toPandas()
+    texts = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text").toPandas()
+    sizes = {i: len([w for w in re.split("[\\x20\\x09-\\x0D]+", t or "") if w]) for i, t in zip(texts["doc_id"], texts["text"], strict=True)}
+    assert dict(zip(got["doc_id"], got["n_tokens"], strict=True)) == sizes
+    assert (got.groupby("bucket")["n_tokens"].max() == got.groupby("bucket")["bound"].first()).all()
+    lengths = sorted(v for v in sizes.values() if v)
+    tops = sorted(set(lengths))
+    below = {t: sum(v <= t for v in lengths) for t in tops}
+    best = {t: t * below[t] for t in tops}  # padded size with one bucket, then with one more each round
+    for _ in range(15):
+        best = {t: min([best[t]] + [best[s] + t * (below[t] - below[s]) for s in tops if s < t]) for t in tops}
+    full = got[got["n_tokens"] > 0]
+    assert best[tops[-1]] <= full["bound"].sum() <= best[tops[-1]] * (1 + 1 / 512)
+    per = got.groupby(["bucket", "batch_id"]).agg(n=("slot", "size"), bound=("bound", "first"), last=("slot", "max"))
+    assert ((per["n"] * per["bound"] <= 16_384) | (per["n"] == 1)).all() and (per["last"] == per["n"] - 1).all()
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "lang")
     got = queries.op6_language_id(spark, str(TABLES)).where("held_out").join(docs, "doc_id")
