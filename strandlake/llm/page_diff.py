@@ -10,7 +10,8 @@
    page of a range also goes to the next one and the first to the one before,
    so every page sees both its neighbours.
 3. All lines that stand in no such element are aligned with the neighbour's by
-   longest common subsequence; shared lines are deleted, in articles too.
+   longest common subsequence; shared lines are deleted, in articles too. A range
+   is sorted and streamed, so a task holds three pages at a time.
 
 Pages that are copies of each other would lose the very text that is wanted: a
 neighbour that shares more than half the characters of the shorter article
@@ -19,8 +20,12 @@ has an article, what stands outside is no content. A pair that shares all its
 lines tells template from text as little as a copy does, so the deletion is
 dropped if it would empty the page.
 
-Null html gives an empty text; a null url has no host and no neighbour. Repeated
-rows get the same text: a page is never compared with a row of its own page_id.
+Null html gives an empty text; a null url has no host and no neighbour. Equal
+rows are one page with one text: their neighbours are the nearest pages that
+differ from them. Rows of one page_id, or of a null one, that differ are pages of
+their own. Extra columns are ignored, whatever their names; an empty table gives
+no rows. Broken markup costs no more than its length: an unclosed quote, tag,
+comment or script is looked for once.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.flat import appended
@@ -52,7 +57,7 @@ BLOCK = frozenset(
     "table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr basefont bgsound frame keygen".split())
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|xmp"
+RAW = "script style noscript template textarea title iframe svg math xmp"
 # Words in classes, ids and roles that mark what is no content
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|"
@@ -62,11 +67,9 @@ MARKS = re.compile(
     r"(?=$|[\s_-])",
     re.I,
 )
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(?P<close>/)?(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+_TAG = re.compile(r"/?([A-Za-z][A-Za-z0-9:-]*)")
+_STOP = re.compile(r"[<>\"']")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW.split()}
 _ATTR = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _GONE = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
@@ -82,6 +85,66 @@ def _marked(rest: str) -> bool:
     return any(MARKS.search(name) and not _ABOUT.match(name) for name in names) or bool(_GONE.search(rest))
 
 
+def tokens(page: str):
+    """(text, None, None, False) and ("", tag, attributes, whether it closes) in page order; comments, declarations and raw text are left out.
+
+    A tag ends at the first ``>`` outside quotes; if a ``<`` or the page's end
+    comes first, its ``<`` is text. A quote that is never closed is a character.
+    """
+    at, n = 0, len(page)
+    unclosed: set[str] = set()  # marks that don't occur in the rest of the page
+
+    def find(mark: str, start: int) -> int:
+        if mark in unclosed:
+            return -1
+        found = page.find(mark, start)
+        if found < 0:
+            unclosed.add(mark)
+        return found
+
+    def tag_end(start: int) -> int:
+        while (m := _STOP.search(page, start)) is not None:
+            mark = m.group()
+            if mark == ">":
+                return m.start()
+            if mark == "<":
+                return -1
+            closed = find(mark, m.end())
+            start = (closed if closed >= 0 else m.start()) + 1
+        return -1
+
+    while at < n:
+        open_at = page.find("<", at)
+        if open_at < 0:
+            yield page[at:], None, None, False
+            return
+        if open_at > at:
+            yield page[at:open_at], None, None, False
+        if page.startswith("<!--", open_at):
+            close = find("-->", open_at + 4)
+            at = close + 3 if close >= 0 else n
+            continue
+        if page.startswith("<![CDATA[", open_at) and (close := find("]]>", open_at)) >= 0:
+            at = close + 3
+            continue
+        if page.startswith(("<!", "<?"), open_at) and (close := find(">", open_at)) >= 0:
+            at = close + 1
+            continue
+        name = _TAG.match(page, open_at + 1)
+        close = tag_end(name.end()) if name else -1
+        if close < 0:
+            yield "<", None, None, False
+            at = open_at + 1
+            continue
+        tag, closes = name.group(1).lower(), page[open_at + 1] == "/"
+        at = close + 1
+        if tag in _RAW_END and not closes:
+            over = _RAW_END[tag].search(page, at)
+            at = over.end() if over else n
+            continue
+        yield "", tag, page[name.end() : close], closes
+
+
 def blocks(page: str | None, marks: bool = True) -> list[tuple[str, int]]:
     """(text, kind) of each block in page order: OWN in an article, OPEN undecided, LINKS an article's block of links.
 
@@ -92,6 +155,7 @@ def blocks(page: str | None, marks: bool = True) -> list[tuple[str, int]]:
     if not page:
         return []
     stack: list[tuple[str, bool, bool]] = []  # tag, no content, in an article
+    opened: dict[str, int] = {}  # tags on the stack
     dropped, inside, linked = 0, 0, 0
     parts: list[str] = []
     chars = in_links = 0
@@ -105,9 +169,16 @@ def blocks(page: str | None, marks: bool = True) -> list[tuple[str, int]]:
             parts.clear()
         chars = in_links = 0
 
-    for m in _TOKEN.finditer(page):
-        text = m["text"]
-        if text is not None:
+    def close_from(at: int) -> None:
+        nonlocal dropped, inside
+        for name, drop, main in stack[at:]:
+            opened[name] -= 1
+            dropped -= drop
+            inside -= main
+        del stack[at:]
+
+    for text, tag, rest, closes in tokens(page):
+        if tag is None:
             if not dropped:
                 parts.append(text)
                 n = len(text) - text.count(" ")
@@ -115,37 +186,26 @@ def blocks(page: str | None, marks: bool = True) -> list[tuple[str, int]]:
                 if linked:
                     in_links += n
             continue
-        if m["tag"] is None:
-            continue
-        tag = m["tag"].lower()
         if tag in BLOCK:
             end()
-        if m["close"]:
+        if closes:
             if tag == "a":
                 linked = max(linked - 1, 0)
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None:
-                for _, drop, main in stack[at:]:
-                    dropped -= drop
-                    inside -= main
-                del stack[at:]
+            if opened.get(tag):
+                close_from(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
-        if tag in VOID or m["rest"].endswith("/"):
+        if tag in VOID or rest.endswith("/"):
             continue
-        if tag == "p":  # a paragraph ends the one before
+        if tag == "p" and opened.get("p"):  # a paragraph ends the one before
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
-                    for _, drop, main in stack[i:]:
-                        dropped -= drop
-                        inside -= main
-                    del stack[i:]
+                    close_from(i)
                     break
                 if stack[i][0] in BLOCK:
                     break
         if tag == "a":
             linked += 1
             continue
-        rest = m["rest"]
         main = tag in ("article", "main") and not dropped
         drop = tag in DROPPED
         if rest and marks and not drop and tag not in ("html", "body"):
@@ -155,6 +215,7 @@ def blocks(page: str | None, marks: bool = True) -> list[tuple[str, int]]:
         if drop:
             end()
         stack.append((tag, drop, main))
+        opened[tag] = opened.get(tag, 0) + 1
         dropped += drop
         inside += main
     end()
@@ -250,14 +311,44 @@ def _parse(pages_html):
 
 
 def _assemble(batches):
-    for batch in batches:
-        rows = batch.select(["lines", "kinds", "keys", "before", "after"]).to_pylist()
-        texts = [
-            main_text(r["lines"], r["kinds"], r["keys"], [(n["keys"], n["own"]) for n in (r["before"], r["after"]) if n]) for r in rows
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
-        )
+    """Texts of a sorted stream of pages. Equal rows in a row are one page; a page waits for the one after it."""
+    made: list[tuple[int, str, str]] = []
+    before: dict | None = None
+    held: dict | None = None  # the page that waits, and how many of its rows get a result
+    copies = 0
+
+    def near(other):
+        fits = other and held["host"] and (other["part"], other["host"]) == (held["part"], held["host"])
+        return [(other["keys"], other["own"])] if fits else []
+
+    def batch(rows):
+        kinds = (pa.int64(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["page_id", "url", "text"])
+
+    def done(after):
+        if not copies:
+            return
+        text = main_text(held["lines"], held["kinds"], held["keys"], near(before) + near(after))
+        row, most = (held["page_id"], held["url"], text), max(4_000_000 // (len(text) + 1), 1)
+        for left in range(copies, 0, -most):
+            made.extend([row] * min(left, most))
+            if len(made) >= 1024 or sum(len(r[2]) for r in made) > 4_000_000:
+                yield batch(made)
+                made.clear()
+
+    same = ("part", "host", "path", "page_id", "url", "keys", "kinds")
+    for given in batches:
+        for at in range(0, given.num_rows, 64):
+            for row in given.slice(at, 64).to_pylist():
+                if held is None or any(held[c] != row[c] for c in same):
+                    if held is not None:
+                        yield from done(row)
+                        before = held
+                    held, copies = row, 0
+                copies += not row["guest"]
+    if held is not None:
+        yield from done(None)
+    yield batch(made)
 
 
 _PLACE = ("host", "path", "page_id", "url")
@@ -296,15 +387,17 @@ def _met(ranged: DataFrame) -> DataFrame | None:
 
 def extract(pages: DataFrame, big_host: int = BIG_HOST) -> DataFrame:
     """(page_id, url, text) of every row of ``pages`` (page_id, url, html)."""
-    rest = F.regexp_extract(F.coalesce("url", F.lit("")), r"^.*?://(.*)$", 1)
+    rest = F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"(?s)^.*?://(.*)$", 1)
     base = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0)).alias("host"),
-        F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"),
+        F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1).alias("path"),
         F.col("html").cast("string").alias("html"),
     )
     ranged = _ranged(base, big_host)
     met = _met(ranged)
+    # pages without a host have no neighbours and need no range
+    ranged = ranged.withColumn("part", F.when(F.col("host") == "", -1 - F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(1 << 20)).cast("int")).otherwise(F.col("part")))
     parsed = appended(ranged, "html", _parse, "lines array<string>, kinds array<int>, keys array<long>, own long")
     if met is None:
         dealt = parsed.withColumn("guest", F.lit(False))
@@ -318,15 +411,7 @@ def extract(pages: DataFrame, big_host: int = BIG_HOST) -> DataFrame:
             *[c for c in parsed.columns if c != "part"], "place.part", "place.guest"
         )
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by = Window.partitionBy("part").orderBy(*_PLACE)
-
-    def other(step):
-        shift = F.lag if step < 0 else F.lead
-        near = shift(F.struct("host", "page_id", "keys", "own"), 1).over(by)
-        return F.when((F.col("host") != "") & (near["host"] == F.col("host")) & (near["page_id"] != F.col("page_id")), near)
-
-    compared = (
-        dealt.repartition(parts, "part").withColumn("before", other(-1)).withColumn("after", other(1)).where(~F.col("guest"))
-        .select("page_id", "url", "lines", "kinds", "keys", "before", "after")
+    streamed = dealt.repartition(parts, "part").sortWithinPartitions("part", *_PLACE, "keys").select(
+        "part", "guest", *_PLACE, "lines", "kinds", "keys", "own"
     )
-    return compared.mapInArrow(_assemble, "page_id long, url string, text string")
+    return streamed.mapInArrow(_assemble, "page_id long, url string, text string")

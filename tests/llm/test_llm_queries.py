@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from conftest import TABLES, canonical, needs_tables
-from strandlake.llm import decontaminate, language_id, line_crf, queries
+from strandlake.llm import decontaminate, language_id, line_crf, page_diff, queries
 
 pytestmark = needs_tables
 
@@ -61,6 +61,59 @@ def test_buckets_against_brute_force(spark):
     assert ((per["n"] * per["bound"] <= 16_384) | (per["n"] == 1)).all() and (per["last"] == per["n"] - 1).all()
 
 
+def longest_common(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    i, j, out = len(a), len(b), set()
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.add(i)
+        elif table[i - 1][j] >= table[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+def test_pages_against_brute_force(spark):
+    """Every page with a neighbour is compared with it, line by line; what is left is the query's text."""
+    pages = spark.read.parquet(f"{TABLES}/pages.parquet").toPandas()
+    rows = []
+    for r in pages.itertuples():
+        rest = r.url.split("://", 1)[1] if r.url and "://" in r.url else ""
+        host = re.match("[^/?#]*", rest).group().lower()
+        rows.append((host, re.match("[^/?#]*([^?#]*)", rest).group(1), r.page_id, r.url, page_diff.blocks(r.html)))
+    rows.sort(key=lambda r: (r[0].encode(), r[1].encode(), r[2]))
+    want, compared, shared_lines = {}, 0, 0
+    for k, (host, _, page_id, _, lines) in enumerate(rows):
+        article = any(kind == page_diff.OWN for _, kind in lines)
+        gone = set()
+        for other in (rows[k - 1] if k else None, rows[k + 1] if k + 1 < len(rows) else None):
+            if not other or not host or other[0] != host:
+                continue
+            compared += 1
+            same = longest_common([t for t, _ in lines], [t for t, _ in other[4]])
+            shared_lines += len(same)
+
+            def own(x):
+                with_article = any(kind == page_diff.OWN for _, kind in x)
+                return sum(len(t) for t, kind in x if kind == page_diff.OWN or not with_article)
+
+            if 2 * sum(len(lines[i][0]) for i in same if lines[i][1] == page_diff.OWN) > min(own(lines), own(other[4])):
+                same = {i for i in same if lines[i][1] != page_diff.OWN}
+            gone |= same
+        inside = [i for i, (_, kind) in enumerate(lines) if kind != page_diff.OPEN or not article]
+        keep = [i for i in inside if i not in gone] or [i for i in inside if lines[i][1] == page_diff.OWN or not article]
+        want[page_id] = " ".join(lines[i][0] for i in keep)
+    got = queries.QUERIES["op5_page_differencing"](spark, str(TABLES)).toPandas()
+    assert compared > 1.8 * len(rows) - 2 * len({r[0] for r in rows}) and shared_lines > 0
+    texts = dict(zip(got["page_id"], got["text"], strict=True))
+    assert texts == want and (got["n_chars"] == got["text"].str.len()).all()
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "lang")
     got = queries.op6_language_id(spark, str(TABLES)).where("held_out").join(docs, "doc_id")

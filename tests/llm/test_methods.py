@@ -366,6 +366,33 @@ def test_long_lists_of_lines_align_whole(monkeypatch):
     assert [len(page_diff.shared_lines(a, b)) for a, b in zip(lists, lists[1:])] == whole
 
 
+def test_equal_rows_get_equal_texts(spark):
+    def page(*lines):
+        return "".join(f"<div>{x}</div>" for x in lines)
+
+    rows = [(1, "http://h.example.com/a", page("menu one", "own text of a", "menu two"))] + [(2, "http://h.example.com/b", page("menu one", "own text of b", "menu two"))] * 3
+    rows += [(3, "http://h.example.com/c", page("menu two", "own text of c")), (None, None, page("x", "y")), (None, None, page("x", "y"))]
+    rows += [(None, "http://h.example.com/d", page("own text of c", "d"))] * 2
+    for big in (1, 1000):
+        got = page_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), big_host=big).collect()
+        assert sorted((r.page_id or 0, r.text) for r in got) == sorted(
+            [(1, "own text of a")] + [(2, "own text of b")] * 3 + [(3, "menu two own text of c")] + [(0, "x y")] * 2 + [(0, "d")] * 2
+        )
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    for page in ("<a \"" * 250_000, "<a href='" * 110_000, "<script" * 140_000, "<!--" * 250_000, "<" * 1_000_000, "</x>" * 250_000,
+                 "<div>" * 100_000 + "</p>" * 100_000, "<div><p>" * 120_000, "<a \"<b" * 140_000, "<![CDATA[" * 110_000, "<a '\"<b '\"" * 90_000,
+                 "<span>" * 160_000 + "</b>" * 10):
+        began = time.time()
+        page_diff.blocks(page)
+        assert time.time() - began < 3, page[:20]
+    assert page_diff.blocks("<p title='a > b' data-x=\"<i>\">text <b class=x\">bold</b> don't</p>") == [("text bold don't", page_diff.OPEN)]
+    assert page_diff.blocks(f"<img src='data:image/png;base64,{'A' * 200_000}'>after")[0][0] == "after"
+
+
 # --- scripts
 
 
