@@ -16,7 +16,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _held(modulus: int, remainder: int):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == remainder
+    """Whether a row is of the held-out fold; a row without an id is not, as no label can be of it."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == remainder, F.lit(False))
 
 
 def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
