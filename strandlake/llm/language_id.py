@@ -18,6 +18,8 @@ the end of a lane. Texts are parsed whole.
 
 Null texts and texts without a letter get ``und`` and score 0. With nothing to
 learn from, every text gets ``und``. Ties go to the language that sorts first.
+Repeated rows, and rows of a null id, get the same result each, and nothing is
+learnt from a null id. A column named like a result is replaced; others stay.
 """
 
 from __future__ import annotations
@@ -25,19 +27,19 @@ from __future__ import annotations
 import sys
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.flat import appended
 from strandlake.llm.sampling import fold
+from strandlake.plans.lineage import cut, spent
 
 #: Characters of training text per language and of all languages, the largest alphabet, and characters of a lane.
 TRAIN_CHARS, TOTAL_CHARS, SYMBOLS, LANE = 60_000, 900_000, 56, 1024
 #: Of the alphabet, the symbols shared by letters that have none of their own.
 HASHED = 16
-#: Languages with fewer training documents than this are left out.
-MIN_DOCS = 3
+#: Languages with fewer training documents than this are left out; the most languages, and the documents and characters of each looked at.
+MIN_DOCS, LANGUAGES, TRAIN_DOCS, DOC_CHARS = 3, 300, 600, 15_000
 UNKNOWN = "und"
 
 
@@ -197,36 +199,40 @@ class Model:
         return names, scores
 
 
-def samples_of(docs: DataFrame, modulus: int, held_out: int, docs_per_language: int = 200) -> dict[str, list[str]]:
-    """Training texts of each language: whole documents, first by a hash of the id.
+def samples_of(docs: DataFrame, modulus: int, held_out: int) -> dict[str, list[str]]:
+    """Training texts of each language: documents of any length, first by a hash of the id.
 
-    Bounded by ``docs_per_language`` documents and 10 times TRAIN_CHARS
-    characters for each language; exact copies count once.
+    Bounded by the LANGUAGES with the most documents, and for each by TRAIN_DOCS
+    documents, the first DOC_CHARS characters of a document and TRAIN_CHARS in
+    all (TOTAL_CHARS over all languages): sizes are summed before any text moves
+    to the driver. Equal texts count once.
     """
     known = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
-        F.col("text").cast("string").alias("text"),
-    ).where("lang is not null and doc_id is not null")
+        F.substring(F.col("text").cast("string"), 1, DOC_CHARS).alias("text"),
+    ).where("lang is not null and doc_id is not null and length(text) > 0")
     known = known.where(F.pmod(fold(), F.lit(modulus)) != held_out)
-    size = F.length("text")
-    known = known.where((size >= 200) & (size <= TRAIN_CHARS // 4)).select("lang", "doc_id", "text")
     # the first of each language: partitions keep their own first ones before anything is shuffled
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    keyed = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(first))
-    chosen: dict[str, list[int]] = {}
-    for name, doc_id in keyed.where(F.col("r") <= docs_per_language).select("lang", "doc_id").collect():
-        chosen.setdefault(name, []).append(doc_id)
-    chosen = {name: ids for name, ids in chosen.items() if len(ids) >= MIN_DOCS}
-    out: dict[str, list[str]] = {}
+    first = Window.partitionBy("lang").orderBy("h", "doc_id", "size")
+    keyed = known.select("lang", "doc_id", F.length("text").alias("size"), F.xxhash64("doc_id").alias("h"))
+    few = cut(keyed.withColumn("r", F.row_number().over(first)).where(F.col("r") <= TRAIN_DOCS))
+    per = few.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
+    names = sorted(r["lang"] for r in per.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
+    chosen: dict[str, dict[int, int]] = {}
+    if names:
+        most = min(TRAIN_CHARS, TOTAL_CHARS // len(names))
+        running = Window.partitionBy("lang").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+        enough = few.where(F.col("lang").isin(names)).withColumn("before", F.coalesce(F.sum("size").over(running), F.lit(0)))
+        for r in enough.where((F.col("before") < most) | (F.col("r") <= MIN_DOCS)).select("lang", "doc_id", "r").collect():
+            chosen.setdefault(r["lang"], {})[r["doc_id"]] = r["r"]
+    spent(few)
     if not chosen:
-        return out
-    picked = docs.sparkSession.createDataFrame([(i,) for ids in chosen.values() for i in ids], "doc_id long")
-    rows = known.join(F.broadcast(picked), "doc_id").toPandas()
-    rows["order"] = pd.util.hash_array(rows["doc_id"].to_numpy())
-    for name, group in rows.sort_values(["order", "doc_id", "text"]).drop_duplicates(["lang", "text"]).groupby("lang"):
-        if name in chosen:
-            out[name] = list(group["text"])
-    return out
+        return {}
+    rows = [(name, i, r) for name, ids in chosen.items() for i, r in ids.items()]
+    picked = docs.sparkSession.createDataFrame(rows, "lang string, doc_id long, r int")
+    texts = known.join(F.broadcast(picked), ["lang", "doc_id"]).select("lang", "r", "text").toPandas()
+    texts = texts.sort_values(["lang", "r", "text"]).drop_duplicates(["lang", "text"])
+    return {name: list(group["text"]) for name, group in texts.groupby("lang")}
 
 
 def classify(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:

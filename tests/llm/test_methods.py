@@ -168,6 +168,28 @@ def test_languages_are_told_apart():
     assert model.predict([mixed])[0] == ["fr"]
 
 
+def test_languages_of_short_texts_are_learnt(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(words("en", 400, rng)), "en") for i in range(30)] + [(100 + i, " ".join(words("fr", 6, rng)), "fr") for i in range(200)]
+    rows += [(400 + i, " ".join(words("de", 20_000, rng)), "de") for i in range(5)] + [(500, "solo un", "it"), (None, "sch ung", "xx")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.names == ["de", "en", "fr"]
+    assert model.predict([" ".join(words(k, 60, rng)) for k in model.names])[0] == model.names
+
+
+def test_training_rows_are_bounded_and_unambiguous(spark):
+    from strandlake.llm.sampling import training_rows
+
+    docs = spark.createDataFrame([(i, f"text {i} " * 20) for i in range(60)] + [(3, "another text of three"), (50, "x" * 5000)], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(60)] + [(7, 0), (7, 1), (8, 0), (8, 0), (None, 1)]
+    frame = spark.createDataFrame(labels, "doc_id long, quality int").repartition(3)
+    got = training_rows(docs, frame, "quality", 4, 2, 12, 4000)
+    again = training_rows(docs.repartition(5), frame.repartition(1), "quality", 4, 2, 12, 4000)
+    assert got.equals(again) and got["text"].str.len().sum() <= 4000 and got["text"].str.len().max() <= 400
+    assert set(got["label"]) == {0, 1} and not got["text"].str.startswith("text 7 ").any()
+    assert training_rows(docs, frame.limit(0), "quality", 4, 2, 12, 4000).empty
+
+
 # --- quality
 
 
