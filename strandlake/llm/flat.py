@@ -27,6 +27,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes hashed at a time.
+_RUN = 1 << 20
+
 #: Every byte value has a random-looking 64-bit code.
 _CODES = mix(np.arange(1, 257, dtype=_U) * _U(0x632BE59BD9B4E019))
 
@@ -71,12 +74,32 @@ class Flat:
         self.words = np.bincount(self.doc, minlength=self.n) if self.n else np.zeros(0, np.int64)
 
     def hashes(self) -> np.ndarray:
-        """Polynomial hash of every word, independent of where it stands."""
-        total = np.zeros(len(self.bytes) + 1, dtype=_U)
-        np.cumsum(_CODES[self.bytes] * _powers(len(self.bytes), _BASE), out=total[1:])
-        down = _powers(len(self.bytes) + 1, _INVERSE)
-        value = (total[self.ends] - total[self.starts]) * down[self.starts]
-        return mix(value + (self.ends - self.starts).astype(_U))
+        """Polynomial hash of every word, independent of where it stands; words are taken in runs, so memory follows a run and not the text."""
+        out = np.empty(len(self.starts), dtype=_U)
+        first, n = 0, len(self.starts)
+        while first < n:
+            base = int(self.starts[first])
+            last = max(int(np.searchsorted(self.ends, base + _RUN, "right")), first + 1)
+            starts, ends = self.starts[first:last] - base, self.ends[first:last] - base
+            if int(ends[-1]) > 2 * _RUN:  # one very long word
+                out[first:last] = self._long(base, int(ends[-1]))
+            else:
+                run = self.bytes[base : base + int(ends[-1])]
+                total = np.zeros(len(run) + 1, dtype=_U)
+                np.cumsum(_CODES[run] * _powers(len(run), _BASE), out=total[1:])
+                out[first:last] = (total[ends] - total[starts]) * _powers(len(run) + 1, _INVERSE)[starts]
+            first = last
+        return mix(out + (self.ends - self.starts).astype(_U))
+
+    def _long(self, base: int, size: int):
+        """The hash of one word before mixing, in runs of bytes."""
+        total, scale = 0, 1
+        step = pow(_BASE, _RUN, 1 << 64)
+        for at in range(0, size, _RUN):
+            run = self.bytes[base + at : base + min(at + _RUN, size)]
+            total += scale * int(np.sum(_CODES[run] * _powers(len(run), _BASE), dtype=_U))
+            scale = scale * step & (1 << 64) - 1
+        return _U(total & (1 << 64) - 1)
 
 
 def pieces(batch, column: str, chars: int = 1_500_000):

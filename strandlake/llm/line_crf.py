@@ -12,12 +12,17 @@ document's label; then lines of bad documents that the model takes for good are
 relabelled (never all of a document) and the field is fitted again.
 
 Features are computed for all lines of a batch at once from byte classes and
-word hashes; lines are whole, however long. Null texts and texts without words
-score 0.
+word hashes; lines are whole, however long, and long texts go through in parts of
+whole lines. Null texts and texts without words score 0. Repeated rows, and rows
+of a null id, get the same score each; nothing is learnt from a null id or from
+one labelled both ways. Without labels of both classes every text scores 0. A
+column named like a result is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -35,6 +40,9 @@ for _k, _members in enumerate(_CLASSES):
     for _b in _members:
         _CLASS_OF[_b] = _k + 1
 
+#: Characters of a text from which its lines go through in parts.
+PART = 1_500_000
+_WORD = re.compile("[^\x20\x09-\x0D]")
 #: Training: lines of at most this many documents of each class and characters in total.
 TRAIN_PER_CLASS, TRAIN_CHARS = 1500, 4_000_000
 
@@ -49,10 +57,8 @@ def line_features(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     line_of_word = np.searchsorted(ends, flat.starts, "left")
     words = np.bincount(line_of_word, minlength=n)
     kind = _CLASS_OF[data]
-    shares = []
-    for k in range(1, len(_CLASSES) + 1):
-        total = np.concatenate(([0], np.cumsum(kind == k)))
-        shares.append(total[ends] - total[starts])
+    # sums over the bytes of each line; a line's newline is in no class
+    shares = [np.add.reduceat(kind == k, starts, dtype=np.int32) if n else np.zeros(0) for k in range(1, len(_CLASSES) + 1)]
     counts = np.stack(shares, axis=1).astype(float)
     size = ends - starts
     letters = np.maximum(counts[:, 0] + counts[:, 1] + counts[:, 7] / 2, 1)
@@ -123,32 +129,30 @@ def forward_backward(unary: np.ndarray, trans: np.ndarray, doc: np.ndarray):
     step; ones that have ended drop out.
     """
     counts, step, lane = _grid(doc)
-    live = [int((counts > t).sum()) for t in range(int(counts[0]))]
-    pad = [np.empty((k, 2)) for k in live]
     where = np.lexsort((lane, step))
+    live = np.bincount(step)
     cut = np.concatenate(([0], np.cumsum(live)))
-    for t in range(len(live)):
-        pad[t] = unary[where[cut[t] : cut[t + 1]]]
-    alpha = [pad[0]]
+    pad, alpha = unary[where], np.empty_like(unary)
+    alpha[: live[0]] = pad[: live[0]]
     for t in range(1, len(live)):
-        alpha.append(_lse(alpha[-1][: live[t], :, None] + trans[None], 1) + pad[t])
-    total, beta = np.zeros(len(counts)), np.zeros((live[-1], 2))
+        k, now = live[t], slice(cut[t], cut[t + 1])
+        alpha[now] = _lse(alpha[cut[t - 1] : cut[t - 1] + k, :, None] + trans[None], 1) + pad[now]
+    total = np.zeros(len(counts))
     marginal = np.empty_like(unary)
     moves = np.zeros((2, 2))
     last = np.zeros((0, 2))
     for t in range(len(live) - 1, -1, -1):
-        beta = np.zeros((live[t], 2))
+        now, beta = slice(cut[t], cut[t + 1]), np.zeros((live[t], 2))
         ended = len(last)
         if ended:
-            ahead = pad[t + 1] + last
+            ahead = pad[cut[t + 1] : cut[t + 2]] + last
             beta[:ended] = _lse(trans[None] + ahead[:, None, :], 2)
-        joint = alpha[t] + beta
+        joint = alpha[now] + beta
         z = _lse(joint, 1)
         total[: live[t]] = z
-        marginal[where[cut[t] : cut[t + 1]]] = np.exp(joint - z[:, None])
+        marginal[where[now]] = np.exp(joint - z[:, None])
         if ended:
-            pair = alpha[t][:ended, :, None] + trans[None] + (pad[t + 1] + last)[:, None, :] - z[:ended, None, None]
-            moves += np.exp(pair).sum(axis=0)
+            moves += np.exp(alpha[now][:ended, :, None] + trans[None] + ahead[:, None, :] - z[:ended, None, None]).sum(axis=0)
         last = beta
     return marginal, moves, float(total.sum())
 
@@ -221,15 +225,54 @@ class LineField:
             w = w + np.clip(np.linalg.solve(hess, x.T @ (good - p) - 1e-2 * w), -4, 4)
         self.curve = (float(w[0]), float(w[1]))
 
+    def _lines(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, length, unary potentials) of every line with a word.
+
+        A long text goes through in parts of whole lines. A part also sees the
+        two lines with words before it and the one after, so features come out
+        as they do for the whole text.
+        """
+        if len(texts) > 1 or len(texts[0] or "") <= PART:
+            doc, size, own = line_features(texts)
+            return doc, size, self._unary(with_neighbours(doc, own)) if len(doc) else np.zeros((0, 2))
+        lines = texts[0].split("\n")
+        worded = [i for i, x in enumerate(lines) if _WORD.search(x)]
+        sizes, unary, a = [], [], 0
+        while a < len(worded):
+            b, chars = a, 0
+            while b < len(worded) and (b == a or chars + len(lines[worded[b]]) <= PART):
+                chars += len(lines[worded[b]])
+                b += 1
+            lead = min(a, 2)
+            first = max(worded[a - lead] - 1, 0)
+            _, size, own = line_features(["\n".join(lines[first : worded[min(b, len(worded) - 1)] + 1])])
+            part = self._unary(with_neighbours(np.zeros(len(own), dtype=np.int64), own))
+            lead = len(own) - (b - a) - (b < len(worded))
+            sizes.append(size[lead : lead + b - a])
+            unary.append(part[lead : lead + b - a])
+            a = b
+        if not sizes:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2))
+        size = np.concatenate(sizes)
+        return np.zeros(len(size), dtype=np.int64), size, np.concatenate(unary)
+
     def score(self, texts: list) -> tuple[np.ndarray, list[np.ndarray]]:
         """Score of each text and the marginals of its lines being bad."""
         if self.weights is None:
             return np.zeros(len(texts)), [np.zeros(0)] * len(texts)
-        doc, size, own = line_features(texts)
         out = np.zeros(len(texts))
+        long = [i for i, t in enumerate(texts) if t is not None and len(t) > PART]
+        if long and len(texts) > 1:
+            marginals = [np.zeros(0)] * len(texts)
+            for chosen in ([i for i in range(len(texts)) if i not in set(long)], *([i] for i in long)):
+                some, lines = self.score([texts[i] for i in chosen]) if chosen else ((), ())
+                for i, x, m in zip(chosen, some, lines, strict=True):
+                    out[i], marginals[i] = x, m
+            return out, marginals
+        doc, size, unary = self._lines(texts) if texts else (np.zeros(0), None, None)
         if not len(doc):
             return out, [np.zeros(0)] * len(texts)
-        marginal = forward_backward(self._unary(with_neighbours(doc, own)), self.trans, doc)[0][:, 1]
+        marginal = forward_backward(unary, self.trans, doc)[0][:, 1]
         badness = self._badness(doc, size, marginal, len(texts))
         out = 1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * badness, -30, 30)))
         out[np.bincount(doc, minlength=len(texts)) == 0] = 0

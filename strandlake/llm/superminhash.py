@@ -15,6 +15,8 @@ import numpy as np
 from strandlake.llm.flat import mix
 
 _U = np.uint64
+#: Elements worked on at a time.
+_BLOCK = 1 << 18
 
 
 def signatures(doc: np.ndarray, value: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -25,7 +27,14 @@ def signatures(doc: np.ndarray, value: np.ndarray, n: int, m: int) -> np.ndarray
     zeros.
     """
     best = np.full(n * m, np.inf)
-    who, x = doc.astype(np.int64), value
+    for a in range(0, len(value), _BLOCK):  # minima don't depend on the order, and what one block fills stops the next ones sooner
+        _fill(best, doc[a : a + _BLOCK].astype(np.int64), value[a : a + _BLOCK], n, m)
+    best[np.isinf(best)] = 0
+    return (mix(best.view(_U)) >> _U(48)).astype(np.uint16).reshape(n, m)
+
+
+def _fill(best: np.ndarray, who: np.ndarray, x: np.ndarray, n: int, m: int) -> None:
+    """Lower the components ``best`` by the ranks of the elements ``x`` of the texts ``who``."""
     swaps: list[np.ndarray] = []
     for j in range(m):
         if not len(x):
@@ -44,5 +53,3 @@ def signatures(doc: np.ndarray, value: np.ndarray, n: int, m: int) -> np.ndarray
         stay = (largest > j + 1)[who]
         if not stay.all():
             who, x, swaps = who[stay], x[stay], [s[stay] for s in swaps]
-    best[np.isinf(best)] = 0
-    return (mix(best.view(_U)) >> _U(48)).astype(np.uint16).reshape(n, m)
