@@ -97,6 +97,67 @@ def test_components_against_brute_force(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def near_copies(n, rng, size=300, most=14):
+    base = words("en", size, rng)
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, most)):
+            w[rng.randrange(len(w))] = "x" + str(rng.random())
+        out.append(" ".join(w))
+    return out
+
+
+def test_a_group_of_near_copies_ships_each_text_about_once(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = near_copies(600, rng, most=5) + [" ".join(words("fr", 60, rng)) for _ in range(100)]
+    shipped = []
+
+    def counted(make):
+        def run(*a):
+            units = make(*a)
+            shipped.append(units.count() if units is not None else 0)
+            return units
+        return run
+
+    for name in ("_first_units", "_other_units"):
+        monkeypatch.setattr(near_dedup, name, counted(getattr(near_dedup, name)))
+    monkeypatch.setattr("strandlake.plans.skew.lookup.__defaults__", (None, None, 4, 20))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, block=32).collect()}
+    assert got == {i: 0 if i < 600 else i for i in range(700)}
+    assert shipped[0] <= 600 + 600 / 32 * 3 and shipped[1] <= 2 * 600
+
+
+def test_strays_and_rows_of_one_id(spark):
+    """Chains of groups beside each other, and ids that repeat with different texts, against all pairs."""
+    rng = random.Random(12)
+    texts = [t for _ in range(6) for t in near_copies(40, rng, size=150, most=22)]
+    ids = list(range(len(texts)))
+    ids[50], ids[130], ids[7] = 10, 200, 7
+    rows = [*zip(ids, texts, strict=True), (7, texts[7]), (None, texts[3]), (None, "all alone here")]
+    sets = [shingle_set(t, 5) for t in texts]
+    up = {i: i for i in ids}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        n = len(sets[i] & sets[j])
+        if n and 100 * n >= 80 * len(sets[i] | sets[j]):
+            a, b = find(ids[i]), find(ids[j])
+            up[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (8, 128):
+        got = near_dedup.near_duplicates(docs, block=block).collect()
+        assert len(got) == len(rows)
+        assert {(r.doc_id, r.component_id) for r in got if r.doc_id is not None} == {(i, find(i)) for i in ids}
+        alone = {r.n_shingles: r for r in got if r.doc_id is None}
+        assert alone[1].component_id is None and not any(r.kept for n, r in alone.items() if n > 1)
+
+
 # --- benchmark windows
 
 
