@@ -7,12 +7,17 @@ scans each document's normalised text once. Matches are mapped to word numbers
 and from there to character offsets of the original text.
 
 The benchmark is read to the driver only behind a check of its size: the items
-are dealt, by a hash of their id, into as many blocks as keep each automaton
-under ``BLOCK_CHARS`` characters of window text. Every block is a scan of its
-own over all documents; no items are left out.
-
-Null and empty texts have no words and are never contaminated. Repeated rows
-get the same result each; items of equal text are all named.
+are dealt, by a hash, into as many blocks as keep each automaton about under
+``BLOCK_CHARS`` characters of window text, and no item is left out. The first
+block's scan passes all documents through. Further blocks return texts with hits
+only, once for equal texts, and these few are looked up by a digest of the text.
+
+Null and empty texts have no words and are never contaminated. Repeated rows,
+and rows of a null id, get the same result each; items of equal text are all
+named. An item without an id contaminates like any other but can't be named; one
+without words has no windows. A column of ``docs`` with the name of a result is
+replaced by it, all others pass through. Empty tables give no rows, and an empty
+benchmark no matches.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.flat import appended
+from strandlake.plans.lineage import cut
+from strandlake.plans.skew import lookup
 
 #: Window text of one automaton, in characters; about 40 bytes of memory each at most.
 BLOCK_CHARS = 8_000_000
@@ -68,7 +75,7 @@ def build(items: list[tuple[str, str]], size: int) -> ahocorasick.Automaton:
             owners.setdefault(window, set()).add(item)
     automaton = ahocorasick.Automaton()
     for window, ids in owners.items():
-        automaton.add_word(f" {window} ", (window.count(" ") + 1, sorted(ids)))
+        automaton.add_word(f" {window} ", (window.count(" ") + 1, sorted(i for i in ids if i is not None)))
     if len(automaton):
         automaton.make_automaton()
     return automaton
@@ -96,12 +103,12 @@ def scan(automaton: ahocorasick.Automaton, words: list[bytes]) -> tuple[list[tup
     return [(a, b) for a, b in ranges], found
 
 
-#: Column that numbers the rows while several blocks are put together.
-_NUMBER = "_leak_row_number"
+#: Column of a text's digest while several blocks are put together.
+_DIGEST = "_leak_text_digest"
 _built: dict[str, ahocorasick.Automaton] = {}
 
 
-def _scanner(shared, name: str, size: int, spans: bool):
+def _scanner(shared, name: str, size: int, spans: bool, digest: bool):
     def make(texts):
         if name not in _built:
             _built.clear()
@@ -115,6 +122,8 @@ def _scanner(shared, name: str, size: int, spans: bool):
             out["ranges"].append([{"a": a, "b": b} for a, b in ranges])
             out["items"].append(sorted(found))
             out["spans"].append([{"start": where[a][0], "end": where[b - 1][1]} for a, b in ranges] if where else [])
+        if digest:
+            out[_DIGEST] = [hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).digest() for t in texts]
         return out
 
     return make
@@ -138,29 +147,29 @@ def find_leaks(
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    bench = bench.where("item_id is not null and text is not null")
+    bench = bench.where("text is not null")
     total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total * size / block_chars))
-    made = ("n_words", "n_hit", "ranges", "items", "spans", "contaminated", _NUMBER)
-    rows = docs.withColumn("text", F.col("text").cast("string")).drop(*made)
+    rows = docs.withColumn("text", F.col("text").cast("string")).drop("n_words", "n_hit", "ranges", "items", "spans", "contaminated", _DIGEST)
     others = [c for c in rows.columns if c != "text" or keep_text]
-    if blocks > 1:
-        rows = rows.withColumn(_NUMBER, F.monotonically_increasing_id())
-    parts = []
-    for block in range(blocks):
-        mine = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        items = json.dumps(sorted((r[0], r[1]) for r in mine.toLocalIterator()))
+    schema = _SCHEMA + f", {_DIGEST} binary" * (blocks > 1)
+
+    def scanned(df: DataFrame, block: int, drop: bool) -> DataFrame:
+        mine = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        items = json.dumps(sorted(((r[0], r[1]) for r in mine.toLocalIterator()), key=lambda r: (r[0] or "", r[1])))
         name = hashlib.sha256(f"{size}\n{items}".encode()).hexdigest()
-        shared = spark.sparkContext.broadcast(items)
-        parts.append(appended(rows, "text", _scanner(shared, name, size, spans), _SCHEMA, drop=not keep_text))
-    found = parts[0]
+        return appended(df, "text", _scanner(spark.sparkContext.broadcast(items), name, size, spans, blocks > 1), schema, drop=drop)
+
+    found = scanned(rows, 0, not keep_text)
     if blocks > 1:
-        more = parts[0]
-        for part in parts[1:]:
-            more = more.unionByName(part)
-        together = [F.first(c).alias(c) for c in (*others, "n_words")]
-        together += [F.flatten(F.collect_list(c)).alias(c) for c in ("ranges", "items", "spans")]
-        found = more.groupBy(_NUMBER).agg(*together).drop(_NUMBER)
+        lists = ("ranges", "items", "spans")
+        hits = None
+        for block in range(1, blocks):
+            some = scanned(rows.select("text"), block, True).where(F.size("ranges") > 0).select(_DIGEST, *lists).dropDuplicates([_DIGEST])
+            hits = some if hits is None else hits.unionByName(some)
+        more = cut(hits.groupBy(_DIGEST).agg(*[F.flatten(F.collect_list(c)).alias(f"_more_{c}") for c in lists]))
+        found = lookup(found, more, _DIGEST)
+        found = found.withColumns({c: F.when(F.col(f"_more_{c}").isNull(), F.col(c)).otherwise(F.concat(c, f"_more_{c}")) for c in lists})
     state = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("reach"))
     hit = F.aggregate(
         F.array_sort("ranges"), state,
@@ -172,5 +181,5 @@ def find_leaks(
     )
     return found.select(
         *others, "n_words", hit.alias("n_hit"), F.array_sort("items").alias("items"), "spans",
-        (F.size("items") > 0).alias("contaminated"),
+        (F.size("ranges") > 0).alias("contaminated"),
     )
