@@ -13,7 +13,11 @@ under which a term occurs in clean documents only, cancel a match. The summed
 weights, and the sum divided by a power of the length, enter a logistic curve.
 
 One automaton holds all terms with a boundary before them and, for whole words,
-after. Null and empty texts get the score of a text without matches.
+after. Null and empty texts get the score of a text without matches. Repeated
+rows, and rows of a null id, get the same score each; nothing is learnt from a
+null id or from one labelled both ways. Without labels of both classes the
+lexicon is empty. A column named like a result is replaced; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -140,7 +144,15 @@ class Lexicon:
                 free.append((start, end))
             elif start not in hits or weight > hits[start][3]:
                 hits[start] = (start, end, term, weight)
-        out = [h for h in hits.values() if not any(a <= h[0] and h[1] <= b for a, b in free)]
+        # one sweep in order of starts: a hit is inside a phrase if the furthest end of those begun so far is not before its own
+        free.sort()
+        out, at, reach = [], 0, -1
+        for hit in sorted(hits.values()):
+            while at < len(free) and free[at][0] <= hit[0]:
+                reach = max(reach, free[at][1])
+                at += 1
+            if reach < hit[1]:
+                out.append(hit)
         return out, max(folded.count(" ") - 1, 0)
 
     def features(self, texts: list) -> np.ndarray:
