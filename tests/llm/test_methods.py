@@ -312,6 +312,32 @@ def test_exceptions_and_boundaries():
     assert lexicon.matches("")[0] == []
 
 
+def test_matches_against_brute_force():
+    rng = random.Random(21)
+    lexicon = toxicity.Lexicon({"ab*": 1.0, "ba": 2.0, "aab": 4.0, "b*": 0.5}, exceptions=("ab ba", "ba a", "aab b aab"))
+
+    def plain(text):
+        folded = toxicity.fold(text)
+        spaces = [i for i, c in enumerate(folded) if c == " "]
+        hits = {}
+        for i in spaces:
+            for term, weight in lexicon.terms.items():
+                key = f" {term[:-1]}" if term.endswith("*") else f" {term} "
+                if folded.startswith(key, i) and weight > hits.get(i, (0, "", 0.0))[2]:
+                    hits[i] = (i + len(key) - 1, term, weight)
+        free = [(i, i + len(f" {p} ") - 1) for i in spaces for p in lexicon.exceptions if folded.startswith(f" {p} ", i)]
+        return sorted((i, e, t, w) for i, (e, t, w) in hits.items() if not any(a <= i and e <= b for a, b in free))
+
+    for _ in range(300):
+        text = " ".join("".join(rng.choices("ab", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 25)))
+        assert sorted(lexicon.matches(text)[0]) == plain(text)
+    import time
+
+    began = time.time()
+    assert lexicon.matches("ab ba " * 100_000)[0] == []
+    assert time.time() - began < 5
+
+
 def test_toxicity_held_out():
     rng = random.Random(2)
     abuse = ["blarg", "zonkhead", "frub", "frubig", "frubus"]
@@ -583,6 +609,21 @@ def test_licences(spark):
     assert got[1].dice == 1.0 and 0.8 <= got[3].dice < 1
 
 
+def test_near_variants_of_every_long_template(spark):
+    """A few words changed, wrapped in other lines: still the same licence; a third changed: none."""
+    long = [(n, t) for n, t in licenses.TEMPLATES if len(licenses.bigrams(t)) >= 30]
+    rows = []
+    for k, (_, t) in enumerate(long):
+        w = t.split()
+        few = ["changed" if i % 25 == 5 else x for i, x in enumerate(w)]
+        rows.append((2 * k, "A first line.\n\n" + "\n".join(" ".join(few[i : i + 11]) for i in range(0, len(few), 11)) + "\n\nThe end."))
+        rows.append((2 * k + 1, "\n".join(" ".join("other" if i % 3 == 0 else x for i, x in enumerate(w))[j : j + 70] for j in range(0, len(t), 70))))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (name, t) in enumerate(long):
+        assert name in got[2 * k].licenses and 0.8 <= got[2 * k].dice < 1, name
+        assert got[2 * k + 1].license is None, name
+
+
 def test_bounds_and_telling_words():
     for n in range(1, 60):
         low, high = licenses._bounds(n, 0.8)
