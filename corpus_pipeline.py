@@ -6,18 +6,17 @@ before it kept; all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import decontaminate, language_id, line_crf, near_dedup, packing
-from strandlake.plans.lineage import cut
+from strandlake.plans.lineage import cut, forget, shared_folder
 from strandlake.plans.shipping import ship
 
-#: Scores from which a language is clear, which no stage asks for, and the smallest quality with which a document stays.
-LANGUAGE_SCORE, QUALITY_SCORE = 0.5, 0.5
+#: The smallest quality with which a document stays.
+QUALITY_SCORE = 0.5
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -50,8 +49,8 @@ def _numbered(docs: DataFrame) -> DataFrame:
     rows = _carried(docs).withColumn("_id", F.col("_row.doc_id").cast("long"))
     rows = rows.withColumn("_print", F.coalesce(F.sha2(F.col("text").cast("string"), 256), F.lit("")))
     pairs = rows.where("_id is not null").select("_id", "_print").distinct().orderBy("_id", "_print")
-    made = pairs.rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1]))
-    numbers = cut(docs.sparkSession.createDataFrame(made, "_id long, _print string, _n long"))
+    # partitions of a sorted frame are ranges in order, so these ids rise with the pairs; the table makes them last
+    numbers = cut(pairs.withColumn("_n", F.monotonically_increasing_id()))
     return rows.join(numbers, ["_id", "_print"], "left").select("text", "_row", "_n")
 
 
@@ -96,15 +95,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     ship(spark)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandlake-pipeline-")
-    top = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for number, (_, stage) in enumerate(STAGES):
         path = f"{top}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before is not None:
-            where = spark._jvm.org.apache.hadoop.fs.Path(before)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            forget(spark, before)
         before = path
     return docs
