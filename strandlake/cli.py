@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strandlake.operators import demux, dictionary, graph, kmers, overlap, paired
 from strandlake.plans.shipping import ship
 from strandlake.sources import sff, sinks
-from strandlake.sources.fastq import read_fastq, read_genome, read_mates
+from strandlake.sources.fastq import genome_pieces, read_fastq, read_mates
 from strandlake.sources.tables import read_adaptors, read_edges
 
 
@@ -77,7 +77,7 @@ def _search(spark, a):
 
 def _align(spark, a):
     ship(spark)
-    genome = read_genome(spark, {int(k): v for k, v in (x.split("=", 1) for x in a.genome)})
+    genome = genome_pieces(spark, {int(k): v for k, v in (x.split("=", 1) for x in a.genome)})
     rows = paired.Aligner(a.difficulty).pass_reference_genome(genome).get_alignment(read_mates(spark, a.first, a.second), a.n, a.mode)
     sinks.write_lines(paired.report_lines(rows, a.compat), a.out)
 

@@ -38,15 +38,21 @@ def forget(spark: SparkSession, path: str) -> None:
     store.delete(where, True)
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    store, where = _place(spark, path)
+    store.deleteOnExit(where)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table to the shared folder and read it from there.
 
     The table goes with :func:`spent`, or when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    store, where = _place(spark, path)
-    store.deleteOnExit(where)
+    path = scratch(spark, "cut")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _written[out] = path

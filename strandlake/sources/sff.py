@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import struct
-from pathlib import Path
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -83,37 +84,112 @@ def with_count(header: bytes, n: int) -> bytes:
     return bytes(out)
 
 
+def record(name: str, bases: str, scores: bytes, flows: int, left: int = 0, right: int = 0) -> bytes:
+    """Raw bytes of a read with empty flow values; ``left`` and ``right`` are its 1-based quality clips, 0 for none."""
+    head = _READ.pack(_padded(_READ.size + len(name)), len(name), len(bases), left, right, 0, 0) + name.encode()
+    body = bytes(2 * flows + len(bases)) + bases.encode() + scores
+    return head.ljust(_padded(len(head)), b"\0") + body.ljust(_padded(len(body)), b"\0")
+
+
+def header(flows: bytes = b"TACG", key: bytes = b"TCAG") -> bytes:
+    """A common header for no reads and no index."""
+    size = _padded(_COMMON.size + len(flows) + len(key))
+    return (_COMMON.pack(_MAGIC, 1, 0, 0, 0, size, len(key), len(flows), 1) + flows + key).ljust(size, b"\0")
+
+
+#: Bytes of records held before a file is written.
+FILE_BYTES = 64_000_000
+
+
+class _Commit(WriterCommitMessage):
+    def __init__(self, files):
+        self.files = files
+
+
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, header: bytes):
-        self.path, self.header = path, header
+    """Writes files under a folder of its own; the driver's commit moves those of the attempts that count."""
+
+    def __init__(self, path: str, header: bytes, overwrite: bool):
+        self.path, self.header, self.overwrite = path, header, overwrite
+        self.staging = f"_staging-{uuid.uuid4().hex}"
+
+    def _store(self):
+        from pyarrow import fs
+
+        path = self.path if "://" in self.path else re.sub("^file:/+", "/", self.path)
+        store, top = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        return store, top.rstrip("/")
 
     def write(self, iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        context, (store, top) = TaskContext.get(), self._store()
+        part, attempt = context.partitionId(), context.taskAttemptId()
         held: dict[str, list[bytes]] = {}
+        size, files = 0, []
+
+        def flush():
+            for name, records in held.items():
+                place = f"bucket={name}/part-{part:05d}-{len(files):05d}.sff"
+                staged = f"{top}/{self.staging}/{attempt}/{place}"
+                store.create_dir(staged.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(staged) as out:
+                    out.write(with_count(self.header, len(records)))
+                    for raw in records:
+                        out.write(raw)
+                files.append((staged, f"{top}/{place}"))
+            held.clear()
+
         for batch in iterator:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(name, []).append(raw)
-        for name, records in held.items():
-            folder = Path(self.path) / f"bucket={name}"
-            folder.mkdir(parents=True, exist_ok=True)
-            (folder / f"part-{part:05d}.sff").write_bytes(with_count(self.header, len(records)) + b"".join(records))
-        return WriterCommitMessage()
+                size += len(raw)
+                if size >= FILE_BYTES:
+                    flush()
+                    size = 0
+        flush()
+        return _Commit(files)
+
+    def commit(self, messages) -> None:
+        store, top = self._store()
+        if self.overwrite:
+            from pyarrow import fs
+
+            for old in store.get_file_info(fs.FileSelector(top, allow_not_found=True)):
+                if old.base_name.startswith("bucket="):
+                    store.delete_dir(old.path)
+        run = uuid.uuid4().hex[:8]
+        for message in messages:
+            for staged, final in message.files if message else ():
+                store.create_dir(final.rsplit("/", 1)[0], recursive=True)
+                store.move(staged, final.removesuffix(".sff") + f"-{run}.sff")
+        self.abort(messages)
+
+    def abort(self, messages) -> None:
+        store, top = self._store()
+        store.delete_dir_contents(f"{top}/{self.staging}", missing_dir_ok=True)
+        from pyarrow import fs
+
+        if store.get_file_info(f"{top}/{self.staging}").type != fs.FileType.NotFound:
+            store.delete_dir(f"{top}/{self.staging}")
 
 
 class SffDataSource(DataSource):
-    """``format("sff")`` for writing (bucket, raw); the path must be a folder that all executors mount."""
+    """``format("sff")`` for writing (bucket, raw) to a path of any store that pyarrow knows and the driver and executors share."""
 
     @classmethod
     def name(cls) -> str:
         return "sff"
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"], bytes.fromhex(self.options["header"]))
+        return _Writer(self.options["path"], bytes.fromhex(self.options["header"]), overwrite)
+
 
+def write_sff(records: DataFrame, path: str, header: bytes, mode: str = "append") -> None:
+    """Write (bucket, raw) rows to SFF files in a folder per bucket, each with its own count.
 
-def write_sff(records: DataFrame, path: str, header: bytes) -> None:
-    """Write (bucket, raw) rows to one SFF file per bucket and partition, each with its own count."""
+    Files hold at most about FILE_BYTES of records, so a task's memory is
+    bounded; a retried or speculative task's files never reach the folder.
+    """
     records.sparkSession.dataSource.register(SffDataSource)
-    records.select("bucket", "raw").write.format("sff").option("header", header.hex()).mode("append").save(path)
+    records.select("bucket", "raw").write.format("sff").option("header", header.hex()).mode(mode).save(path)

@@ -8,12 +8,12 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.operators import kmers
+from strandlake.operators import kmers, paired
 from strandlake.sources import sff, sinks
-from strandlake.sources.fastq import read_fasta, read_fastq, read_genome, read_mates
+from strandlake.sources.fastq import fasta_pieces, genome_pieces, read_fasta, read_fastq, read_genome, read_mates
 from strandlake.sources.lines import numbered_lines
 from strandlake.sources.tables import read_adaptors, read_edges, read_headers, read_statistics
-from strandlake.streaming.kmers import stream_reads, streaming_kmer_counts
+from strandlake.streaming.kmers import stream_fastq, stream_reads, streaming_kmer_counts
 
 
 def test_numbered_lines_over_splits(spark, tmp_path):
@@ -124,3 +124,85 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {r.label: r["count"] for r in spark.table("kmers").collect()} == {"ACG": 2, "CGT": 1, "GTA": 1}
+
+
+def test_stream_of_fastq_files(spark, tmp_path):
+    source = tmp_path / "reads"
+    source.mkdir()
+    (source / "one.fastq").write_text("@a\nACGTA\n+\nIIIII\nbroken\nA\n+\nI\n@b\nACG\n+b\nIII\n")
+    (source / "two.fastq").write_text("@c\r\nTACGT\r\n+\r\n@IIII\r\n")
+    (source / "three.fastq").write_text("")
+    query = streaming_kmer_counts(stream_fastq(spark, str(source), 1), 3).writeStream.outputMode("complete").format("memory").queryName("fastq_kmers").start()
+    query.processAllAvailable()
+    query.stop()
+    assert {r.label: r["count"] for r in spark.table("fastq_kmers").collect()} == {"ACG": 3, "CGT": 2, "GTA": 1, "TAC": 1}
+
+
+def small_splits(spark, size):
+    import contextlib
+
+    @contextlib.contextmanager
+    def held():
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            yield
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+    return held()
+
+
+def test_fastq_over_splits_and_files(spark, tmp_path):
+    """Records that splits cut in two are put together again, quality lines that begin with @ or + included."""
+    want = {}
+    for k in range(3):
+        rows = [(i, f"@r{k}.{i}", "ACGT" * (i % 9), "@+I!" * (i % 9)) for i in range(400)]
+        (tmp_path / f"f{k}.fastq").write_text("".join(f"{h}\n{s}\n+{h}\n{q}\n" for _, h, s, q in rows))
+        want |= {(f"f{k}.fastq", i): (h, s, q) for i, h, s, q in rows}
+    with small_splits(spark, "2k"):
+        got = read_fastq(spark, str(tmp_path)).collect()
+    assert {(r.file.rsplit("/", 1)[1], r.read_id): (r.identifier, r.sequence, r.quality) for r in got} == want and len(got) == len(want)
+
+
+def test_fasta_pieces_over_splits(spark, tmp_path):
+    """Records longer than splits and pieces, empty ones and lines before the first header keep their places."""
+    import random
+
+    rng = random.Random(7)
+    spelled = {f"s{i}": "".join(rng.choices("ACGT", k=rng.choice([0, 3, 61, 700, 5000]))) for i in range(30)}
+
+    def lines(s):
+        return "".join(f"{s[i : i + 60]}\n" for i in range(0, len(s), 60))
+
+    (tmp_path / "x.fa").write_text("AC\nGT\n" + "".join(f">{n}\n{lines(s)}" for n, s in spelled.items()))
+    for split, size in (("1k", 100), ("128m", 777), ("3k", 100_000)):
+        with small_splits(spark, split):
+            pieces = fasta_pieces(spark, str(tmp_path / "x.fa"), size=size).collect()
+            whole = {r.name: r.sequence for r in read_fasta(spark, str(tmp_path / "x.fa")).collect()}
+            rows = genome_pieces(spark, {1: str(tmp_path / "x.fa")}, size=size)
+            chunks = paired.chunked(rows, size=1000, margin=30).orderBy("chunk").collect()
+        assert whole == {None: "ACGT"} | spelled
+        found = {}
+        for r in sorted(pieces, key=lambda r: (r.record, r.offset)):
+            assert len(found.get(r.name, "")) == r.offset and len(r.sequence) < size + 60
+            found[r.name] = found.get(r.name, "") + r.sequence
+        assert found == whole
+        genome = "ACGT" + "".join(spelled.values())
+        assert [(c.start, c.own, c.sequence) for c in chunks] == [
+            (max(o - 30, 0), o, genome[max(o - 30, 0) : o + 1030]) for o in range(0, len(genome), 1000)
+        ]
+        assert all(c.length == len(genome) for c in chunks)
+
+
+def test_sff_writer_bounds_files_and_commits(spark, tmp_path, monkeypatch):
+    made = [(b, sff.record(f"r{i}", "TCAG" + "ACGT" * i, bytes([30] * (4 + 4 * i)), 4, 5, 4 + 4 * i)) for i in range(1, 30) for b in (f"b{i % 2}",)]
+    rows = spark.createDataFrame(made, "bucket string, raw binary").repartition(3)
+    out = str(tmp_path / "sff")
+    sff.write_sff(rows, out, sff.header())
+    sff.write_sff(rows.limit(0), out, sff.header())
+    back = sff.read_sff(spark, f"{out}/*").collect()
+    assert sorted(r.name for r in back) == sorted(f"r{i}" for i in range(1, 30)) and all(len(r.sequence) == 4 * int(r.name[1:]) for r in back)
+    assert not [p for p in (tmp_path / "sff").iterdir() if p.name.startswith("_")]
+    sff.write_sff(rows.where("bucket = 'b1'"), out, sff.header(), mode="overwrite")
+    assert {p.name for p in (tmp_path / "sff").iterdir()} == {"bucket=b1"}
