@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.functions.codec import encode
 from strandlake.operators.kmers import windows
 from strandlake.plans.components import connected_components
+from strandlake.plans.lineage import cut
+from strandlake.plans.skew import lookup
 
 
 def demux_clusters(reads: DataFrame, width: int = 12, k: int = 10, inclusive: bool = False) -> DataFrame:
@@ -19,9 +22,11 @@ def demux_clusters(reads: DataFrame, width: int = 12, k: int = 10, inclusive: bo
     if width <= k:
         raise ValueError("width must be larger than k")
     rows = windows(reads.select("read_id", "sequence"), k, prefix=width, inclusive=inclusive).select("read_id", "kmer")
-    heads = rows.groupBy("kmer").agg(F.min("read_id").alias("head"))
+    rows = rows.select("read_id", encode("kmer").alias("kmer") if k <= 31 else "kmer")
+    heads = cut(rows.groupBy("kmer").agg(F.min("read_id").alias("head"), F.count("*").alias("count")))
     # every read of a k-mer is tied to the smallest: components stay the same, and k-mers need no node
-    edges = rows.join(heads, "kmer").select(F.col("read_id").alias("src"), F.col("head").alias("dst"))
+    tied = lookup(rows, heads.select("kmer", "head"), "kmer", counts=heads.select("kmer", "count"))
+    edges = tied.select(F.col("read_id").alias("src"), F.col("head").alias("dst"))
     return connected_components(edges, reads.select(F.col("read_id").alias("node")))
 
 
@@ -46,8 +51,6 @@ def demux_reads(reads: DataFrame, clusters: DataFrame, threshold: int = 1000, re
 
 def top_barcodes(reads: DataFrame, buckets: DataFrame, width: int = 12, k: int = 9) -> DataFrame:
     """(bucket, label, count): the most frequent prefix k-mer of each bucket; ties go to the smaller code."""
-    from strandlake.functions.codec import encode
-
     rows = windows(reads.join(buckets, "read_id").select("read_id", "sequence", "bucket"), k, prefix=width)
     per = rows.groupBy("bucket", F.col("kmer").alias("label")).agg(F.count("*").alias("count"))
     best = F.min_by(F.struct("label", "count"), F.struct(-F.col("count"), encode("label", wide=True)))

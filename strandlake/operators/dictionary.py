@@ -7,14 +7,19 @@ by shuffle. Keys with a base other than A, C, G, T are skipped.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import codec
 from strandlake.operators.kmers import windows
+from strandlake.plans.lineage import cut
 
-#: Rows up to which a dictionary is broadcast, after counting them.
-BROADCAST_ROWS = 100_000
+#: Rows up to which a dictionary is broadcast, after counting them, and keys up to which it is looked up within the row.
+BROADCAST_ROWS, LITERAL_KEYS = 100_000, 2_000
+#: First bases by which keys looked up within the row are told apart.
+SLOT_BASES = 4
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -77,9 +82,33 @@ def window_matches(reads: DataFrame, dictionary: DataFrame, longest: bool = Fals
     """(read_id, pos, adaptor_idx): the key that is a prefix of the read from ``pos``.
 
     If several are, the smallest adaptor_idx wins, or the longest key with
-    ``longest``.
+    ``longest``. A dictionary of at most LITERAL_KEYS keys is looked up within
+    the row, by an array of the keys that begin with the same bases; only hits
+    leave the row. A larger one is joined on the windows.
     """
-    keys = valid_keys(dictionary).groupBy("bases").agg(F.min("adaptor_idx").alias("adaptor_idx"))
+    keys = valid_keys(dictionary).groupBy("bases").agg(F.min("adaptor_idx").cast("long").alias("adaptor_idx"))
+    few = keys.limit(LITERAL_KEYS + 1).collect()
+    rows = reads.select("read_id", F.upper("sequence").alias("_s"))
+    if not few:
+        return rows.select("read_id", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("adaptor_idx")).limit(0)
+    if len(few) <= LITERAL_KEYS:
+        shortest = min(len(r["bases"]) for r in few)
+        depth = min(shortest, SLOT_BASES)
+        slots: list[list[dict]] = [[] for _ in range(4**depth)]
+        for r in sorted(few, key=lambda r: (-len(r["bases"]) if longest else 0, r["adaptor_idx"])):
+            digits = r["bases"][:depth].translate(str.maketrans(codec.BASES, codec.DIGITS))
+            slots[int(digits, 4)].append({"b": r["bases"], "i": r["adaptor_idx"]})
+        # one literal: the keys of each slot in order of preference, so the first that is a prefix wins
+        table = F.from_json(F.lit(json.dumps(slots)), "array<array<struct<b: string, i: bigint>>>")
+
+        def find(i):
+            slot = F.conv(F.translate(F.substring("_s", i + 1, F.lit(depth)), codec.BASES, codec.DIGITS), 4, 10).cast("int")
+            fits = F.filter(F.get(table, slot), lambda k: F.substring("_s", i + 1, F.length(k["b"])) == k["b"])
+            return F.struct(i.alias("pos"), F.get(fits, F.lit(0))["i"].alias("adaptor_idx"))
+
+        starts = F.sequence(F.lit(0), F.length("_s") - shortest)
+        hits = F.filter(F.transform(starts, find), lambda h: h["adaptor_idx"].isNotNull())
+        return rows.where(F.length("_s") >= shortest).select("read_id", F.inline(hits))
     lengths = sorted(r[0] for r in keys.select(F.length("bases")).distinct().collect())
     out = None
     for n in lengths:
@@ -88,8 +117,6 @@ def window_matches(reads: DataFrame, dictionary: DataFrame, longest: bool = Fals
             "read_id", "pos", "adaptor_idx", F.lit(n).alias("size")
         )
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        return reads.select("read_id", F.lit(0).alias("pos"), F.lit(0).alias("adaptor_idx")).limit(0)
     best = F.min_by("adaptor_idx", F.struct(-F.col("size"), "adaptor_idx")) if longest else F.min("adaptor_idx")
     return out.groupBy("read_id", "pos").agg(best.alias("adaptor_idx"))
 
@@ -106,14 +133,33 @@ def unmatched(reads: DataFrame, assigned: DataFrame) -> DataFrame:
 
 
 def adaptor_counts(reads: DataFrame, dictionary: DataFrame, rest: str = "noBarCode") -> DataFrame:
-    """(name, n_reads) of every adaptor, those without reads too, and of the rest."""
-    found = assign(reads, dictionary)
+    """(name, n_reads) of every adaptor, those without reads too, and of the rest.
+
+    The assignment is made once: the rest are all reads less those with an
+    adaptor. read_id is unique.
+    """
+    found = cut(assign(reads, dictionary))
     per = found.groupBy("adaptor_idx").agg(F.count("*").alias("n_reads"))
     named = dictionary.join(per, "adaptor_idx", "left").select("name", F.coalesce("n_reads", F.lit(0)).cast("long").alias("n_reads"))
-    none = unmatched(reads, found).agg(F.count("*").alias("n_reads")).select(F.lit(rest).alias("name"), "n_reads")
+    with_one = found.agg(F.countDistinct("read_id")).first()[0]
+    none = reads.agg((F.count("*") - with_one).alias("n_reads")).select(F.lit(rest).alias("name"), "n_reads")
     return named.unionByName(none)
 
 
+def dictionary_profile(dictionary: DataFrame, buckets: int = 301) -> DataFrame:
+    """(n_keys, shortest, longest, collisions, fullest) of the valid keys, one row.
+
+    ``collisions`` counts keys beyond the first of each bucket when codes are
+    dealt by their remainder, ``fullest`` is the largest bucket.
+    """
+    keys = valid_keys(dictionary).select(F.length("bases").alias("n"), (codec.encode("bases") % buckets).alias("bucket"))
+    per = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("n").alias("low"), F.max("n").alias("high"))
+    return per.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_keys"), F.min("low").alias("shortest"), F.max("high").alias("longest"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("collisions"), F.max("n").alias("fullest"),
+    )
+
+
 def intersects(left: DataFrame, right: DataFrame, key: str = "kmer") -> DataFrame:
     """Rows of ``left`` whose key occurs in ``right``."""
     return left.join(right.select(key), key, "left_semi")

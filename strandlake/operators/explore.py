@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.plans.lineage import cut
+
 
 def column_range(df: DataFrame, column: str) -> DataFrame:
     """(low, high, range) of a column, one row."""
@@ -14,9 +16,11 @@ def column_range(df: DataFrame, column: str) -> DataFrame:
 def percent_range_filter(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
     """Rows strictly between two percentages of each column's range; 0 and 100 exclude the extremes themselves.
 
-    ``accuracy`` and ``acc`` name the same column. The extremes, one row, are
-    aggregated first and enter the filter as literals, so it is pushed down.
+    ``accuracy`` and ``acc`` name the same column. The frame is written once;
+    its extremes, one row, are aggregated from there and enter the filter as
+    literals, which reach the scan of what was written.
     """
+    df = cut(df)
     alias = {"acc": "accuracy", "accuracy": "acc"}
     named = {c if c in df.columns else alias.get(c, c): b for c, b in bounds.items()}
     ends = df.agg(*[f(c).cast("double").alias(f"{n}_{c}") for c in named for n, f in (("lo", F.min), ("hi", F.max))]).first()

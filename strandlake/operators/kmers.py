@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import codec, quality
+from strandlake.plans.skew import lookup
 
 
 def _kept(i: Column, k: int, compat: bool) -> Column:
@@ -48,8 +49,8 @@ def windows(
     if compat:
         made = F.filter(made, lambda w: _kept(w["pos"], k, True))
         made = F.transform(made, lambda w: F.struct(w["pos"].alias("pos"), F.regexp_replace(w["kmer"], "[^ACGT]", "T").alias("kmer")))
-    elif clean:
-        made = F.filter(made, lambda w: ~w["kmer"].rlike("[^ACGT]"))
+    elif clean:  # most reads are clean as a whole, which is tested once and not for each window
+        made = F.when(codec.is_clean("sequence"), made).otherwise(F.filter(made, lambda w: ~w["kmer"].rlike("[^ACGT]")))
     return reads.where(enough).select(*reads.columns, F.inline(made))
 
 
@@ -77,17 +78,34 @@ def kmer_statistics(reads: DataFrame, k: int, **how) -> DataFrame:
 
 
 def kmer_variability(reads: DataFrame, sizes) -> DataFrame:
-    """(k, n_kmers) distinct k-mers for each size, all sizes in one scan."""
-    def of(k: int) -> Column:
-        starts = F.when(F.length("sequence") >= k, F.sequence(F.lit(0), F.length("sequence") - k))
-        cut = F.transform(starts, lambda i: F.struct(F.lit(k).alias("k"), F.upper(F.substring("sequence", i + 1, F.lit(k))).alias("kmer")))
-        return F.coalesce(cut, F.array().cast("array<struct<k: int, kmer: string>>"))
+    """(k, n_kmers) distinct k-mers for each size, all sizes in one scan.
+
+    Reads are split at bad bases first, so no window is tested; up to 31 bases
+    the distinct values are 8-byte codes, which shuffle and hash as numbers.
+    """
+    runs = reads.select(F.explode(F.split(F.upper("sequence"), "[^ACGT]+")).alias("run")).where(F.length("run") >= min(sizes))
+    runs = runs.select("run", F.translate("run", codec.BASES, codec.DIGITS).alias("_digits"))
 
-    made = F.flatten(F.array(*map(of, sizes)))
-    rows = reads.select(F.inline(made)).where(~F.col("kmer").rlike("[^ACGT]"))
+    def of(k: int) -> Column:
+        starts = F.when(F.length("run") >= k, F.sequence(F.lit(0), F.length("run") - k))
+        if k > 31:
+            made = F.transform(starts, lambda i: F.struct(F.lit(k).alias("k"), F.lit(0).cast("long").alias("code"), F.substring("run", i + 1, F.lit(k)).alias("kmer")))
+        else:
+            made = F.transform(starts, lambda i: F.struct(
+                F.lit(k).alias("k"), F.conv(F.substring("_digits", i + 1, F.lit(k)), 4, 10).cast("long").alias("code"), F.lit("").alias("kmer")
+            ))
+        return F.coalesce(made, F.array().cast("array<struct<k: int, code: bigint, kmer: string>>"))
+
+    rows = runs.select(F.inline(F.flatten(F.array(*map(of, sizes)))))
     return rows.distinct().groupBy("k").agg(F.count("*").alias("n_kmers"))
 
 
+def pattern_log2(reads: DataFrame, sizes) -> DataFrame:
+    """(k, n_kmers, log2): binary logarithm of the distinct k-mers by k, and as text with two decimals."""
+    rows = kmer_variability(reads, sizes)
+    return rows.select("k", "n_kmers", F.log2("n_kmers").alias("log2"), F.format_string("%.2f", F.log2("n_kmers")).alias("shown"))
+
+
 def top_kmers(reads: DataFrame, k: int, n: int = 1, **how) -> DataFrame:
     """The ``n`` most frequent k-mers; of equal counts the smaller id first."""
     return kmer_counts(reads, k, **how).orderBy(F.desc("count"), "id").limit(n)
@@ -103,9 +121,19 @@ def pattern_qualities(reads: DataFrame, pattern: str, **how) -> DataFrame:
     return found if set(asked) <= set("ACGT") and set(asked) - {"T"} else found.limit(0)
 
 
-def collected(reads: DataFrame, k: int, **how) -> DataFrame:
-    """(label, positions) of every k-mer: where it occurs, in order. Meant for k-mers known to be rare."""
-    return windows(reads, k, **how).groupBy(F.col("kmer").alias("label")).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+def collected(reads: DataFrame, k: int, most: int = 100_000, **how) -> DataFrame:
+    """(label, part, positions) of every k-mer: where it occurs, in order within each part.
+
+    A k-mer of more than ``most`` occurrences has several parts, dealt by a hash
+    of the read, so no list grows with the table.
+    """
+    rows = windows(reads.select("read_id", "sequence"), k, **how).select("read_id", "pos", F.col("kmer").alias("label"))
+    counts = rows.groupBy("label").agg(F.count("*").alias("count")).where(F.col("count") > most)
+    parted = rows.withColumn("part", F.lit(0))
+    if not counts.isEmpty():
+        hot = counts.select("label", F.ceil(F.col("count") / most).cast("int").alias("parts"))
+        parted = lookup(rows, hot, "label", counts=counts).withColumn("part", F.coalesce(F.pmod(F.xxhash64("read_id"), F.col("parts")).cast("int"), F.lit(0)))
+    return parted.groupBy("label", "part").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
 def read_errors(reads: DataFrame) -> DataFrame:

@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import codec
-from strandlake.functions.alignment import fitted_alignment, seeded_alignment
+from strandlake.functions.alignment import fitted_alignments, seeded_alignments
 from strandlake.functions.quality import alignment_probability
+from strandlake.plans.lineage import cut
 
 #: Seed width, bases between mates (exclusive), limits of an alignment, and index strides by difficulty.
 WIDTH, MATE_RANGE, MAX_MISMATCHES, MAX_INDELS = 30, 700, 10, 5
@@ -24,14 +25,33 @@ GAP, MISMATCH = 25, 13
 
 
 def chunked(genome: DataFrame, size: int = 100_000, margin: int = 1_000) -> DataFrame:
-    """(chr_id, chunk, start, length, sequence): pieces of ``size`` bases with ``margin`` more on both sides."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length("sequence") - 1, F.lit(0)), F.lit(size))
-    return genome.select(
-        "chr_id", F.length("sequence").alias("length"), F.col("sequence").alias("_s"), F.posexplode(starts).alias("chunk", "_at")
-    ).select(
-        "chr_id", "chunk", F.greatest(F.col("_at") - margin, F.lit(0)).alias("start"), F.col("_at").alias("own"), "length",
-        F.expr(f"upper(substring(_s, greatest(_at - {margin}, 0) + 1, {size + margin} + _at - greatest(_at - {margin}, 0)))").alias("sequence"),
-    )
+    """(chr_id, chunk, start, own, length, sequence): parts of ``size`` bases from ``own`` on, with ``margin`` more on both sides.
+
+    ``genome`` is (chr_id, sequence), or (chr_id, offset, sequence) with a
+    chromosome in pieces: each chunk is then put together from the pieces that
+    reach into it, and no row holds a chromosome.
+    """
+    in_pieces = "offset" in genome.columns
+    if not in_pieces:
+        whole = genome.select("chr_id", "sequence", F.lit(0).cast("long").alias("offset"), F.length("sequence").cast("long").alias("length"))
+    else:
+        lengths = genome.groupBy("chr_id").agg(F.max(F.col("offset") + F.length("sequence")).alias("length"))
+        whole = genome.join(lengths, "chr_id")
+    n = F.length("sequence")
+    first = F.greatest(F.floor((F.col("offset") - margin) / size), F.lit(0))
+    last = F.floor((F.col("offset") + F.greatest(n, F.lit(1)) - 1 + margin) / size)
+    last = F.least(last, F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / size))
+    rows = whole.select("chr_id", "length", F.col("offset").alias("_o"), F.col("sequence").alias("_s"), F.explode(F.sequence(first, last)).alias("chunk"))
+    rows = rows.withColumn("own", (F.col("chunk") * size).cast("int")).withColumn("start", F.greatest(F.col("own") - margin, F.lit(0)))
+    low = F.greatest(F.col("start") - F.col("_o"), F.lit(0))
+    high = F.least(F.col("own") + size + margin - F.col("_o"), F.length("_s"))
+    part = F.substring("_s", (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
+    parts = rows.select("chr_id", F.col("chunk").cast("int").alias("chunk"), "start", "own", F.col("length").cast("int").alias("length"), "_o", F.upper(part).alias("_p"))
+    keys = ["chr_id", "chunk", "start", "own", "length"]
+    if not in_pieces:
+        return parts.select(*keys, F.col("_p").alias("sequence"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_p"))), lambda x: x["_p"]), "")
+    return parts.groupBy(*keys).agg(joined.alias("sequence"))
 
 
 def kmer_index(chunks: DataFrame, k: int = WIDTH, step: int = 10, size: int = 100_000) -> DataFrame:
@@ -99,23 +119,23 @@ def _extension(mode: str):
     if mode not in ("fast", "accurate"):
         raise ValueError("mode is fast or accurate")
 
-    def one(piece, at, read, read_pos):
-        if mode == "accurate":
-            return fitted_alignment(piece, read, GAP, MISMATCH, MAX_MISMATCHES, MAX_INDELS)
-        return seeded_alignment(piece, int(at), read, int(read_pos), WIDTH, GAP, MISMATCH, MAX_MISMATCHES, MAX_INDELS)
+    limits = (GAP, MISMATCH, MAX_MISMATCHES, MAX_INDELS)
 
     @F.pandas_udf("score int, first int, last int, mismatches int, indels int")
     def extend(piece: pd.Series, at: pd.Series, read: pd.Series, read_pos: pd.Series) -> pd.DataFrame:
-        rows = [one(*x) or (None,) * 5 for x in zip(piece, at, read, read_pos, strict=True)]
+        if mode == "accurate":
+            found = fitted_alignments(list(piece), list(read), *limits)
+        else:
+            seeds = [(p, int(a), r, int(q)) for p, a, r, q in zip(piece, at, read, read_pos, strict=True)]
+            found = seeded_alignments(seeds, WIDTH, *limits)
+        rows = [x or (None,) * 5 for x in found]
         return pd.DataFrame(rows, columns=["score", "first", "last", "mismatches", "indels"]).astype("Int32")
 
     return extend
 
 
-def aligned(
-    found: DataFrame, pairs: DataFrame, chunks: DataFrame, size: int = 100_000, reach: int = 200, mode: str = "fast"
-) -> DataFrame:
-    """Adds score, first, last, mismatches and indels to candidates; those given up are left out."""
+def placed(found: DataFrame, pairs: DataFrame, chunks: DataFrame, size: int = 100_000, reach: int = 200) -> DataFrame:
+    """Adds to candidates the read as its strand has it, and the piece of the genome around it with its first position ``_low``."""
     read = F.when(F.col("mate") == 1, F.col("seq1")).otherwise(F.col("seq2"))
     flipped = (F.col("strand") == "-") == (F.col("mate") == 1)
     rows = found.join(pairs.select("pair_id", "seq1", "seq2"), "pair_id").withColumn(
@@ -125,10 +145,31 @@ def aligned(
     rows = rows.join(chunks.select("chr_id", "chunk", "start", "sequence"), ["chr_id", "chunk"])
     low = F.greatest(F.col("ref_pos") - F.col("read_pos") - reach, F.col("start"))
     span = F.length("read") + 2 * reach
-    rows = rows.withColumn("_low", low).withColumn("_piece", F.substring("sequence", F.col("_low") - F.col("start") + 1, span)).drop("sequence")
+    return rows.withColumn("_low", low).withColumn("_piece", F.substring("sequence", F.col("_low") - F.col("start") + 1, span)).drop("sequence")
+
+
+_ALIGNED = ("pair_id", "strand", "mate", "chr_id", "ref_pos", "read_pos")
+
+
+def exact(rows: DataFrame) -> DataFrame:
+    """Candidates of :func:`placed` whose read stands there letter for letter, as alignments of score 0."""
+    first = F.col("ref_pos") - F.col("read_pos")
+    same = F.substring("_piece", first - F.col("_low") + 1, F.length("read")) == F.col("read")
+    none = F.lit(0)
+    return rows.where((first >= F.col("_low")) & same).select(
+        *_ALIGNED, none.alias("score"), first.alias("first"), (first + F.length("read")).alias("last"), none.alias("mismatches"),
+        none.alias("indels"), F.length("read").alias("len"),
+    )
+
+
+def aligned(
+    found: DataFrame, pairs: DataFrame, chunks: DataFrame, size: int = 100_000, reach: int = 200, mode: str = "fast"
+) -> DataFrame:
+    """Adds score, first, last, mismatches and indels to candidates; those given up are left out."""
+    rows = placed(found, pairs, chunks, size, reach)
     rows = rows.withColumn("a", _extension(mode)("_piece", F.col("ref_pos") - F.col("_low"), "read", "read_pos"))
     return rows.where("a.score is not null").select(
-        "pair_id", "strand", "mate", "chr_id", "ref_pos", "read_pos", "a.score", (F.col("_low") + F.col("a.first")).alias("first"),
+        *_ALIGNED, "a.score", (F.col("_low") + F.col("a.first")).alias("first"),
         (F.col("_low") + F.col("a.last")).alias("last"), "a.mismatches", "a.indels", F.length("read").alias("len"),
     )
 
@@ -158,10 +199,13 @@ def align_pairs(pairs: DataFrame, genome: DataFrame, step: int = 10, chunk: int
     # a mate without a partner in range is not worth aligning
     near = mate_pairs(found)
     keys = ["pair_id", "strand", "chr_id"]
-    useful = near.select(*keys, F.lit(1).alias("mate"), F.col("ref1").alias("ref_pos"), F.col("read1").alias("read_pos")).unionByName(
+    useful = cut(near.select(*keys, F.lit(1).alias("mate"), F.col("ref1").alias("ref_pos"), F.col("read1").alias("read_pos")).unionByName(
         near.select(*keys, F.lit(2).alias("mate"), F.col("ref2").alias("ref_pos"), F.col("read2").alias("read_pos"))
-    ).distinct()
-    best = best_pairs(aligned(useful, pairs, chunks, chunk, mode=mode))
+    ).distinct())
+    # nothing beats two mates that stand in the genome letter for letter: such pairs need no alignment
+    done = cut(best_pairs(exact(placed(useful, pairs, chunks, chunk))))
+    left = useful.join(done.select("pair_id"), "pair_id", "left_anti")
+    best = done.unionByName(best_pairs(aligned(left, pairs, chunks, chunk, mode=mode)))
 
     def row(mate: int):
         m = f"m{mate}"

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import codec, quality
 from strandlake.operators import demux, dictionary, explore, graph, kmers, overlap, paired
+from strandlake.plans import file_queries, pair_queries
 from strandlake.plans.bridge import ADAPTORS_SQL, QUALITY_SQL, READS_SQL, adaptors, reads
+from strandlake.plans.lineage import cut
 from strandlake.plans.shipping import ship
 from strandlake.sources.sinks import fastq_records, kmer_table
 
@@ -55,7 +57,8 @@ def kmer_variability(spark, sf_dir):
 def kmer_positions(spark, sf_dir):
     """Positions of each 20-mer, as count and sum."""
     rows = kmers.collected(reads(spark, sf_dir), 20)
-    return rows.select("label", F.size("positions").cast("long").alias("n"), F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    total = F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.groupBy("label").agg(F.sum(F.size("positions")).alias("n"), F.sum(total).alias("total"))
 
 
 def prefix_kmer_count(spark, sf_dir):
@@ -182,8 +185,13 @@ def overlap_scores(spark, sf_dir):
 def _edges(spark, sf_dir) -> DataFrame:
     """Edges of the prefix pairs with the edit distance as weight."""
     rows = reads(spark, sf_dir)
-    both = overlap._with_sequences(_prefix_pairs(rows), rows)
-    return both.select(F.col("read1").alias("src"), F.col("read2").alias("dst"), F.levenshtein("seq1", "seq2").cast("long").alias("distance"))
+    return _weighted(_prefix_pairs(rows), rows)
+
+
+def _weighted(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs as written edges, each distance computed once."""
+    both = overlap._with_sequences(pairs, rows)
+    return cut(both.select(F.col("read1").alias("src"), F.col("read2").alias("dst"), F.levenshtein("seq1", "seq2").cast("long").alias("distance")))
 
 
 def edge_clusters(spark, sf_dir):
@@ -200,8 +208,7 @@ def cluster_sizes(spark, sf_dir):
 def _shared_prefix_edges(spark, sf_dir) -> DataFrame:
     """Edges of all pairs of reads that share a prefix 10-mer, with the edit distance as weight."""
     rows = reads(spark, sf_dir)
-    both = overlap._with_sequences(overlap.shared_kmer_pairs(rows, 10, prefix=12), rows)
-    return both.select(F.col("read1").alias("src"), F.col("read2").alias("dst"), F.levenshtein("seq1", "seq2").cast("long").alias("distance"))
+    return _weighted(overlap.shared_kmer_pairs(rows, 10, prefix=12), rows)
 
 
 def edge_clusters_shared(spark, sf_dir):
@@ -293,27 +300,14 @@ def adaptor_genome(spark, sf_dir) -> DataFrame:
     return rows.select(F.col("item_id").alias("chr_id"), F.regexp_replace(bases(), "N", "").alias("sequence"))
 
 
-def paired_alignment(spark, sf_dir):
-    """Mates of 45 bases cut from the documents' own sequences, aligned to them (H: X4, X5, J9, J10, L2-L5, A20)."""
-    rows = reads(ship(spark), sf_dir).where((F.length("sequence") >= 150) & ~F.col("sequence").contains("N"))
-    sequences = rows.select(F.col("read_id").alias("chr_id"), "sequence")
-    mates = rows.select(
-        F.col("read_id").alias("pair_id"), F.lit("m1").alias("name1"), F.substring("sequence", 11, 45).alias("seq1"),
-        F.lit("m2").alias("name2"), codec.reverse_complement(F.substring("sequence", 91, 45)).alias("seq2"),
-    )
-    return paired.align_pairs(mates, sequences, step=2).select(
-        "pair_id", "mate", "name", "chr_id", "begin", "end", "strand", F.round("probability", 9).alias("probability")
-    )
-
-
 QUERIES = {f.__name__: f for f in (
     top_kmers, kmer_count, kmer_quality, kmer_table_csv, kmer_compat, kmer_variability, kmer_positions, prefix_kmer_count,
     wide_codes, read_errors, pattern_quality, reverse_complement, read_quality, alignment_probability, barcode_frequency,
     adaptor_assign, adaptor_windows, adaptor_unmatched, set_intersection, overlap_pairs, overlap_degree, nw_score,
     nw_score_paired, nw_score_shared, nw_score_paired_shared, overlap_scores, edge_clusters, cluster_sizes, edge_clusters_shared,
     cluster_sizes_shared, demux_clusters, demux_sizes, demux_reads, demux_fastq,
-    bucket_barcodes, percent_range_filter, length_histogram, length_stats, mate_range_join, mate_range_pairs, paired_alignment,
-)}
+    bucket_barcodes, percent_range_filter, length_histogram, length_stats, mate_range_join, mate_range_pairs,
+)} | file_queries.QUERIES | pair_queries.QUERIES
 
 
 def _windows(k: int, source: str = "reads", starts: str | None = None, more: str = "", where: str = "") -> str:
@@ -355,6 +349,16 @@ pairs AS (
   SELECT h.read1, a.read_id AS read2, b.sequence AS s1, a.sequence AS s2
   FROM keyed a JOIN heads h USING (k) JOIN reads b ON b.read_id = h.read1 WHERE h.read1 <> a.read_id
 )"""
+_SHARED_EDGES = f"""WITH RECURSIVE {READS_SQL},
+km AS (SELECT DISTINCT read_id, kmer FROM {_windows(10, starts='2', where='WHERE length(sequence) >= 12')}),
+pairs AS (SELECT DISTINCT a.read_id AS read1, b.read_id AS read2 FROM km a JOIN km b ON a.kmer = b.kmer AND a.read_id < b.read_id),
+weighted AS (
+  SELECT read1 AS src, read2 AS dst, CAST(levenshtein(x.sequence, y.sequence) AS BIGINT) AS distance
+  FROM pairs JOIN reads x ON x.read_id = read1 JOIN reads y ON y.read_id = read2
+),
+edges AS (SELECT src AS u, dst AS v FROM weighted WHERE distance < 60),
+nodes AS (SELECT src AS node FROM weighted UNION SELECT dst FROM weighted),{_COMPONENTS}
+"""
 _EDGES = f"""WITH RECURSIVE {READS_SQL},{_PAIRS},
 weighted AS (SELECT read1 AS src, read2 AS dst, levenshtein(s1, s2) AS distance FROM pairs),
 edges AS (SELECT src AS u, dst AS v FROM weighted WHERE distance < 60),
@@ -439,6 +443,16 @@ SELECT r.read_id AS read, count(p.read2) AS n_matches FROM reads r LEFT JOIN p O
     "edge_clusters": f"""{_EDGES}
 SELECT label AS seed, node AS member, CASE WHEN node = label THEN 0 ELSE distance END AS distance
 FROM lab LEFT JOIN weighted ON src = label AND dst = node""",
+    "edge_clusters_shared": f"""{_SHARED_EDGES}
+SELECT label AS seed, node AS member, CASE WHEN node = label THEN 0 ELSE distance END AS distance
+FROM lab LEFT JOIN weighted ON src = label AND dst = node""",
+    "cluster_sizes_shared": f"{_SHARED_EDGES} SELECT label AS leader, count(*) AS size FROM lab GROUP BY label",
+    "run_summary": f"""{_DEMUX} SELECT count(*) AS n_reads, CAST(count(*) FILTER (contains(sequence, 'N')) AS BIGINT) AS n_bad, CAST(sum(length(sequence)) AS BIGINT) AS n_bases,
+  (SELECT count(DISTINCT kmer) FROM km) AS n_kmers, (SELECT count(DISTINCT label) FROM lab) AS n_clusters FROM reads""",
+    "mate_range_pairs": """WITH g AS (
+  SELECT item_id AS chr_id, regexp_replace(translate(upper(text), 'NX', '¤N'), '[^ACGT]', '', 'g') AS sequence FROM benchmark),
+h AS (SELECT chr_id, unnest(range(greatest(length(sequence) - 11, 0))) AS p FROM g)
+SELECT a.chr_id, a.p AS ref1, b.p AS ref2 FROM h a JOIN h b ON a.chr_id = b.chr_id AND abs(a.p - b.p) < 700""",
     "cluster_sizes": f"{_EDGES} SELECT label AS leader, count(*) AS size FROM lab GROUP BY label",
     "demux_clusters": f"{_DEMUX} SELECT node AS read_id, label AS component FROM lab",
     "demux_sizes": f"{_DEMUX} SELECT label AS leader, count(*) AS size FROM lab GROUP BY label",
@@ -462,4 +476,4 @@ SELECT count(*) AS n_reads, round(avg(length(sequence)), 6) AS mean_length, roun
 h AS (SELECT read_id AS chr_id, i AS p, substr(sequence, CAST(i + 1 AS INT), 2) AS head
   FROM (SELECT *, unnest(range(0, greatest(length(sequence) - 11, 0), 2)) AS i FROM g))
 SELECT a.chr_id, a.p AS ref1, b.p AS ref2 FROM h a JOIN h b ON a.chr_id = b.chr_id AND abs(a.p - b.p) < 70 WHERE a.head = 'TT' AND b.head = 'AT'""",
-}
+} | file_queries.ORACLE_SQL | pair_queries.ORACLE_SQL

@@ -31,5 +31,7 @@ def test_entry(spark):
 
 
 def test_paired_queries_find_themselves(spark):
-    got = registry.paired_alignment(spark, str(TABLES)).where("mate = 1").toPandas()
-    assert (got["probability"] > 0.5).all() and (got["strand"] == "+").mean() > 0.95
+    got = registry.QUERIES["paired_alignment"](spark, str(TABLES)).where("mate = 1").toPandas()
+    nowhere = got["pair_id"] % 5 == 0
+    assert got[nowhere]["chr_id"].isna().all() and got[~nowhere]["chr_id"].notna().all()
+    assert (got[~nowhere]["probability"] > 0.5).all() and (got[~nowhere]["strand"] == "+").mean() > 0.95
