@@ -14,7 +14,8 @@
    joined yet are verified on their full shingle sets. So a group of near copies,
    however large, ships each of its texts once.
 5. Components of these links are classes. Buckets whose members are all of one
-   class are done; buckets of equal members count once. What is left is whole
+   class are done, and so are those whose members met in one block of the first
+   round; buckets of equal members count once. What is left is whole
    again: pairs of different classes within a bucket. The largest class of a
    bucket is not compared with itself, so work and shipping follow the rows
    outside of it. Every pair of blocks is a unit of its own.
@@ -183,22 +184,35 @@ def _dealt(blocks):
     return F.pmod(F.xxhash64("rep", "f1"), blocks).cast("int")
 
 
-def _first_units(shared: DataFrame, block: int) -> DataFrame:
-    """(group, x, y, own, class, rep, f1): every candidate once, beside the head of its group."""
+def _first_units(shared: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(group, x, y, own, class, rep, f1): every candidate once, beside the head of its group; and (rep, f1, home, own), the place of each."""
     home = cut(shared.groupBy("rep", "f1", "n").agg(F.min("head").alias("home")))
     members = home.where("rep <> home")
     sizes = cut(members.groupBy("home").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")))
     sized = sizes.select("home", F.col("rows").alias("count"), _blocks("rows", "shingles", block).alias("blocks"))
-    own = lookup(members, sized.select("home", "blocks"), "home", counts=sized.select("home", "count")).withColumn("own", _dealt(F.col("blocks")))
+    own = lookup(members, sized.select("home", "blocks"), "home", counts=sized.select("home", "count"))
+    own = cut(own.select("rep", "f1", "home", _dealt(F.col("blocks")).alias("own")))
     heads = home.select("rep", "f1").join(sized.select(F.col("home").alias("rep"), "blocks"), "rep").select(
         F.col("rep").alias("home"), "rep", "f1", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own")
     )
     rows = own.select("home", "rep", "f1", "own").unionByName(heads)
-    return rows.select(F.col("home").alias("group"), F.col("own").alias("x"), F.col("own").alias("y"), "own", F.col("rep").alias("class"), "rep", "f1")
+    units = rows.select(F.col("home").alias("group"), F.col("own").alias("x"), F.col("own").alias("y"), "own", F.col("rep").alias("class"), "rep", "f1")
+    return units, own
 
 
 def _other_units(marked: DataFrame, block: int) -> DataFrame | None:
-    """The same for pairs of different classes in a bucket; None if no bucket has any."""
+    """The same for pairs of different classes in a bucket; None if no bucket has any.
+
+    Done is a bucket whose members but the head were all in one block of the
+    first round, with the head beside them: there all its pairs were looked at.
+    """
+    other = F.col("rep") != F.col("head")
+    cell = F.struct("home", "own")
+    met = marked.groupBy("key").agg(
+        F.min(F.when(other, cell)).alias("low"), F.max(F.when(other, cell)).alias("high"), F.min(F.when(~other, cell)).alias("of_head"), F.min("head").alias("head"),
+    )
+    open_ = met.where(~(F.col("low").eqNullSafe(F.col("high")) & ((F.col("low.home") == F.col("head")) | F.col("low").eqNullSafe(F.col("of_head")))))
+    marked = cut(marked.join(open_.select("key"), "key", "left_semi").select("key", "rep", "f1", "n", "class"))
     by_class = marked.groupBy("key", "class").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"), F.bit_xor(F.xxhash64("rep", "f1")).alias("print"))
     per = by_class.groupBy("key").agg(
         F.count("*").alias("classes"), F.max(F.struct("rows", "class", "shingles")).alias("main"), F.sum("rows").alias("rows"),
@@ -259,14 +273,15 @@ def near_duplicates(
         sorted_ = with_text.repartition(parts, "group", "x", "y").sortWithinPartitions("group", "x", "y")
         return sorted_.mapInPandas(_verify(width, threshold, slack, bands * rows), "src long, dst long")
 
-    links = verified(_first_units(shared, block))
+    first_units, places = _first_units(shared, block)
+    links = verified(first_units)
     if repeats:  # sets of one id belong together
         rep_of = full.join(sets.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"]).select("doc_id", "rep").distinct()
         least = rep_of.groupBy("doc_id").agg(F.min("rep").alias("dst"), F.max("rep").alias("_most")).where("dst <> _most")
         links = links.unionByName(rep_of.join(least, "doc_id").select(F.col("rep").alias("src"), "dst"))
     links = cut(links)
     classes = connected_components(links, node="rep", component="class")
-    marked = cut(shared.join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep")))
+    marked = cut(shared.join(classes, "rep", "left").join(places, ["rep", "f1"], "left").withColumn("class", F.coalesce("class", "rep")))
     units = _other_units(marked, block)
     spread = sets.select("f1", "f2", "n_shingles", "rep").join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
     if units is None:
@@ -275,7 +290,7 @@ def near_duplicates(
         joined = cut(connected_components(cut(verified(units)), node="class", component="component_id"))
         spread = spread.join(joined, "class", "left").withColumn("component_id", F.coalesce("component_id", "class"))
     spread = cut(spread.select("f1", "f2", "n_shingles", "component_id"))
-    spent(shared, marked, links, wanted)
+    spent(shared, marked, links, wanted, places)
     return (
         sketch.select("doc_id", "n_shingles", "f1", "f2").join(spread, ["f1", "f2", "n_shingles"], "left")
         .withColumn("component_id", F.coalesce("component_id", "doc_id"))
