@@ -10,7 +10,7 @@ pair is an aggregate (minimum of a struct), not a sort.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import codec
@@ -99,21 +99,39 @@ def candidates(found: DataFrame, index: DataFrame) -> DataFrame:
     ).select("pair_id", "strand", "mate", "chr_id", "s.ref_pos", "s.read_pos")
 
 
-def mate_pairs(found: DataFrame, reach: int = MATE_RANGE) -> DataFrame:
+def mate_pairs(found: DataFrame, reach: int = MATE_RANGE, info=None) -> DataFrame:
     """Pairs of candidates of both mates whose positions differ by less than ``reach``.
 
     A band join: positions are binned by ``reach``, the second side is looked up
-    in its bin and both neighbours, and the exact test follows.
+    in its bin and both neighbours, and the exact test follows. ``info``, a
+    column of the candidates, comes along as m1 and m2.
     """
     keys = ["pair_id", "strand", "chr_id"]
-    one = found.where("mate = 1").select(*keys, F.col("ref_pos").alias("ref1"), F.col("read_pos").alias("read1"))
-    two = found.where("mate = 2").select(*keys, F.col("ref_pos").alias("ref2"), F.col("read_pos").alias("read2"))
-    one = one.withColumn("_bin", F.floor(F.col("ref1") / reach))
+
+    def side(mate: int) -> DataFrame:
+        more = [] if info is None else [info.alias(f"m{mate}")]
+        return found.where(F.col("mate") == mate).select(*keys, F.col("ref_pos").alias(f"ref{mate}"), F.col("read_pos").alias(f"read{mate}"), *more)
+
+    one = side(1).withColumn("_bin", F.floor(F.col("ref1") / reach))
     own = F.floor(F.col("ref2") / reach)
-    two = two.withColumn("_bin", F.explode(F.array(own - 1, own, own + 1)))
+    two = side(2).withColumn("_bin", F.explode(F.array(own - 1, own, own + 1)))
     return one.join(two, [*keys, "_bin"]).where(F.abs(F.col("ref1") - F.col("ref2")) < reach).drop("_bin")
 
 
+def within_reach(found: DataFrame, reach: int = MATE_RANGE) -> DataFrame:
+    """Candidates that have one of the other mate within ``reach``, found by looking at the nearest on both sides: no pairs are made."""
+    keys = ["pair_id", "strand", "chr_id"]
+
+    def nearest(order) -> Column:
+        by = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        last = [F.last(F.when(F.col("mate") == m, F.col("ref_pos")), ignorenulls=True).over(by) for m in (1, 2)]
+        other = F.when(F.col("mate") == 1, last[1]).otherwise(last[0])
+        return F.coalesce(F.abs(F.col("ref_pos") - other) < reach, F.lit(False))
+
+    near = found.withColumn("_below", nearest(F.asc("ref_pos"))).withColumn("_above", nearest(F.desc("ref_pos")))
+    return near.where(F.col("_below") | F.col("_above")).drop("_below", "_above")
+
+
 def _extension(mode: str):
     """Arrow function (piece, seed's place in it, read, seed's place in the read) -> alignment or nulls."""
     if mode not in ("fast", "accurate"):
@@ -176,14 +194,9 @@ def aligned(
 
 def best_pairs(scored: DataFrame, reach: int = MATE_RANGE) -> DataFrame:
     """The best pair of alignments of each read pair: least sum of scores, then chromosome, strand and positions."""
-    both = mate_pairs(scored.select("pair_id", "strand", "mate", "chr_id", "ref_pos", "read_pos"), reach)
-    keys = ["pair_id", "strand", "chr_id"]
-    info = F.struct("score", "first", "last", "mismatches", "indels", "len")
-    one = scored.where("mate = 1").select(*keys, F.col("ref_pos").alias("ref1"), F.col("read_pos").alias("read1"), info.alias("m1"))
-    two = scored.where("mate = 2").select(*keys, F.col("ref_pos").alias("ref2"), F.col("read_pos").alias("read2"), info.alias("m2"))
-    rows = both.join(one, [*keys, "ref1", "read1"]).join(two, [*keys, "ref2", "read2"])
+    both = mate_pairs(scored, reach, F.struct("score", "first", "last", "mismatches", "indels", "len"))
     rank = F.struct((F.col("m1.score") + F.col("m2.score")).alias("total"), "chr_id", "strand", "ref1", "ref2", "m1", "m2")
-    return rows.groupBy("pair_id").agg(F.min(rank).alias("b")).select("pair_id", "b.chr_id", "b.strand", "b.m1", "b.m2", "b.total")
+    return both.groupBy("pair_id").agg(F.min(rank).alias("b")).select("pair_id", "b.chr_id", "b.strand", "b.m1", "b.m2", "b.total")
 
 
 def align_pairs(pairs: DataFrame, genome: DataFrame, step: int = 10, chunk: int = 100_000, mode: str = "fast") -> DataFrame:
@@ -197,11 +210,7 @@ def align_pairs(pairs: DataFrame, genome: DataFrame, step: int = 10, chunk: int
     chunks = chunked(genome, chunk)
     found = candidates(seeds(pairs, step=step), kmer_index(chunks, step=step, size=chunk))
     # a mate without a partner in range is not worth aligning
-    near = mate_pairs(found)
-    keys = ["pair_id", "strand", "chr_id"]
-    useful = cut(near.select(*keys, F.lit(1).alias("mate"), F.col("ref1").alias("ref_pos"), F.col("read1").alias("read_pos")).unionByName(
-        near.select(*keys, F.lit(2).alias("mate"), F.col("ref2").alias("ref_pos"), F.col("read2").alias("read_pos"))
-    ).distinct())
+    useful = cut(within_reach(found))
     # nothing beats two mates that stand in the genome letter for letter: such pairs need no alignment
     done = cut(best_pairs(exact(placed(useful, pairs, chunks, chunk))))
     left = useful.join(done.select("pair_id"), "pair_id", "left_anti")

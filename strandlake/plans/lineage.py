@@ -6,9 +6,10 @@ import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_written: WeakKeyDictionary[DataFrame, tuple[str, dict]] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,22 +47,31 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **totals: Column) -> DataFrame:
     """Write ``df`` as a table to the shared folder and read it from there.
 
-    The table goes with :func:`spent`, or when the application ends.
+    The table goes with :func:`spent`, or when the application ends. Its number
+    of rows, and aggregates given as ``totals``, are observed while it is
+    written, so :func:`total` needs no job of its own.
     """
     spark = df.sparkSession
     path = scratch(spark, "cut")
-    df.write.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in totals.items()]).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _written[out] = path
+    _written[out] = (path, seen.get)
     return out
 
 
+def total(df: DataFrame, name: str = "rows"):
+    """What :func:`cut` observed of a frame that it returned; None for other frames."""
+    known = _written.get(df)
+    return known[1].get(name) if known else None
+
+
 def spent(*frames: DataFrame | None) -> None:
     """Delete the tables of frames from :func:`cut` that nothing will read again; other frames are ignored."""
     for df in frames:
-        path = _written.pop(df, None) if df is not None else None
-        if path is not None:
-            forget(df.sparkSession, path)
+        known = _written.pop(df, None) if df is not None else None
+        if known is not None:
+            forget(df.sparkSession, known[0])

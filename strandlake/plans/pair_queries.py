@@ -340,6 +340,6 @@ SELECT read_id, CASE WHEN length(w) = 0 THEN '0' ELSE CAST({_code("translate(w,
   CAST(strpos(sequence, 'N') AS BIGINT) AS bad FROM v""",
     "overlap_scores": overlap_sql(5, 10, _ALL),
     "edge_columns": overlap_sql(5, 10, "lu AS overlap_score"),
-    "nw_score_shared": overlap_sql(5, 10, "d AS score"),
-    "nw_score_paired_shared": overlap_sql(25, 13, "d AS score"),
+    "nw_score": overlap_sql(5, 10, "d AS score"),
+    "nw_score_paired": overlap_sql(25, 13, "d AS score"),
 }

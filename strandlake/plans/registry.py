@@ -145,32 +145,13 @@ def overlap_degree(spark, sf_dir):
     return overlap.overlap_degree(rows, overlap.shared_kmer_pairs(rows, 31))
 
 
-def _prefix_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs of different sequences among reads of one 24-base prefix, tied to the smallest read."""
-    keyed = rows.where(F.length("sequence") >= 24).withColumn("_key", F.substring("sequence", 1, 24))
-    heads = keyed.groupBy("_key").agg(F.min("read_id").alias("read1"))
-    return keyed.join(heads, "_key").where("read1 <> read_id").select("read1", F.col("read_id").alias("read2"))
-
-
 def nw_score(spark, sf_dir):
-    """Alignment scores of reads with the first read of their prefix."""
-    rows = reads(ship(spark), sf_dir)
-    return overlap.pair_scores(_prefix_pairs(rows), rows)
-
-
-def nw_score_paired(spark, sf_dir):
-    """The same with the costs of the paired aligner."""
-    rows = reads(ship(spark), sf_dir)
-    return overlap.pair_scores(_prefix_pairs(rows), rows, gap=25, mismatch=13)
-
-
-def nw_score_shared(spark, sf_dir):
     """Alignment scores of all pairs of reads that share a 31-mer."""
     rows = reads(ship(spark), sf_dir)
     return overlap.pair_scores(overlap.shared_kmer_pairs(rows, 31), rows)
 
 
-def nw_score_paired_shared(spark, sf_dir):
+def nw_score_paired(spark, sf_dir):
     """The same with the costs of the paired aligner."""
     rows = reads(ship(spark), sf_dir)
     return overlap.pair_scores(overlap.shared_kmer_pairs(rows, 31), rows, gap=25, mismatch=13)
@@ -182,44 +163,27 @@ def overlap_scores(spark, sf_dir):
     return overlap.overlaps(overlap.shared_kmer_pairs(rows, 31), rows)
 
 
-def _edges(spark, sf_dir) -> DataFrame:
-    """Edges of the prefix pairs with the edit distance as weight."""
-    rows = reads(spark, sf_dir)
-    return _weighted(_prefix_pairs(rows), rows)
-
-
 def _weighted(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Pairs as written edges, each distance computed once."""
     both = overlap._with_sequences(pairs, rows)
     return cut(both.select(F.col("read1").alias("src"), F.col("read2").alias("dst"), F.levenshtein("seq1", "seq2").cast("long").alias("distance")))
 
 
-def edge_clusters(spark, sf_dir):
-    """Single-linkage clusters at a cutoff, with the distance to the seed."""
-    edges = _edges(spark, sf_dir)
-    return graph.with_seed_distance(graph.linkage_clusters(edges, 60), edges)
-
-
-def cluster_sizes(spark, sf_dir):
-    """Sizes of those clusters."""
-    return graph.component_sizes(graph.linkage_clusters(_edges(spark, sf_dir), 60))
-
-
-def _shared_prefix_edges(spark, sf_dir) -> DataFrame:
+def _edges(spark, sf_dir) -> DataFrame:
     """Edges of all pairs of reads that share a prefix 10-mer, with the edit distance as weight."""
     rows = reads(spark, sf_dir)
     return _weighted(overlap.shared_kmer_pairs(rows, 10, prefix=12), rows)
 
 
-def edge_clusters_shared(spark, sf_dir):
-    """Single-linkage clusters over all those edges at a cutoff, with the distance to the seed."""
-    edges = _shared_prefix_edges(spark, sf_dir)
+def edge_clusters(spark, sf_dir):
+    """Single-linkage clusters over those edges at a cutoff, with the distance to the seed."""
+    edges = _edges(spark, sf_dir)
     return graph.with_seed_distance(graph.linkage_clusters(edges, 60), edges)
 
 
-def cluster_sizes_shared(spark, sf_dir):
+def cluster_sizes(spark, sf_dir):
     """Sizes of those clusters."""
-    return graph.component_sizes(graph.linkage_clusters(_shared_prefix_edges(spark, sf_dir), 60))
+    return graph.component_sizes(graph.linkage_clusters(_edges(spark, sf_dir), 60))
 
 
 def demux_clusters(spark, sf_dir):
@@ -271,19 +235,6 @@ def length_stats(spark, sf_dir):
 
 
 def mate_range_join(spark, sf_dir):
-    """Pairs of even 12-mer positions less than 70 bases apart, of which one begins with TT and the other with AT (J10, as its SQL has it)."""
-    hits = kmers.windows(adaptor_genome(spark, sf_dir), 12, step=2).select(
-        F.col("chr_id"), F.col("kmer"), F.col("pos").alias("ref_pos")
-    )
-    mates = hits.where(F.col("kmer").startswith("TT")).select(
-        F.lit(0).alias("pair_id"), F.lit("+").alias("strand"), F.lit(1).alias("mate"), "chr_id", "ref_pos", F.lit(0).alias("read_pos")
-    ).unionByName(hits.where(F.col("kmer").startswith("AT")).select(
-        F.lit(0).alias("pair_id"), F.lit("+").alias("strand"), F.lit(2).alias("mate"), "chr_id", "ref_pos", F.lit(0).alias("read_pos")
-    ))
-    return paired.mate_pairs(mates, 70).select(F.col("chr_id"), F.col("ref1").cast("long").alias("ref1"), F.col("ref2").cast("long").alias("ref2"))
-
-
-def mate_range_pairs(spark, sf_dir):
     """Pairs of 12-mer positions less than MATE_RANGE bases apart, every position as a hit of both mates."""
     hits = kmers.windows(adaptor_genome(spark, sf_dir), 12).select(
         F.lit(0).alias("pair_id"), F.lit("+").alias("strand"), "chr_id", F.col("pos").alias("ref_pos"), F.lit(0).alias("read_pos")
@@ -304,9 +255,8 @@ QUERIES = {f.__name__: f for f in (
     top_kmers, kmer_count, kmer_quality, kmer_table_csv, kmer_compat, kmer_variability, kmer_positions, prefix_kmer_count,
     wide_codes, read_errors, pattern_quality, reverse_complement, read_quality, alignment_probability, barcode_frequency,
     adaptor_assign, adaptor_windows, adaptor_unmatched, set_intersection, overlap_pairs, overlap_degree, nw_score,
-    nw_score_paired, nw_score_shared, nw_score_paired_shared, overlap_scores, edge_clusters, cluster_sizes, edge_clusters_shared,
-    cluster_sizes_shared, demux_clusters, demux_sizes, demux_reads, demux_fastq,
-    bucket_barcodes, percent_range_filter, length_histogram, length_stats, mate_range_join, mate_range_pairs,
+    nw_score_paired, overlap_scores, edge_clusters, cluster_sizes, demux_clusters, demux_sizes, demux_reads, demux_fastq,
+    bucket_barcodes, percent_range_filter, length_histogram, length_stats, mate_range_join,
 )} | file_queries.QUERIES | pair_queries.QUERIES
 
 
@@ -342,14 +292,7 @@ nodes AS (SELECT read_id AS node FROM reads),{_COMPONENTS},
 sized AS (SELECT node, label, count(*) OVER (PARTITION BY label) AS size FROM lab),
 buckets AS (SELECT node AS read_id, CASE WHEN size >= 20 THEN 'output' || label ELSE 'ungrouped' END AS bucket FROM sized)
 """
-_PAIRS = """
-keyed AS (SELECT read_id, sequence, substr(sequence, 1, 24) AS k FROM reads WHERE length(sequence) >= 24),
-heads AS (SELECT k, min(read_id) AS read1 FROM keyed GROUP BY k),
-pairs AS (
-  SELECT h.read1, a.read_id AS read2, b.sequence AS s1, a.sequence AS s2
-  FROM keyed a JOIN heads h USING (k) JOIN reads b ON b.read_id = h.read1 WHERE h.read1 <> a.read_id
-)"""
-_SHARED_EDGES = f"""WITH RECURSIVE {READS_SQL},
+_EDGES = f"""WITH RECURSIVE {READS_SQL},
 km AS (SELECT DISTINCT read_id, kmer FROM {_windows(10, starts='2', where='WHERE length(sequence) >= 12')}),
 pairs AS (SELECT DISTINCT a.read_id AS read1, b.read_id AS read2 FROM km a JOIN km b ON a.kmer = b.kmer AND a.read_id < b.read_id),
 weighted AS (
@@ -359,27 +302,6 @@ weighted AS (
 edges AS (SELECT src AS u, dst AS v FROM weighted WHERE distance < 60),
 nodes AS (SELECT src AS node FROM weighted UNION SELECT dst FROM weighted),{_COMPONENTS}
 """
-_EDGES = f"""WITH RECURSIVE {READS_SQL},{_PAIRS},
-weighted AS (SELECT read1 AS src, read2 AS dst, levenshtein(s1, s2) AS distance FROM pairs),
-edges AS (SELECT src AS u, dst AS v FROM weighted WHERE distance < 60),
-nodes AS (SELECT src AS node FROM weighted UNION SELECT dst FROM weighted),{_COMPONENTS}
-"""
-
-
-def _needleman(gap: int, mismatch: int) -> str:
-    """Rows of the table folded over the first sequence, cells over the second; distinct texts once."""
-    return f"""WITH {READS_SQL},{_PAIRS},
-texts AS (SELECT DISTINCT s1, s2 FROM pairs),
-scored AS (
-  SELECT s1, s2, list_reduce(range(length(s1)), lambda row, i:
-    list_reduce(range(1, length(s2) + 1), lambda new, j: list_append(new, least(
-      new[j] + {gap}, row[j + 1] + {gap}, row[j] + CASE WHEN s1[i + 1] = s2[j] THEN 0 ELSE {mismatch} END)),
-      [row[1] + {gap}]),
-    list_transform(range(length(s2) + 1), lambda j: CAST(j * {gap} AS BIGINT)))[length(s2) + 1] AS score FROM texts
-)
-SELECT read1, read2, score FROM pairs JOIN scored USING (s1, s2)"""
-
-
 ORACLE_SQL = {
     "top_kmers": f"""WITH {READS_SQL}, c AS (SELECT kmer AS label, count(*) AS count FROM {_windows(10)} GROUP BY kmer)
 SELECT CAST({_code('label', 10)} AS BIGINT) AS id, label, count FROM c ORDER BY count DESC, id LIMIT 20""",
@@ -438,22 +360,16 @@ SELECT DISTINCT a.read_id AS read1, b.read_id AS read2 FROM k a JOIN k b ON a.km
     "overlap_degree": f"""WITH {READS_SQL}, k AS (SELECT DISTINCT read_id, kmer FROM {_windows(31)}),
 p AS (SELECT DISTINCT a.read_id AS read1, b.read_id AS read2 FROM k a JOIN k b ON a.kmer = b.kmer AND a.read_id < b.read_id)
 SELECT r.read_id AS read, count(p.read2) AS n_matches FROM reads r LEFT JOIN p ON p.read1 = r.read_id GROUP BY 1""",
-    "nw_score": _needleman(5, 10),
-    "nw_score_paired": _needleman(25, 13),
     "edge_clusters": f"""{_EDGES}
 SELECT label AS seed, node AS member, CASE WHEN node = label THEN 0 ELSE distance END AS distance
 FROM lab LEFT JOIN weighted ON src = label AND dst = node""",
-    "edge_clusters_shared": f"""{_SHARED_EDGES}
-SELECT label AS seed, node AS member, CASE WHEN node = label THEN 0 ELSE distance END AS distance
-FROM lab LEFT JOIN weighted ON src = label AND dst = node""",
-    "cluster_sizes_shared": f"{_SHARED_EDGES} SELECT label AS leader, count(*) AS size FROM lab GROUP BY label",
+    "cluster_sizes": f"{_EDGES} SELECT label AS leader, count(*) AS size FROM lab GROUP BY label",
     "run_summary": f"""{_DEMUX} SELECT count(*) AS n_reads, CAST(count(*) FILTER (contains(sequence, 'N')) AS BIGINT) AS n_bad, CAST(sum(length(sequence)) AS BIGINT) AS n_bases,
   (SELECT count(DISTINCT kmer) FROM km) AS n_kmers, (SELECT count(DISTINCT label) FROM lab) AS n_clusters FROM reads""",
-    "mate_range_pairs": """WITH g AS (
+    "mate_range_join": """WITH g AS (
   SELECT item_id AS chr_id, regexp_replace(translate(upper(text), 'NX', '¤N'), '[^ACGT]', '', 'g') AS sequence FROM benchmark),
 h AS (SELECT chr_id, unnest(range(greatest(length(sequence) - 11, 0))) AS p FROM g)
 SELECT a.chr_id, a.p AS ref1, b.p AS ref2 FROM h a JOIN h b ON a.chr_id = b.chr_id AND abs(a.p - b.p) < 700""",
-    "cluster_sizes": f"{_EDGES} SELECT label AS leader, count(*) AS size FROM lab GROUP BY label",
     "demux_clusters": f"{_DEMUX} SELECT node AS read_id, label AS component FROM lab",
     "demux_sizes": f"{_DEMUX} SELECT label AS leader, count(*) AS size FROM lab GROUP BY label",
     "demux_reads": f"{_DEMUX} SELECT read_id, bucket FROM buckets",
@@ -471,9 +387,4 @@ WHERE count > c0 + 0.01 * cr AND count < c0 + 0.6 * cr AND mean_qual > q0 + 0.1
 FROM reads GROUP BY 1, 2""",
     "length_stats": f"""WITH {READS_SQL}
 SELECT count(*) AS n_reads, round(avg(length(sequence)), 6) AS mean_length, round(stddev_samp(length(sequence)), 6) AS sd_length FROM reads""",
-    "mate_range_join": """WITH g AS (
-  SELECT item_id AS read_id, regexp_replace(translate(upper(text), 'NX', '¤N'), '[^ACGT]', '', 'g') AS sequence FROM benchmark),
-h AS (SELECT read_id AS chr_id, i AS p, substr(sequence, CAST(i + 1 AS INT), 2) AS head
-  FROM (SELECT *, unnest(range(0, greatest(length(sequence) - 11, 0), 2)) AS i FROM g))
-SELECT a.chr_id, a.p AS ref1, b.p AS ref2 FROM h a JOIN h b ON a.chr_id = b.chr_id AND abs(a.p - b.p) < 70 WHERE a.head = 'TT' AND b.head = 'AT'""",
 } | file_queries.ORACLE_SQL | pair_queries.ORACLE_SQL

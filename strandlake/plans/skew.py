@@ -11,18 +11,21 @@ SHARE, LEAST = 500, 5_000
 
 def lookup(
     rows: DataFrame, table: DataFrame, key: str, named: str | None = None, counts: DataFrame | None = None, share: int = SHARE,
-    least: int = LEAST,
+    least: int = LEAST, size: int | None = None,
 ) -> DataFrame:
     """``rows`` left join ``table`` on ``key`` (called ``named`` in the table), whose keys there are unique and not null.
 
     Hot keys are found by a partial count (``counts``, key and count, if that
-    is known already); they are fewer than ``share``, so their part of the table
+    is known already), unless all rows (``size``, if known) are too few for one;
+    they are fewer than ``share``, so their part of the table
     is broadcast. All other keys are joined as Spark chooses, with the rows of
     hot keys dealt out by a hash over keys that match nothing.
     """
     named = named or key
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("count")) if counts is None else counts
     plain = table.withColumnRenamed(named, "_key")
+    if size is not None and size <= least:
+        return rows.join(plain, F.col(key) == F.col("_key"), "left").drop("_key")
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("count")) if counts is None else counts
     total, top = counts.agg(F.sum("count"), F.max("count")).first()
     if not total or top <= least or top * share <= total:
         return rows.join(plain, F.col(key) == F.col("_key"), "left").drop("_key")

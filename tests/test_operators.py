@@ -179,6 +179,15 @@ def test_mates(spark):
     assert sorted(r.ref2 for r in paired.mate_pairs(found).collect()) == [301, 1699]
 
 
+def test_candidates_within_reach_are_those_of_pairs(spark):
+    rng = random.Random(5)
+    rows = sorted({(rng.randrange(3), rng.choice("+-"), rng.choice([1, 2]), rng.randrange(2), rng.randrange(6000), rng.randrange(3)) for _ in range(150)})
+    found = spark.createDataFrame(rows, "pair_id long, strand string, mate int, chr_id int, ref_pos int, read_pos int")
+    want = {r for r in rows if any(o[2] != r[2] and o[:2] == r[:2] and o[3] == r[3] and abs(o[4] - r[4]) < 300 for o in rows)}
+    got = [tuple(r) for r in paired.within_reach(found, 300).collect()]
+    assert set(got) == want and len(got) == len(want) < len(rows)
+
+
 def test_paired_alignment(spark):
     rng = random.Random(11)
     genome = ["".join(rng.choices("ACGT", k=3000)) for _ in range(2)]

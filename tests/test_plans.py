@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.plans import lineage
 from strandlake.plans.components import connected_components
@@ -25,7 +26,7 @@ def test_lookup_equals_a_left_join(spark):
 
 @pytest.mark.parametrize("hub", [False, True])
 def test_components_against_union_find(spark, hub, monkeypatch):
-    monkeypatch.setattr("strandlake.plans.skew.lookup.__defaults__", (None, None, 4, 20))
+    monkeypatch.setattr("strandlake.plans.skew.lookup.__defaults__", (None, None, 4, 20, None))
     draw = random.Random(hub)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(150)] + [(7, i) for i in range(200, 300)] * hub + [(9, 9), (None, 3)]
     up = list(range(310))
@@ -54,7 +55,10 @@ def test_spent_tables_are_deleted(spark):
     before = set(os.listdir(top))
     one = lineage.cut(spark.range(5))
     made = set(os.listdir(top)) - before
-    assert len(made) == 1 and one.count() == 5
+    assert len(made) == 1 and one.count() == 5 and lineage.total(one) == 5 and lineage.total(spark.range(5)) is None
+    summed = lineage.cut(spark.range(5), all=F.sum("id"))
+    assert lineage.total(summed, "all") == 10
+    lineage.spent(summed)
     lineage.spent(one, None, spark.range(2))
     assert set(os.listdir(top)) == before
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "src long, dst long")
