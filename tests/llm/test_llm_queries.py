@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -9,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from conftest import TABLES, canonical, needs_tables
-from strandlake.llm import decontaminate, language_id, line_crf, page_diff, queries
+from strandlake.llm import decontaminate, language_id, line_crf, page_diff, queries, toxicity
 
 pytestmark = needs_tables
 
@@ -120,6 +121,115 @@ def test_language_accuracy(spark):
     assert got.where("lang = lang_pred").count() >= 0.95 * got.count()
 
 
+def line_numbers(line: bytes, before: bytes | None) -> list[float]:
+    """The features of one line, counted one by one."""
+    kinds = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"#*$%&|<>", b"!?", b".,", b"\"'()+-/:;=@[\\]^_`{}~"]
+    n = [sum(c in k for c in line) for k in kinds] + [sum(c >= 128 for c in line)]
+    words, size = line.split(), max(len(line), 1)
+    w, letters = len(words), max(n[0] + n[1] + n[7] / 2, 1)
+    return [
+        math.log1p(len(line)) / 5, math.log1p(w) / 4, n[0] / letters, n[2] / size, math.sqrt(n[3] / size), math.sqrt(n[4] / size), n[5] / w,
+        n[6] / size, 1 - len(set(words)) / w, sum(a == b for a, b in zip(words, words[1:], strict=False)) / w,
+        sum(x[-1] in kinds[3] + kinds[4] for x in words) / w, min(sum(map(len, words)) / w, 30) / 10, words[0][0] in kinds[0], line[-1] in kinds[5],
+        before is not None and before.split() == words, w <= 3,
+    ]
+
+
+def test_quality_scores_against_brute_force(spark):
+    """Features line by line, forward-backward cell by cell."""
+    docs, labels = (spark.read.parquet(f"{TABLES}/{t}.parquet") for t in ("documents", "labels"))
+    model = line_crf.fit(docs.select("doc_id", "text"), labels)
+    got = {r.doc_id: r.score for r in queries.QUERIES["op2_quality_classifier"](spark, str(TABLES)).collect()}
+
+    def lse(a, b):
+        top = max(a, b)
+        return top + math.log(math.exp(a - top) + math.exp(b - top))
+
+    for r in docs.select("doc_id", "text").collect():
+        raw = (r.text or "").encode().split(b"\n")
+        at = [i for i, x in enumerate(raw) if x.split()]
+        own = [line_numbers(raw[i], raw[i - 1] if i else None) for i in at]
+        if not own:
+            assert got[r.doc_id] == 0
+            continue
+        none = [0.0] * 16
+        unary = []
+        for i, x in enumerate(own):
+            row = [1.0, *x, *(own[i - 1] if i else none), *(own[i + 1] if i + 1 < len(own) else none)]
+            bad = sum((v - m) / d * g for v, m, d, g in zip(row, model.mean, model.scale, model.weights, strict=True))
+            unary.append((-bad / 2, bad / 2))
+        t = model.trans
+        ahead, back = [unary[0]], [(0.0, 0.0)]
+        for u in unary[1:]:
+            a = ahead[-1]
+            ahead.append(tuple(lse(a[0] + t[0][k], a[1] + t[1][k]) + u[k] for k in (0, 1)))
+        for u in reversed(unary[1:]):
+            b = back[-1]
+            back.append(tuple(lse(t[k][0] + u[0] + b[0], t[k][1] + u[1] + b[1]) for k in (0, 1)))
+        weight = [len(raw[i]) for i in at]
+        bad = [1 / (1 + math.exp(min(a[0] + b[0] - a[1] - b[1], 700))) for a, b in zip(ahead, reversed(back), strict=True)]
+        mean = sum(x * y for x, y in zip(weight, bad, strict=True)) / sum(weight)
+        want = 1 / (1 + math.exp(-max(min(model.curve[0] + model.curve[1] * mean, 30), -30)))
+        assert got[r.doc_id] == pytest.approx(want, abs=1e-6)
+
+
+def test_languages_against_brute_force(spark):
+    """Phrases by searching the training text itself, for documents of up to 1 500 characters."""
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text", "lang")
+    samples = language_id.samples_of(docs, 4, 2)
+    model = language_id.Model(samples)
+    trained = {n: b"".join(language_id.symbols(t, model.table).tobytes() for t in samples[n])[: language_id.TRAIN_CHARS] for n in model.names}
+    got = {r.doc_id: r for r in queries.QUERIES["op6_language_id"](spark, str(TABLES)).collect()}
+    looked_at = 0
+    for r in docs.collect():
+        if not r.text or len(r.text) > 1500 or not any(map(str.isalpha, r.text)):
+            continue
+        looked_at += 1
+        text = language_id.symbols(r.text, model.table).tobytes()
+        counts = []
+        for name in model.names:
+            n = 0
+            for a in range(0, len(text), language_id.LANE):
+                lane, i = text[a : a + language_id.LANE], 0
+                while i < len(lane):
+                    j = i
+                    while j < len(lane) and lane[i : j + 1] in trained[name]:
+                        j += 1
+                    n, i = n + 1, max(j, i + 1)
+            counts.append(n)
+        best = min(range(len(counts)), key=lambda k: (counts[k], k))
+        assert got[r.doc_id].lang_pred == model.names[best]
+        assert got[r.doc_id].score == pytest.approx(1 / sum(math.exp(min(0.5 * (counts[best] - c), 0)) for c in counts), abs=1e-9)
+    assert looked_at > 50
+
+
+def test_toxicity_against_brute_force(spark):
+    """Every term tried at every word."""
+    docs, labels = (spark.read.parquet(f"{TABLES}/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.fit(docs.select("doc_id", "text"), labels)
+    got = {r.doc_id: r.score for r in queries.QUERIES["op9_toxicity"](spark, str(TABLES)).collect()}
+    forms = {}
+    for term, weight in lexicon.terms.items():
+        core = toxicity.fold(term.rstrip("*")).strip()
+        for form in {core, core.replace("l", "i")} - {""}:
+            key = f" {form}" if term.endswith("*") else f" {form} "
+            forms[key] = max(forms.get(key, weight), weight)
+    phrases = [k for k in map(toxicity.fold, lexicon.exceptions) if k.strip()]
+    for r in docs.select("doc_id", "text").collect():
+        folded = toxicity.fold(r.text)
+        total = 0.0
+        for i in (i for i, c in enumerate(folded) if c == " "):
+            free = max((i + len(p) - 1 for p in phrases if folded.startswith(p, i)), default=-1)
+            found = [(w, i + len(k) - 1) for k, w in forms.items() if folded.startswith(k, i)]
+            if found:
+                weight, end = max(found)
+                covered = any(folded.startswith(p, a) and a + len(p) - 1 >= end for a in range(max(0, i - 60), i + 1) for p in phrases)
+                total += 0.0 if covered or free >= end else weight
+        n = max(folded.count(" ") - 1, 0)
+        z = sum(c * x for c, x in zip(lexicon.curve, (1.0, math.log1p(total), total / math.sqrt(1 + n)), strict=True))
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-max(min(z, 30), -30))), abs=1e-9)
+
+
 def test_pipeline_against_brute_force(spark):
     got = corpus_pipeline.run(spark, str(TABLES)).toPandas()
     frame = spark.read.parquet(f"{TABLES}/documents.parquet")
