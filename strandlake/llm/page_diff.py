@@ -5,10 +5,10 @@
    asides, forms, and classes, ids or roles for adverts, notices, comments and
    the like), inside an ``article`` or ``main`` element, or neither.
 2. Within each host pages are ordered by URL path; the pages before and after
-   are the nearest in URL. The order of all pages is cut into ranges of about
-   ``BIG_HOST`` pages, wherever hosts begin, so no host is one group. The last
-   page of a range also goes to the next one and the first to the one before,
-   so every page sees both its neighbours.
+   are the nearest in URL. The order of all pages is cut into ranges of up to
+   about ``BIG_HOST`` pages, wherever hosts begin, so no host is one group. The
+   last page of a range also goes to the next one and the first to the one
+   before, so every page sees both its neighbours.
 3. All lines that stand in no such element are aligned with the neighbour's by
    longest common subsequence; shared lines are deleted, in articles too. A range
    is sorted and streamed, so a task holds three pages at a time.
@@ -31,6 +31,7 @@ comment or script is looked for once.
 from __future__ import annotations
 
 import html as _html
+import json
 import re
 
 import numpy as np
@@ -39,10 +40,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.flat import appended
-
-#: Pages of a range, most ranges for each shuffle partition, and pages sampled for each to find where ranges begin.
-BIG_HOST, RANGES, SAMPLED = 2_000, 4, 20
+#: Pages of a range at most, and at least while there are fewer ranges than shuffle partitions; the most ranges, and pages sampled for each.
+BIG_HOST, SMALL_RANGE, RANGES, SAMPLED = 20_000, 500, 4096, 8
+#: Beginnings of ranges that are looked through at a time.
+STRIDE = 64
 #: Cells of a table held at a time; longer lists of lines are halved until their parts fit.
 CELLS = 640_000
 
@@ -299,15 +300,11 @@ def own_chars(lines: list[str], kinds: list[int]) -> int:
     return sum(len(t) for t, k in zip(lines, kinds, strict=True) if k == OWN or OWN not in kinds)
 
 
-def _parse(pages_html):
-    rows = [blocks(t) for t in pages_html]
-    ends = np.cumsum([len(r) for r in rows])
-    hashes = pd.util.hash_array(np.array([t for r in rows for t, _ in r], dtype=object), categorize=False).view(np.int64)
-    lines, kinds = [[t for t, _ in r] for r in rows], [[k for _, k in r] for r in rows]
-    return {
-        "lines": lines, "kinds": kinds, "keys": [hashes[e - len(r) : e].tolist() for r, e in zip(rows, ends, strict=True)],
-        "own": [own_chars(t, k) for t, k in zip(lines, kinds, strict=True)],
-    }
+def _page(html: str | None) -> dict:
+    rows = blocks(html)
+    lines, kinds = [t for t, _ in rows], [k for _, k in rows]
+    hashes = pd.util.hash_array(np.array(lines, dtype=object), categorize=False).view(np.int64) if lines else np.zeros(0, np.int64)
+    return {"lines": lines, "kinds": kinds, "keys": hashes.tolist(), "own": own_chars(lines, kinds)}
 
 
 def _assemble(batches):
@@ -336,15 +333,16 @@ def _assemble(batches):
                 yield batch(made)
                 made.clear()
 
-    same = ("part", "host", "path", "page_id", "url", "keys", "kinds")
+    same = ("part", "host", "path", "page_id", "url", "html")
     for given in batches:
         for at in range(0, given.num_rows, 64):
             for row in given.slice(at, 64).to_pylist():
                 if held is None or any(held[c] != row[c] for c in same):
+                    page = row | _page(row["html"])
                     if held is not None:
-                        yield from done(row)
+                        yield from done(page)
                         before = held
-                    held, copies = row, 0
+                    held, copies = page, 0
                 copies += not row["guest"]
     if held is not None:
         yield from done(None)
@@ -354,10 +352,10 @@ def _assemble(batches):
 _PLACE = ("host", "path", "page_id", "url")
 
 
-def _ranged(base: DataFrame, size: int) -> DataFrame:
-    """Adds part, the number of the range of about ``size`` pages, to rows that have the columns of _PLACE."""
-    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = min(-(-base.count() // size), RANGES * parts)
+def _ranged(base: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Adds part, the number of the range of up to about ``size`` pages, to rows that have the columns of _PLACE; and the ranges."""
+    parts, n = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), base.count()
+    ranges = min(max(min(n // min(SMALL_RANGE, size), parts), n // size, 1), RANGES)
     starts: list[tuple] = []
     if ranges > 1:
         # a page's hash chooses it, so the sample is the same each time
@@ -365,10 +363,20 @@ def _ranged(base: DataFrame, size: int) -> DataFrame:
         order = sorted(map(tuple, found), key=lambda r: (r[0].encode(), r[1].encode(), r[2]))
         starts = list(dict.fromkeys(order[i * len(order) // ranges] for i in range(1, ranges) if order))
     if not starts:
-        return base.withColumn("part", F.lit(0))
+        return base.withColumn("part", F.lit(0)), 1
     place = F.struct(*_PLACE[:3])
-    begins = F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(i).cast("long").alias("page_id")) for h, p, i in starts])
-    return base.withColumn("part", F.aggregate(begins, F.lit(0), lambda n, x: n + (x <= place).cast("int")))
+    kind = "array<struct<host: string, path: string, page_id: bigint>>"
+
+    def literal(rows):
+        return F.from_json(F.lit(json.dumps([{"host": h, "path": p, "page_id": i} for h, p, i in rows])), kind)
+
+    def before(rows):
+        return F.aggregate(rows, F.lit(0), lambda n, x: n + (x <= place).cast("int"))
+
+    # every STRIDE-th beginning first, then those between
+    coarse = before(literal(starts[STRIDE - 1 :: STRIDE]))
+    fine = F.aggregate(F.slice(literal(starts), coarse * STRIDE + 1, F.lit(STRIDE)), F.lit(0), lambda n, x: n + (x <= place).cast("int"))
+    return base.withColumn("part", coarse * STRIDE + fine), len(starts) + 1
 
 
 def _met(ranged: DataFrame) -> DataFrame | None:
@@ -394,24 +402,21 @@ def extract(pages: DataFrame, big_host: int = BIG_HOST) -> DataFrame:
         F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1).alias("path"),
         F.col("html").cast("string").alias("html"),
     )
-    ranged = _ranged(base, big_host)
+    ranged, ranges = _ranged(base, big_host)
     met = _met(ranged)
     # pages without a host have no neighbours and need no range
     ranged = ranged.withColumn("part", F.when(F.col("host") == "", -1 - F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(1 << 20)).cast("int")).otherwise(F.col("part")))
-    parsed = appended(ranged, "html", _parse, "lines array<string>, kinds array<int>, keys array<long>, own long")
     if met is None:
-        dealt = parsed.withColumn("guest", F.lit(False))
+        dealt = ranged.withColumn("guest", F.lit(False))
     else:
         # a page at the end of a range is a guest in the next one: a neighbour there, without a result
         places = F.concat(
             F.array(F.struct("part", F.lit(False).alias("guest"))),
             F.transform(F.coalesce("also", F.array().cast("array<int>")), lambda p: F.struct(p.alias("part"), F.lit(True).alias("guest"))),
         )
-        dealt = parsed.join(F.broadcast(met), ["page_id", "url"], "left").withColumn("place", F.explode(places)).select(
-            *[c for c in parsed.columns if c != "part"], "place.part", "place.guest"
+        dealt = ranged.join(F.broadcast(met), ["page_id", "url"], "left").withColumn("place", F.explode(places)).select(
+            *[c for c in ranged.columns if c != "part"], "place.part", "place.guest"
         )
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    streamed = dealt.repartition(parts, "part").sortWithinPartitions("part", *_PLACE, "keys").select(
-        "part", "guest", *_PLACE, "lines", "kinds", "keys", "own"
-    )
+    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), ranges)
+    streamed = dealt.repartition(parts, "part").sortWithinPartitions("part", *_PLACE, F.xxhash64("html")).select("part", "guest", *_PLACE, "html")
     return streamed.mapInArrow(_assemble, "page_id long, url string, text string")

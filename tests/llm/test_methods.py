@@ -456,7 +456,10 @@ def test_shared_lines_of_articles_go(spark):
     assert all(bodies[0] in got[10 + i] for i in range(5))
 
 
-def test_ranges_lose_no_neighbour(spark):
+@pytest.mark.parametrize("stride", [4, 64])
+def test_ranges_lose_no_neighbour(spark, monkeypatch, stride):
+    monkeypatch.setattr(page_diff, "STRIDE", stride)
+
     def page(body):
         return f"<body><div>Home</div><div>{body}</div><div>Imprint of the site</div></body>"
 
