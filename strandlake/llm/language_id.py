@@ -212,12 +212,17 @@ def samples_of(docs: DataFrame, modulus: int, held_out: int) -> dict[str, list[s
         F.substring(F.col("text").cast("string"), 1, DOC_CHARS).alias("text"),
     ).where("lang is not null and doc_id is not null and length(text) > 0")
     known = known.where(F.pmod(fold(), F.lit(modulus)) != held_out)
-    # the first of each language: partitions keep their own first ones before anything is shuffled
+    # a language's documents are thinned by their hash to about twice what is wanted, so no task sorts more than that
+    per = docs.select(F.col("lang").cast("string").alias("lang")).where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"))
+    wide = per.where(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not wide:
+        return {}
+    least = [(r["lang"], min(2 * TRAIN_DOCS / r["n"], 1.0)) for r in wide]
+    share = docs.sparkSession.createDataFrame([(n, -(2**63) + min(int(x * 2**64), 2**64 - 1)) for n, x in least], "lang string, most long")
+    keyed = known.select("lang", "doc_id", F.length("text").alias("size"), F.xxhash64("doc_id").alias("h")).join(F.broadcast(share), "lang").where("h <= most")
     first = Window.partitionBy("lang").orderBy("h", "doc_id", "size")
-    keyed = known.select("lang", "doc_id", F.length("text").alias("size"), F.xxhash64("doc_id").alias("h"))
-    few = cut(keyed.withColumn("r", F.row_number().over(first)).where(F.col("r") <= TRAIN_DOCS))
-    per = few.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
-    names = sorted(r["lang"] for r in per.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
+    few = cut(keyed.drop("most").withColumn("r", F.row_number().over(first)).where(F.col("r") <= TRAIN_DOCS))
+    names = sorted(r["lang"] for r in few.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS).collect())
     chosen: dict[str, dict[int, int]] = {}
     if names:
         most = min(TRAIN_CHARS, TOTAL_CHARS // len(names))
