@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.functions import codec, quality
+from strandlake.functions import codec
 from strandlake.operators import demux, dictionary, explore, graph, kmers, overlap, paired
-from strandlake.plans.bridge import ADAPTORS_SQL, READS_SQL, adaptors, bases, reads
+from strandlake.plans.bridge import READS_SQL, bases, reads
 from strandlake.plans.shipping import ship
 from strandlake.sources import sinks
 

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlake.plans.lineage import cut
 from strandlake.sources.lines import numbered_lines
 
 #: Files that end early up to which they are named in the plan; more are joined.
@@ -86,44 +87,37 @@ def fasta_pieces(spark: SparkSession, paths, drop_last: bool = False, size: int
     ``drop_last`` removes the last character of every sequence line instead of a
     carriage return only. Neither a line's nor a record's place needs a row of
     the record's length: lines are counted by split, and only the splits' sums
-    meet.
+    meet. Lines with their place in the split are written once and read from there.
     """
     lines = numbered_lines(spark, paths).withColumn("_head", F.startswith("value", F.lit(">")))
     body = F.expr("substring(value, 1, length(value) - 1)") if drop_last else F.col("value")
     lines = lines.withColumn("_n", F.when(F.col("_head"), F.lit(0)).otherwise(F.length(body)))
     inside = Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     # a line's record is the number of headers so far, its offset the bases since the last header
-    rows = lines.withColumn("_in", F.count_if("_head").over(inside)).withColumn("_sum", F.sum("_n").over(inside) - F.col("_n"))
+    rows = cut(lines.withColumn("_in", F.count_if("_head").over(inside)).withColumn("_sum", F.sum("_n").over(inside) - F.col("_n")))
     starts = rows.where("_head").select("file", "block", F.col("_in").alias("_from"), F.col("_sum").alias("_base"))
-    per = lines.groupBy("file", "block").agg(F.count_if("_head").alias("_heads"), F.sum("_n").alias("_bases"))
+    per = rows.groupBy("file", "block").agg(F.count_if("_head").alias("_heads"), F.sum("_n").alias("_bases"))
     last = starts.groupBy("file", "block").agg(F.max(F.struct("_from", "_base")).alias("l"))
     per = per.join(last, ["file", "block"], "left").select("file", "block", "_heads", (F.col("_bases") - F.coalesce("l._base", F.lit(0))).alias("_tail"))
-    # bases that a split finds of a record begun before it: tails of the splits back to the last one with a header
+    # what is open at a split's begin was begun in an earlier one: its bases so far are the tails of the splits from there on
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    group = per.withColumn("_before", F.coalesce(F.sum("_heads").over(earlier), F.lit(0)))
-    upto = Window.partitionBy("file", "_open").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    open_ = group.withColumn("_open", F.col("_before") + F.col("_heads"))
-    tails = open_.withColumn("_t", F.col("_tail"))
-    # tails of one open record: the split that begins it and those wholly inside
-    inner = tails.withColumn("_sofar", F.coalesce(F.sum("_t").over(upto), F.lit(0)))
-    carried = inner.select("file", "block", "_before", F.when(F.col("_heads") == 0, F.col("_sofar")).alias("_own"))
-    ending = inner.groupBy("file", F.col("_open").alias("_before")).agg(F.sum("_t").alias("_whole"))
-    places = carried.join(ending, ["file", "_before"], "left").select(
-        "file", "block", "_before", F.coalesce("_own", "_whole", F.lit(0)).alias("_carry")
-    )
+    per = per.withColumn("_before", F.coalesce(F.sum("_heads").over(earlier), F.lit(0))).withColumn("_open", F.col("_before") + F.col("_heads"))
+    same = Window.partitionBy("file", "_open").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_sofar", F.coalesce(F.sum("_tail").over(same), F.lit(0)))
+    closed = per.groupBy("file", F.col("_open").alias("_before")).agg(F.sum("_tail").alias("_whole"))
+    carry = F.when(F.col("_heads") == 0, F.col("_sofar")).otherwise(F.coalesce("_whole", F.lit(0)))
+    places = per.join(closed, ["file", "_before"], "left").select("file", "block", "_before", carry.alias("_carry"))
     first = starts.select("file", "block", F.col("_from").alias("_in"), "_base")
     placed = rows.join(places, ["file", "block"]).join(first, ["file", "block", "_in"], "left")
     offset = F.when(F.col("_in") == 0, F.col("_carry") + F.col("_sum")).otherwise(F.col("_sum") - F.col("_base"))
+    record = (F.col("_before") + F.col("_in")).alias("record")
     placed = placed.select(
-        "file", (F.col("_before") + F.col("_in")).alias("record"), "line_no", "_head", "value", "_n", F.when(F.col("_head"), 0).otherwise(offset).alias("offset"),
-        F.when(F.col("_head"), F.lit("")).otherwise(body).alias("text"),
-    )
-    by = placed.groupBy("file", "record", F.floor(F.col("offset") / size).alias("piece")).agg(
-        F.max(F.when(F.col("_head"), F.substring("value", F.lit(2), F.length("value")))).alias("name"), F.min("offset").alias("offset"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "").alias("sequence"),
+        "file", record, "line_no", F.when(F.col("_head"), 0).otherwise(offset).alias("offset"), F.when(F.col("_head"), F.lit("")).otherwise(body).alias("text")
     )
-    names = by.where("name is not null").select("file", "record", F.col("name").alias("_name"))
-    return by.drop("name").join(names, ["file", "record"], "left").select("file", "record", F.col("_name").alias("name"), "offset", "sequence")
+    names = rows.where("_head").join(places, ["file", "block"]).select("file", record, F.substring("value", F.lit(2), F.length("value")).alias("name"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "")
+    pieces = placed.groupBy("file", "record", F.floor(F.col("offset") / size).alias("piece")).agg(F.min("offset").alias("offset"), text.alias("sequence"))
+    return pieces.join(names, ["file", "record"], "left").select("file", "record", "name", "offset", "sequence")
 
 
 def _joined(pieces: DataFrame, *keys: str) -> DataFrame:
