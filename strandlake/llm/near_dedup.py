@@ -49,8 +49,8 @@ from strandlake.plans.skew import lookup
 
 _U = np.uint64
 BANDS, ROWS = 40, 5
-#: Rows of a block on average, and its shingles; a unit of work holds two blocks.
-BLOCK, BLOCK_SHINGLES = 128, 2_000_000
+#: Rows of a block on average in the first and, times SECOND, in the second round, and its shingles; a unit of the second holds two blocks.
+BLOCK, SECOND, BLOCK_SHINGLES = 64, 4, 2_000_000
 #: Verify if the estimated similarity is at most this far below the threshold.
 SLACK = 0.14
 
@@ -258,11 +258,12 @@ def near_duplicates(
     first = F.min(F.struct("doc_id", "sig")).alias("m")
     sets = cut(full.groupBy("f1", "f2", "n_shingles").agg(first).select("f1", "f2", "n_shingles", F.col("m.doc_id").alias("rep"), "m.sig"))
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 2 * rows * b + 1, 2 * rows)) for b in range(bands)])
-    bucket = sets.select("rep", "f1", F.col("n_shingles").alias("n"), F.explode(keys).alias("key"))
+    bucket = sets.select("rep", F.explode(keys).alias("key"))
     heads = cut(bucket.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("count")).where("count > 1"))
-    shared = cut(lookup(bucket, heads.select("key", "head"), "key", counts=heads.select("key", "count")).where("head is not null"))
-    spent(heads)
+    met = lookup(bucket, heads.select("key", "head"), "key", counts=heads.select("key", "count")).where("head is not null")
     repeats = _repeats(full)
+    shared = cut((met.distinct() if repeats else met).join(sets.select("rep", "f1", F.col("n_shingles").alias("n")), "rep"))
+    spent(heads)
     few = shared.select("rep", "f1").distinct().join(sets.select("rep", "f1", "sig"), ["rep", "f1"])
     wanted = texts.where("text is not null").withColumnRenamed("doc_id", "rep").join(few, "rep").select("rep", "f1", "sig", "text")
     wanted = cut(wanted.distinct() if repeats else wanted)
@@ -282,7 +283,7 @@ def near_duplicates(
     links = cut(links)
     classes = connected_components(links, node="rep", component="class")
     marked = cut(shared.join(classes, "rep", "left").join(places, ["rep", "f1"], "left").withColumn("class", F.coalesce("class", "rep")))
-    units = _other_units(marked, block)
+    units = _other_units(marked, SECOND * block)
     spread = sets.select("f1", "f2", "n_shingles", "rep").join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
     if units is None:
         spread = spread.withColumnRenamed("class", "component_id")
