@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pages of a range at most, and at least while there are fewer ranges than shuffle partitions; the most ranges, and pages sampled for each.
-BIG_HOST, SMALL_RANGE, RANGES, SAMPLED = 20_000, 500, 4096, 8
+BIG_HOST, SMALL_RANGE, RANGES, SAMPLED = 20_000, 500, 4096, 32
 #: Beginnings of ranges that are looked through at a time.
 STRIDE = 64
 #: Cells of a table held at a time; longer lists of lines are halved until their parts fit.
@@ -417,6 +417,7 @@ def extract(pages: DataFrame, big_host: int = BIG_HOST) -> DataFrame:
         dealt = ranged.join(F.broadcast(met), ["page_id", "url"], "left").withColumn("place", F.explode(places)).select(
             *[c for c in ranged.columns if c != "part"], "place.part", "place.guest"
         )
-    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), ranges)
-    streamed = dealt.repartition(parts, "part").sortWithinPartitions("part", *_PLACE, F.xxhash64("html")).select("part", "guest", *_PLACE, "html")
+    # a range is a partition: hashed, several would meet in one
+    slot = F.pmod("part", F.lit(ranges)).cast("int")
+    streamed = dealt.repartitionById(ranges, slot).sortWithinPartitions("part", *_PLACE, F.xxhash64("html")).select("part", "guest", *_PLACE, "html")
     return streamed.mapInArrow(_assemble, "page_id long, url string, text string")

@@ -127,7 +127,7 @@ def test_a_group_of_near_copies_ships_each_text_about_once(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, block=32).collect()}
     assert got == {i: 0 if i < 600 else i for i in range(700)}
-    assert shipped[0] <= 600 + 600 / 32 * 3 and shipped[1] <= 2 * 600
+    assert shipped[0] <= 600 + 600 / 32 * 3 and sum(shipped[1:]) <= 2 * 600
 
 
 def test_strays_and_rows_of_one_id(spark):
