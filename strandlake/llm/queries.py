@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and their SQL."""
+"""Registered queries of the text operators and their SQL."""
 
 from __future__ import annotations
 
@@ -108,6 +108,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "license", F.round("dice", 9).alias("dice"), F.array_join("licenses", ",").alias("licenses"), "n_units")
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and its terms above the language's share."""
+    from strandlake.llm.source_audit import audit
+
+    return audit(_read(spark, sf_dir, "documents"), least=30, top=50)
+
+
 QUERIES = {
     "op1_distribution_divergence": op1_distribution_divergence,
     "op3_url_reputation": op3_url_reputation,
@@ -119,4 +126,5 @@ QUERIES = {
     "op7_near_duplicates": op7_near_duplicates,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
+    "op12_source_audit": op12_source_audit,
 }

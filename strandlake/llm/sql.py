@@ -218,10 +218,43 @@ SELECT doc_id, name AS license, round(dice, 9) AS dice, coalesce(names, '') AS l
 FROM flat LEFT JOIN best USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 
+AUDIT_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+),
+t AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+seen AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+counts AS (
+  SELECT g.lang, g.source, k.term, CAST(coalesce(s.n, 0) AS HUGEINT) AS n, CAST(k.n AS HUGEINT) AS all_n, CAST(z.v AS HUGEINT) AS v
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN sizes z ON z.lang = g.lang
+  LEFT JOIN seen s ON s.lang = g.lang AND s.source = g.source AND s.term = k.term
+),
+shares AS (
+  SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p,
+    1 + 1000000000::HUGEINT * (all_n + 5) // (sum(all_n) OVER (PARTITION BY lang, source) + 5 * v) AS q FROM counts
+),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM every QUALIFY part = 'pair' OR rank <= 50"""
+
+
 ORACLE_SQL = {
     "op1_distribution_divergence": divergence_sql(),
     "op3_url_reputation": reputation_sql(),
     "op7_near_duplicates": NEAR_SQL,
     "op8_decontaminate": LEAKS_SQL,
     "op10_license_scan": licenses_sql(),
+    "op12_source_audit": AUDIT_SQL,
 }
