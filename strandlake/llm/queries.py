@@ -108,6 +108,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "license", F.round("dice", 9).alias("dice"), F.array_join("licenses", ",").alias("licenses"), "n_units")
 
 
+def op11_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model and unigram scores of every document."""
+    from strandlake.llm import maxent_lm
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = maxent_lm.score(docs, maxent_lm.fit(docs, _held(5, 1)))
+    return found.select("doc_id", _held(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of every source from the others of its language, and its terms above the language's share."""
     from strandlake.llm.source_audit import audit
@@ -126,5 +135,6 @@ QUERIES = {
     "op7_near_duplicates": op7_near_duplicates,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
+    "op11_maxent_lm": op11_maxent_lm,
     "op12_source_audit": op12_source_audit,
 }
