@@ -23,7 +23,8 @@ once, whole.
 
 **Scoring** goes through every text in blocks that touch the active rows only.
 Counts of the LISTED commonest tokens are sent along. All others are joined
-by token: each is at most one in LISTED of the training tokens, so none is hot.
+by token: the list ends where counts fall under about N / LISTED, so no other token of
+the training part is hot.
 
 Nulls and empty texts are one end. A document without an id counts as training
 text. Long texts are read in blocks of tokens, whole; repeated rows are scored
@@ -37,6 +38,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -53,7 +55,9 @@ CLASSES = HEAD // WORDS + ENDINGS
 #: Rows of the weight tables of classes and of words within a class; features a token has in each.
 ROWS, INNER, FEATURES = 1 << 13, 1 << 14, 4
 #: Rounds of training; training tokens for which a task is started in a round; tokens of a block; step and damping.
-ROUNDS, SHARE, BLOCK, STEP, DAMPING = 3, 1_000_000, 4_096, 0.5, 4.0
+ROUNDS, SHARE, BLOCK, STEP, DAMPING = 3, 1_000_000, 16_384, 0.5, 4.0
+#: Tokens scored at a time.
+SCORED = 4_096
 #: The end as a token (no word can hold a line feed), and what stands before a text as a context.
 END, BEFORE = "\n", HEAD + ENDINGS
 #: Distinct tokens that a task sums up before it lets them go, and pieces in which tables travel.
@@ -201,12 +205,11 @@ def _steps(p: np.ndarray, target: np.ndarray, rows: np.ndarray, table: np.ndarra
         seen[active] += np.diff(np.append(first, len(row)))
 
 
-def _blocks(model: Model, words: pa.Array, sizes: np.ndarray):
+def _blocks(ids: np.ndarray, sizes: np.ndarray, size: int):
     """(first token, tokens, hashes) of blocks of all texts' tokens."""
-    ids, place = model.ids(words)
     tokens, hashes = _contexts(ids, sizes)
-    for at in range(0, len(tokens), BLOCK):
-        yield at, tokens[at : at + BLOCK], hashes[at : at + BLOCK]
+    for at in range(0, len(tokens), size):
+        yield at, tokens[at : at + size], hashes[at : at + size]
 
 
 def _split_ids(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +228,8 @@ def _trained(model: Model):
         expected = [(s[:, None] * share[None, :]).astype(np.float32) for s, share in zip(model.seen, shares, strict=True)]
         for batch in batches:
             for piece in pieces(batch, "text", 4_000_000):
-                for _, tokens, hashes in _blocks(model, *split(piece.column("text"), SPACED)):
+                words, sizes = split(piece.column("text"), SPACED)
+                for _, tokens, hashes in _blocks(model.ids(words)[0], sizes, BLOCK):
                     classes, head = _split_ids(tokens)
                     rows = _rows(hashes)
                     _steps(_chances(model.bias, tables[0], rows), classes, rows, tables[0], expected[0], seen[0])
@@ -282,13 +286,33 @@ def _updated(model: Model, texts: DataFrame, tasks: int) -> Model:
     return Model(**{**model.__dict__, "weights": weights, "seen": seen})
 
 
+def _commonest(counts: DataFrame) -> pd.DataFrame:
+    """The commonest tokens, LISTED at most, in order: those whose count is at least some sixteenth power of two.
+
+    The bound comes from a histogram of that many steps, so the driver gets a
+    few hundred rows and then the list, and nothing is sorted.
+    """
+    step = F.floor(F.log2("count") * 16).cast("int").alias("step")
+    steps = sorted(((r[0], r[1]) for r in counts.groupBy(step).count().collect()), reverse=True)
+    size, least = 0, None
+    for s, n in steps:
+        size += n
+        if size > LISTED:
+            break
+        least = s
+    if least is None:
+        return pd.DataFrame({"token": [], "ending": [], "count": []})
+    rows = counts.where(F.floor(F.log2("count") * 16) >= least).select("token", "ending", "count").toPandas()
+    return rows.sort_values(["count", "token"], ascending=[False, True], ignore_index=True)
+
+
 def fit(docs: DataFrame, held_out: Column | None = None, rounds: int = ROUNDS) -> Model:
     """Counts and weights from all documents (doc_id, text) that aren't held out."""
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), (F.lit(False) if held_out is None else held_out).alias("_out"))
     known = known.where(~F.col("_out"))
     counts = cut(token_counts(known), tokens=F.sum("count"))
     n, v = int(total(counts, "tokens") or 0), int(total(counts) or 0)
-    top = counts.where(F.col("token") != END).orderBy(F.desc("count"), "token").limit(LISTED).select("token", "count", "ending").toPandas()
+    top = _commonest(counts.where(F.col("token") != END))
     ends = counts.where(F.col("token") == END).select("count").collect()
     end_count = int(ends[0][0]) if ends else 0
     by_ending = counts.where(F.col("token") != END).groupBy("ending").agg(F.sum("count").alias("count"), F.count("*").alias("tokens")).collect()
@@ -325,10 +349,10 @@ def _summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total_[ends] - total_[ends - sizes]
 
 
-def log_chances(model: Model, words: pa.Array, sizes: np.ndarray) -> np.ndarray:
+def log_chances(model: Model, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """log10 of every token's probability, ends included; for tokens outside the head without the part that depends on their own count."""
-    out = np.zeros(len(words) + len(sizes))
-    for at, tokens, hashes in _blocks(model, words, sizes):
+    out = np.zeros(len(ids) + len(sizes))
+    for at, tokens, hashes in _blocks(ids, sizes, SCORED):
         classes, head = _split_ids(tokens)
         p = _chances(model.bias, model.weights[0], _rows(hashes))
         found = np.log(np.maximum(p[np.arange(len(tokens)), classes], 1e-30).astype(np.float64))
@@ -350,8 +374,8 @@ def _scores(model: Model):
         for batch in batches:
             for piece in pieces(batch, "text", 4_000_000):
                 words, sizes = split(piece.column("text"), SPACED)
-                _, place = model.ids(words)
-                found = _summed(log_chances(model, words, sizes), sizes + 1)
+                ids, place = model.ids(words)
+                found = _summed(log_chances(model, ids, sizes), sizes + 1)
                 own = np.where(place >= 0, listed[place], 0.0)
                 base = _summed(own, sizes) + end - (sizes + 1) * scale
                 score = found + _summed(np.where(place >= HEAD - 1, own, 0.0), sizes)
