@@ -61,7 +61,7 @@ SCORED = 4_096
 #: The end as a token (no word can hold a line feed), and what stands before a text as a context.
 END, BEFORE = "\n", HEAD + ENDINGS
 #: Distinct tokens that a task sums up before it lets them go, and pieces in which tables travel.
-HELD, PIECES = 400_000, 16
+HELD, PIECES = 250_000, 16
 
 _LOG10 = float(np.log(10.0))
 
@@ -102,7 +102,7 @@ def _counts(batches):
         return pa.table({"token": words.cast(pa.string()), "ending": ending, "count": table.column("count")}).to_batches()
 
     for batch in batches:
-        for piece in pieces(batch, "text", 16_000_000):
+        for piece in pieces(batch, "text", 6_000_000):
             words, sizes = split(piece.column("text"), SPACED)
             found = pc.value_counts(words)
             held.append(pa.table({"token": found.field("values"), "count": found.field("counts")}))
