@@ -15,16 +15,20 @@ READ = 150
 
 def bases(text: str = "text"):
     """Base letters of a text, upper case."""
-    return F.regexp_replace(F.translate(F.upper(F.coalesce(F.col(text), F.lit(""))), "NX", "¤N"), "[^ACGTN]", "")
+    return F.regexp_replace(F.translate(F.upper(F.coalesce(F.col(text), F.lit(""))), "NX", "¤N"), "[^ACGTN]+", "")
 
 
-def reads(spark: SparkSession, sf_dir: str, quality: bool = False) -> DataFrame:
-    """(read_id, sequence[, quality]); read_id is doc_id * 100000 plus the read's place in its text."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", bases().alias("s")).where(F.length("s") > 0)
+def reads_of(docs: DataFrame, *keep: str, quality: bool = False) -> DataFrame:
+    """(read_id, *keep, sequence[, quality]) of texts (doc_id, text, *keep); read_id is doc_id * 100000 plus the read's place in its text.
+
+    The pieces of a text are an array made within the row, so the text itself
+    isn't repeated for each of its reads. The generator is an outer one, as the
+    optimiser else tests the array's size in a filter and so makes it twice.
+    """
     starts = F.sequence(F.lit(0), F.length("s") - 1, F.lit(READ))
-    rows = docs.select("doc_id", "s", F.posexplode(starts).alias("part", "at")).select(
-        (F.col("doc_id") * 100000 + F.col("part")).alias("read_id"), F.substring("s", F.col("at") + 1, F.lit(READ)).alias("sequence")
-    )
+    pieces = F.transform(starts, lambda at, i: F.struct(i.alias("part"), F.substring("s", at + 1, F.lit(READ)).alias("sequence")))
+    rows = docs.select("doc_id", *keep, bases().alias("s")).select("doc_id", *keep, F.when(F.length("s") > 0, pieces).alias("pieces"))
+    rows = rows.select("doc_id", *keep, F.inline_outer("pieces")).where(F.col("sequence").isNotNull()).select((F.col("doc_id") * 100000 + F.col("part")).alias("read_id"), *keep, "sequence")
     if not quality:
         return rows
     score = F.transform(
@@ -34,9 +38,19 @@ def reads(spark: SparkSession, sf_dir: str, quality: bool = False) -> DataFrame:
     return rows.withColumn("quality", F.array_join(score, ""))
 
 
+def reads(spark: SparkSession, sf_dir: str, quality: bool = False) -> DataFrame:
+    """Reads of all documents, see :func:`reads_of`."""
+    return reads_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), quality=quality)
+
+
 def adaptors(spark: SparkSession, sf_dir: str, size: int = 8) -> DataFrame:
     """(adaptor_idx, name, bases): the first bases of each benchmark item, equal ones once."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.substring(bases(), 1, size).alias("bases"))
+    return adaptors_of(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size)
+
+
+def adaptors_of(items: DataFrame, size: int = 8) -> DataFrame:
+    """The same of a table (item_id, text)."""
+    items = items.select("item_id", F.substring(bases(), 1, size).alias("bases"))
     rows = items.where((F.length("bases") == size) & ~F.col("bases").contains("N")).groupBy("bases").agg(F.min("item_id").alias("adaptor_idx"))
     return rows.select("adaptor_idx", F.concat(F.lit("a"), F.col("adaptor_idx").cast("string")).alias("name"), "bases")
 
