@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import codec
@@ -22,7 +22,8 @@ BROADCAST_ROWS, LITERAL_KEYS = 100_000, 2_000
 SLOT_BASES = 4
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it has few rows, which are counted."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
@@ -61,7 +62,7 @@ def barcode_hits(reads: DataFrame, barcodes: DataFrame, prefix: int = 15) -> Dat
     out = None
     for n in sorted(lengths):
         made = windows(head, n, clean=False).select("read_id", F.col("kmer").alias("bases")).distinct()
-        found = made.join(_small(keys.where(F.length("bases") == n)), "bases").select("read_id", "bases")
+        found = made.join(small(keys.where(F.length("bases") == n)), "bases").select("read_id", "bases")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else reads.select("read_id", F.lit("").alias("bases")).limit(0)
 
@@ -78,6 +79,26 @@ def barcode_counts(reads: DataFrame, barcodes: DataFrame, prefix: int = 15) -> D
     return barcode_hits(reads, barcodes, prefix).groupBy("bases").agg(F.count("*").alias("n_reads"))
 
 
+def _hits(few: list, longest: bool) -> tuple[Column, Column]:
+    """(places of column ``_s`` where keys stand, as structs pos and adaptor_idx; whether it is long enough for any)."""
+    shortest = min(len(r["bases"]) for r in few)
+    depth = min(shortest, SLOT_BASES)
+    slots: list[list[dict]] = [[] for _ in range(4**depth)]
+    for r in sorted(few, key=lambda r: (-len(r["bases"]) if longest else 0, r["adaptor_idx"])):
+        digits = r["bases"][:depth].translate(str.maketrans(codec.BASES, codec.DIGITS))
+        slots[int(digits, 4)].append({"b": r["bases"], "i": r["adaptor_idx"]})
+    # one literal: the keys of each slot in order of preference, so the first that is a prefix wins
+    table = F.from_json(F.lit(json.dumps(slots)), "array<array<struct<b: string, i: bigint>>>")
+
+    def find(i):
+        slot = F.conv(F.translate(F.substring("_s", i + 1, F.lit(depth)), codec.BASES, codec.DIGITS), 4, 10).cast("int")
+        fits = F.filter(F.get(table, slot), lambda k: F.substring("_s", i + 1, F.length(k["b"])) == k["b"])
+        return F.struct(i.alias("pos"), F.get(fits, F.lit(0))["i"].alias("adaptor_idx"))
+
+    starts = F.sequence(F.lit(0), F.length("_s") - shortest)
+    return F.filter(F.transform(starts, find), lambda h: h["adaptor_idx"].isNotNull()), F.length("_s") >= shortest
+
+
 def window_matches(reads: DataFrame, dictionary: DataFrame, longest: bool = False) -> DataFrame:
     """(read_id, pos, adaptor_idx): the key that is a prefix of the read from ``pos``.
 
@@ -92,28 +113,13 @@ def window_matches(reads: DataFrame, dictionary: DataFrame, longest: bool = Fals
     if not few:
         return rows.select("read_id", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("adaptor_idx")).limit(0)
     if len(few) <= LITERAL_KEYS:
-        shortest = min(len(r["bases"]) for r in few)
-        depth = min(shortest, SLOT_BASES)
-        slots: list[list[dict]] = [[] for _ in range(4**depth)]
-        for r in sorted(few, key=lambda r: (-len(r["bases"]) if longest else 0, r["adaptor_idx"])):
-            digits = r["bases"][:depth].translate(str.maketrans(codec.BASES, codec.DIGITS))
-            slots[int(digits, 4)].append({"b": r["bases"], "i": r["adaptor_idx"]})
-        # one literal: the keys of each slot in order of preference, so the first that is a prefix wins
-        table = F.from_json(F.lit(json.dumps(slots)), "array<array<struct<b: string, i: bigint>>>")
-
-        def find(i):
-            slot = F.conv(F.translate(F.substring("_s", i + 1, F.lit(depth)), codec.BASES, codec.DIGITS), 4, 10).cast("int")
-            fits = F.filter(F.get(table, slot), lambda k: F.substring("_s", i + 1, F.length(k["b"])) == k["b"])
-            return F.struct(i.alias("pos"), F.get(fits, F.lit(0))["i"].alias("adaptor_idx"))
-
-        starts = F.sequence(F.lit(0), F.length("_s") - shortest)
-        hits = F.filter(F.transform(starts, find), lambda h: h["adaptor_idx"].isNotNull())
-        return rows.where(F.length("_s") >= shortest).select("read_id", F.inline(hits))
+        hits, enough = _hits(few, longest)
+        return rows.where(enough).select("read_id", F.inline(hits))
     lengths = sorted(r[0] for r in keys.select(F.length("bases")).distinct().collect())
     out = None
     for n in lengths:
         made = windows(reads.select("read_id", "sequence"), n).select("read_id", "pos", F.col("kmer").alias("bases"))
-        found = made.join(_small(keys.where(F.length("bases") == n)), "bases").select(
+        found = made.join(small(keys.where(F.length("bases") == n)), "bases").select(
             "read_id", "pos", "adaptor_idx", F.lit(n).alias("size")
         )
         out = found if out is None else out.unionByName(found)
@@ -121,6 +127,27 @@ def window_matches(reads: DataFrame, dictionary: DataFrame, longest: bool = Fals
     return out.groupBy("read_id", "pos").agg(best.alias("adaptor_idx"))
 
 
+def first_matches(reads: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Adds pos and adaptor_idx of the first place in each read where a key stands, null where none does.
+
+    Of several keys there the smallest adaptor_idx wins. Every row of ``reads``
+    stays, repeated ids and null ones too. With a dictionary of at most
+    LITERAL_KEYS keys no read is shuffled.
+    """
+    keys = valid_keys(dictionary).groupBy("bases").agg(F.min("adaptor_idx").cast("long").alias("adaptor_idx"))
+    few = keys.limit(LITERAL_KEYS + 1).collect()
+    none = F.lit(None)
+    if not few:
+        return reads.select("*", none.cast("int").alias("pos"), none.cast("long").alias("adaptor_idx"))
+    if len(few) <= LITERAL_KEYS:
+        hits, enough = _hits(few, False)
+        found = reads.withColumn("_s", F.upper("sequence")).withColumn("_m", F.when(enough, F.get(hits, F.lit(0))))
+        return found.select(*reads.columns, "_m.pos", "_m.adaptor_idx")
+    found = window_matches(reads.where("read_id is not null").select("read_id", "sequence").distinct(), dictionary)
+    best = found.groupBy("read_id").agg(F.min(F.struct("pos", "adaptor_idx")).alias("_m")).select("read_id", "_m.pos", "_m.adaptor_idx")
+    return reads.join(best, "read_id", "left").select(*reads.columns, "pos", "adaptor_idx")
+
+
 def assign(reads: DataFrame, dictionary: DataFrame, every_window: bool = False, longest: bool = False) -> DataFrame:
     """(read_id, adaptor_idx): once per read and adaptor, or once per matching window."""
     found = window_matches(reads, dictionary, longest).select("read_id", "adaptor_idx")
