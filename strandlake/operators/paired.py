@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import codec
-from strandlake.functions.alignment import fitted_alignments, seeded_alignments
+from strandlake.functions.mapping import extended, fitted
 from strandlake.functions.quality import alignment_probability
 from strandlake.plans.lineage import cut
 
@@ -133,7 +133,7 @@ def within_reach(found: DataFrame, reach: int = MATE_RANGE) -> DataFrame:
 
 
 def _extension(mode: str):
-    """Arrow function (piece, seed's place in it, read, seed's place in the read) -> alignment or nulls."""
+    """Arrow function (piece, seed's place in it, read, seed's place in the read) -> alignment or nulls; equal rows of a batch are aligned once."""
     if mode not in ("fast", "accurate"):
         raise ValueError("mode is fast or accurate")
 
@@ -141,18 +141,33 @@ def _extension(mode: str):
 
     @F.pandas_udf("score int, first int, last int, mismatches int, indels int")
     def extend(piece: pd.Series, at: pd.Series, read: pd.Series, read_pos: pd.Series) -> pd.DataFrame:
+        rows = pd.DataFrame({"piece": piece, "read": read} | ({"at": at, "read_pos": read_pos} if mode == "fast" else {}))
+        which = rows.groupby(list(rows.columns), sort=False).ngroup().to_numpy()
+        once = rows.iloc[pd.Series(which).drop_duplicates().index]
+        pieces, reads = once["piece"].tolist(), once["read"].tolist()
         if mode == "accurate":
-            found = fitted_alignments(list(piece), list(read), *limits)
+            found = fitted(pieces, reads, *limits)
         else:
-            seeds = [(p, int(a), r, int(q)) for p, a, r, q in zip(piece, at, read, read_pos, strict=True)]
-            found = seeded_alignments(seeds, WIDTH, *limits)
-        rows = [x or (None,) * 5 for x in found]
-        return pd.DataFrame(rows, columns=["score", "first", "last", "mismatches", "indels"]).astype("Int32")
+            found = extended(pieces, once["at"].to_numpy(), reads, once["read_pos"].to_numpy(), WIDTH, *limits)
+        out = pd.DataFrame(found, columns=["score", "first", "last", "mismatches", "indels"]).astype("Int32")
+        return out.mask(out["score"] < 0).iloc[which].reset_index(drop=True)
 
     return extend
 
 
-def placed(found: DataFrame, pairs: DataFrame, chunks: DataFrame, size: int = 100_000, reach: int = 200) -> DataFrame:
+def _reach(mode: str) -> tuple[Column, Column]:
+    """Bases of the genome before and after where a read of no gaps would stand, that its alignment may use.
+
+    Extended seeds use no more than the indels allowed. A read that is fitted
+    whole may move by as many gaps as mismatches outside its seed would cost.
+    """
+    if mode == "fast":
+        return F.lit(MAX_INDELS), F.lit(MAX_INDELS)
+    outside = F.length("read") - F.col("read_pos") - WIDTH
+    return tuple(F.floor(n * MISMATCH / GAP).cast("int") for n in (F.col("read_pos"), outside))
+
+
+def placed(found: DataFrame, pairs: DataFrame, chunks: DataFrame, size: int = 100_000, mode: str = "fast") -> DataFrame:
     """Adds to candidates the read as its strand has it, and the piece of the genome around it with its first position ``_low``."""
     read = F.when(F.col("mate") == 1, F.col("seq1")).otherwise(F.col("seq2"))
     flipped = (F.col("strand") == "-") == (F.col("mate") == 1)
@@ -161,9 +176,11 @@ def placed(found: DataFrame, pairs: DataFrame, chunks: DataFrame, size: int = 10
     ).drop("seq1", "seq2")
     rows = rows.withColumn("chunk", F.floor(F.col("ref_pos") / size).cast("int"))
     rows = rows.join(chunks.select("chr_id", "chunk", "start", "sequence"), ["chr_id", "chunk"])
-    low = F.greatest(F.col("ref_pos") - F.col("read_pos") - reach, F.col("start"))
-    span = F.length("read") + 2 * reach
-    return rows.withColumn("_low", low).withColumn("_piece", F.substring("sequence", F.col("_low") - F.col("start") + 1, span)).drop("sequence")
+    before, after = _reach(mode)
+    first = F.col("ref_pos") - F.col("read_pos")
+    low = F.greatest(first - before, F.col("start"))
+    piece = F.substring("sequence", F.col("_low") - F.col("start") + 1, first + F.length("read") + after - F.col("_low"))
+    return rows.withColumn("_low", low).withColumn("_piece", piece).drop("sequence")
 
 
 _ALIGNED = ("pair_id", "strand", "mate", "chr_id", "ref_pos", "read_pos")
@@ -181,10 +198,10 @@ def exact(rows: DataFrame) -> DataFrame:
 
 
 def aligned(
-    found: DataFrame, pairs: DataFrame, chunks: DataFrame, size: int = 100_000, reach: int = 200, mode: str = "fast"
+    found: DataFrame, pairs: DataFrame, chunks: DataFrame, size: int = 100_000, mode: str = "fast"
 ) -> DataFrame:
     """Adds score, first, last, mismatches and indels to candidates; those given up are left out."""
-    rows = placed(found, pairs, chunks, size, reach)
+    rows = placed(found, pairs, chunks, size, mode)
     rows = rows.withColumn("a", _extension(mode)("_piece", F.col("ref_pos") - F.col("_low"), "read", "read_pos"))
     return rows.where("a.score is not null").select(
         *_ALIGNED, "a.score", (F.col("_low") + F.col("a.first")).alias("first"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import codec, quality
 from strandlake.operators import demux, dictionary, explore, graph, kmers, overlap, paired
-from strandlake.plans import file_queries, pair_queries
+from strandlake.plans import file_queries, mapping_queries, pair_queries
 from strandlake.plans.bridge import ADAPTORS_SQL, QUALITY_SQL, READS_SQL, adaptors, reads
 from strandlake.plans.lineage import cut
 from strandlake.plans.shipping import ship
@@ -257,7 +257,7 @@ QUERIES = {f.__name__: f for f in (
     adaptor_assign, adaptor_windows, adaptor_unmatched, set_intersection, overlap_pairs, overlap_degree, nw_score,
     nw_score_paired, overlap_scores, edge_clusters, cluster_sizes, demux_clusters, demux_sizes, demux_reads, demux_fastq,
     bucket_barcodes, percent_range_filter, length_histogram, length_stats, mate_range_join,
-)} | file_queries.QUERIES | pair_queries.QUERIES
+)} | file_queries.QUERIES | pair_queries.QUERIES | mapping_queries.QUERIES
 
 
 def _windows(k: int, source: str = "reads", starts: str | None = None, more: str = "", where: str = "") -> str:
@@ -387,4 +387,4 @@ WHERE count > c0 + 0.01 * cr AND count < c0 + 0.6 * cr AND mean_qual > q0 + 0.1
 FROM reads GROUP BY 1, 2""",
     "length_stats": f"""WITH {READS_SQL}
 SELECT count(*) AS n_reads, round(avg(length(sequence)), 6) AS mean_length, round(stddev_samp(length(sequence)), 6) AS sd_length FROM reads""",
-} | file_queries.ORACLE_SQL | pair_queries.ORACLE_SQL
+} | file_queries.ORACLE_SQL | pair_queries.ORACLE_SQL | mapping_queries.ORACLE_SQL

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.functions import alignment
+from strandlake.functions import alignment, mapping
 from strandlake.operators import demux, dictionary, explore, graph, kmers, overlap, paired
 from strandlake.plans.components import connected_components
 
@@ -90,14 +90,24 @@ def test_overlap_trimming():
     assert alignment.overlap("ACGT--", "ACGTTT", trim_trailing=False) == (6, 2)
 
 
+def seeded(ref, p, read, q):
+    found = mapping.extended([ref], [p], [read], [q])[0]
+    return None if found[0] < 0 else tuple(map(int, found))
+
+
+def fitted(ref, read):
+    found = mapping.fitted([ref], [read])[0]
+    return None if found[0] < 0 else tuple(map(int, found))
+
+
 def test_seeded_alignment():
     rng = random.Random(5)
     ref = "".join(rng.choices("ACGT", k=400))
-    assert alignment.seeded_alignment(ref, 160, ref[100:250], 60) == (0, 100, 250, 0, 0)
+    assert seeded(ref, 160, ref[100:250], 60) == (0, 100, 250, 0, 0)
     read = list(ref[100:250])
     read[10] = "A" if read[10] != "A" else "C"
-    assert alignment.seeded_alignment(ref, 160, "".join(read), 60) == (13, 100, 250, 1, 0)
-    assert alignment.seeded_alignment(ref, 160, "".join(rng.choices("ACGT", k=60)) + ref[160:190] + "".join(rng.choices("ACGT", k=60)), 60) is None
+    assert seeded(ref, 160, "".join(read), 60) == (13, 100, 250, 1, 0)
+    assert seeded(ref, 160, "".join(rng.choices("ACGT", k=60)) + ref[160:190] + "".join(rng.choices("ACGT", k=60)), 60) is None
 
 
 def test_overlap_pairs(spark):
@@ -217,10 +227,10 @@ def test_paired_alignment(spark):
 def test_fitted_alignment(spark):
     rng = random.Random(6)
     ref = "".join(rng.choices("ACGT", k=300))
-    assert alignment.fitted_alignment(ref, ref[50:200]) == (0, 50, 200, 0, 0)
-    assert alignment.fitted_alignment(ref, ref[50:100] + ref[101:200]) == (25, 50, 200, 0, 1)
-    assert alignment.fitted_alignment(ref, "".join(rng.choices("ACGT", k=100))) is None
-    assert alignment.fitted_alignment("", "A") is None
+    assert fitted(ref, ref[50:200]) == (0, 50, 200, 0, 0)
+    assert fitted(ref, ref[50:100] + ref[101:200]) == (25, 50, 200, 0, 1)
+    assert fitted(ref, "".join(rng.choices("ACGT", k=100))) is None
+    assert fitted("", "A") is None
     genome = spark.createDataFrame([(7, ref * 4)], "chr_id int, sequence string")
     assert paired.reference_slice(genome, 7, 3, 5).first()[0] == ref[3:8]
     mates = spark.createDataFrame([(0, "a", ref[10:160], "b", ref[140:290])], "pair_id long, name1 string, seq1 string, name2 string, seq2 string")
