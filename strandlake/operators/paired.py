@@ -152,7 +152,7 @@ def _extension(mode: str):
         out = pd.DataFrame(found, columns=["score", "first", "last", "mismatches", "indels"]).astype("Int32")
         return out.mask(out["score"] < 0).iloc[which].reset_index(drop=True)
 
-    return extend
+    return extend.asNondeterministic()  # else the test for nulls is pushed below, and everything is aligned twice
 
 
 def _reach(mode: str) -> tuple[Column, Column]:
