@@ -46,6 +46,20 @@ def sample_events(df: DataFrame, most: int = 100, seed: int = 0) -> DataFrame:
     return df.sample(False, most / n, seed) if n > most else df
 
 
+def hash_sample(df: DataFrame, *keys: str, most: int = 100) -> DataFrame:
+    """About ``most`` rows if there are more: those whose key has a small hash, the same ones each time and on any cluster.
+
+    A row is chosen by the first 32 bits of the MD5 of its key (columns as text,
+    joined by commas; a null is empty), so rows of equal keys go together, and a
+    sample of more rows holds that of fewer. The threshold is floor(2^32 * most / n).
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    text = F.concat_ws(",", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return df.where(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") < (most << 32) // n)
+
+
 def histogram(df: DataFrame, column: str, width: float, low: float = 0.0) -> DataFrame:
     """(bin, lower, count): bin is ``floor((value - low) / width)``."""
     index = F.floor((F.col(column) - low) / width).cast("long")

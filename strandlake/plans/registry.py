@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import codec, quality
-from strandlake.operators import demux, dictionary, explore, graph, kmers, overlap, paired
+from strandlake.operators import demux, dictionary, explore, forest, graph, kmers, overlap, paired
 from strandlake.plans import file_queries, mapping_queries, pair_queries
 from strandlake.plans.bridge import ADAPTORS_SQL, QUALITY_SQL, READS_SQL, adaptors, reads
 from strandlake.plans.lineage import cut
@@ -181,6 +181,32 @@ def edge_clusters(spark, sf_dir):
     return graph.with_seed_distance(graph.linkage_clusters(edges, 60), edges)
 
 
+#: Cutoffs of the queries over one forest.
+CUTOFFS, PROFILE = (10, 30, 60), tuple(range(0, 105, 5))
+
+
+def _forest(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    edges = cut(_edges(spark, sf_dir))
+    return forest.minimum_forest(edges), edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+
+
+def cutoff_clusters(spark, sf_dir):
+    """Single-linkage clusters at several cutoffs from one minimum spanning forest."""
+    tree, nodes = _forest(spark, sf_dir)
+    return forest.clusters_at(tree, list(CUTOFFS), nodes).select(F.col("cutoff").cast("long").alias("cutoff"), "node", "component")
+
+
+def linkage_profile(spark, sf_dir):
+    """Number of those clusters at every fifth cutoff."""
+    tree, nodes = _forest(spark, sf_dir)
+    return forest.cluster_counts(tree, nodes.count(), list(PROFILE)).select(F.col("cutoff").cast("long").alias("cutoff"), F.col("n_clusters").cast("long").alias("n_clusters"))
+
+
+def read_sample(spark, sf_dir):
+    """About 100 reads, the same each time."""
+    return explore.hash_sample(reads(spark, sf_dir), "read_id", most=100)
+
+
 def cluster_sizes(spark, sf_dir):
     """Sizes of those clusters."""
     return graph.component_sizes(graph.linkage_clusters(_edges(spark, sf_dir), 60))
@@ -255,7 +281,7 @@ QUERIES = {f.__name__: f for f in (
     top_kmers, kmer_count, kmer_quality, kmer_table_csv, kmer_compat, kmer_variability, kmer_positions, prefix_kmer_count,
     wide_codes, read_errors, pattern_quality, reverse_complement, read_quality, alignment_probability, barcode_frequency,
     adaptor_assign, adaptor_windows, adaptor_unmatched, set_intersection, overlap_pairs, overlap_degree, nw_score,
-    nw_score_paired, overlap_scores, edge_clusters, cluster_sizes, demux_clusters, demux_sizes, demux_reads, demux_fastq,
+    nw_score_paired, overlap_scores, cutoff_clusters, linkage_profile, read_sample, edge_clusters, cluster_sizes, demux_clusters, demux_sizes, demux_reads, demux_fastq,
     bucket_barcodes, percent_range_filter, length_histogram, length_stats, mate_range_join,
 )} | file_queries.QUERIES | pair_queries.QUERIES | mapping_queries.QUERIES
 
@@ -302,6 +328,22 @@ weighted AS (
 edges AS (SELECT src AS u, dst AS v FROM weighted WHERE distance < 60),
 nodes AS (SELECT src AS node FROM weighted UNION SELECT dst FROM weighted),{_COMPONENTS}
 """
+
+
+def _many(cutoffs) -> str:
+    """The components of those edges at several cutoffs, as one graph with a copy of the nodes for each."""
+    values = ", ".join(f"({c})" for c in cutoffs)
+    graph_ = _EDGES.replace(
+        "edges AS (SELECT src AS u, dst AS v FROM weighted WHERE distance < 60)",
+        f"cutoffs AS (SELECT * FROM (VALUES {values}) x(cutoff)),\n"
+        "edges AS (SELECT src + cutoff * 1000000000000 AS u, dst + cutoff * 1000000000000 AS v FROM weighted, cutoffs WHERE distance < cutoff)",
+    ).replace(
+        "nodes AS (SELECT src AS node FROM weighted UNION SELECT dst FROM weighted)",
+        "nodes AS (SELECT node + cutoff * 1000000000000 AS node FROM (SELECT src AS node FROM weighted UNION SELECT dst FROM weighted), cutoffs)",
+    )
+    return graph_.rstrip() + ", labelled AS (SELECT node // 1000000000000 AS cutoff, node, label FROM lab)"
+
+
 ORACLE_SQL = {
     "top_kmers": f"""WITH {READS_SQL}, c AS (SELECT kmer AS label, count(*) AS count FROM {_windows(10)} GROUP BY kmer)
 SELECT CAST({_code('label', 10)} AS BIGINT) AS id, label, count FROM c ORDER BY count DESC, id LIMIT 20""",
@@ -363,6 +405,10 @@ SELECT r.read_id AS read, count(p.read2) AS n_matches FROM reads r LEFT JOIN p O
     "edge_clusters": f"""{_EDGES}
 SELECT label AS seed, node AS member, CASE WHEN node = label THEN 0 ELSE distance END AS distance
 FROM lab LEFT JOIN weighted ON src = label AND dst = node""",
+    "cutoff_clusters": _many(CUTOFFS) + " SELECT DISTINCT cutoff, node - cutoff * 1000000000000 AS node, label - cutoff * 1000000000000 AS component FROM labelled",
+    "linkage_profile": _many(PROFILE) + " SELECT cutoff, count(DISTINCT label) AS n_clusters FROM labelled GROUP BY cutoff",
+    "read_sample": f"""WITH {READS_SQL} SELECT read_id, sequence FROM reads, (SELECT count(*) AS n FROM reads)
+WHERE n <= 100 OR CAST('0x' || substr(md5(CAST(read_id AS VARCHAR)), 1, 8) AS BIGINT) < (100 * 4294967296) // n""",
     "cluster_sizes": f"{_EDGES} SELECT label AS leader, count(*) AS size FROM lab GROUP BY label",
     "run_summary": f"""{_DEMUX} SELECT count(*) AS n_reads, CAST(count(*) FILTER (contains(sequence, 'N')) AS BIGINT) AS n_bad, CAST(sum(length(sequence)) AS BIGINT) AS n_bases,
   (SELECT count(DISTINCT kmer) FROM km) AS n_kmers, (SELECT count(DISTINCT label) FROM lab) AS n_clusters FROM reads""",
