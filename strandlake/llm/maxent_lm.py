@@ -102,7 +102,7 @@ def _counts(batches):
         return pa.table({"token": words.cast(pa.string()), "ending": ending, "count": table.column("count")}).to_batches()
 
     for batch in batches:
-        for piece in pieces(batch, "text", 6_000_000):
+        for piece in pieces(batch, "text", 3_000_000):
             words, sizes = split(piece.column("text"), SPACED)
             found = pc.value_counts(words)
             held.append(pa.table({"token": found.field("values"), "count": found.field("counts")}))
@@ -227,7 +227,7 @@ def _trained(model: Model):
         shares = [np.exp(model.bias) / np.exp(model.bias).sum(), np.full(WORDS, 1 / WORDS)]
         expected = [(s[:, None] * share[None, :]).astype(np.float32) for s, share in zip(model.seen, shares, strict=True)]
         for batch in batches:
-            for piece in pieces(batch, "text", 4_000_000):
+            for piece in pieces(batch, "text"):
                 words, sizes = split(piece.column("text"), SPACED)
                 for _, tokens, hashes in _blocks(model.ids(words)[0], sizes, BLOCK):
                     classes, head = _split_ids(tokens)
@@ -372,7 +372,7 @@ def _scores(model: Model):
         listed = np.log10(np.append(model.count, 0) + 0.5)
         end = np.log10(model.end_count + 0.5)
         for batch in batches:
-            for piece in pieces(batch, "text", 4_000_000):
+            for piece in pieces(batch, "text"):
                 words, sizes = split(piece.column("text"), SPACED)
                 ids, place = model.ids(words)
                 found = _summed(log_chances(model, ids, sizes), sizes + 1)
