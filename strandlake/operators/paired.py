@@ -9,6 +9,9 @@ pair is an aggregate (minimum of a struct), not a sort.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,25 +135,37 @@ def within_reach(found: DataFrame, reach: int = MATE_RANGE) -> DataFrame:
     return near.where(F.col("_below") | F.col("_above")).drop("_below", "_above")
 
 
+#: Alignments that a task remembers.
+REMEMBERED = 200_000
+
+
 def _extension(mode: str):
-    """Arrow function (piece, seed's place in it, read, seed's place in the read) -> alignment or nulls; equal rows of a batch are aligned once."""
+    """Arrow function (piece, seed's place in it, read, seed's place in the read) -> alignment or nulls.
+
+    Copies in the genome give a read the same piece again and again, so a task
+    remembers what it has aligned, up to a bound.
+    """
     if mode not in ("fast", "accurate"):
         raise ValueError("mode is fast or accurate")
 
     limits = (GAP, MISMATCH, MAX_MISMATCHES, MAX_INDELS)
 
     @F.pandas_udf("score int, first int, last int, mismatches int, indels int")
-    def extend(piece: pd.Series, at: pd.Series, read: pd.Series, read_pos: pd.Series) -> pd.DataFrame:
-        rows = pd.DataFrame({"piece": piece, "read": read} | ({"at": at, "read_pos": read_pos} if mode == "fast" else {}))
-        which = rows.groupby(list(rows.columns), sort=False).ngroup().to_numpy()
-        once = rows.iloc[pd.Series(which).drop_duplicates().index]
-        pieces, reads = once["piece"].tolist(), once["read"].tolist()
-        if mode == "accurate":
-            found = fitted(pieces, reads, *limits)
-        else:
-            found = extended(pieces, once["at"].to_numpy(), reads, once["read_pos"].to_numpy(), WIDTH, *limits)
-        out = pd.DataFrame(found, columns=["score", "first", "last", "mismatches", "indels"]).astype("Int32")
-        return out.mask(out["score"] < 0).iloc[which].reset_index(drop=True)
+    def extend(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple, int] = {}
+        rows = np.empty((0, 5), np.int64)
+        for piece, at, read, read_pos in batches:
+            if len(known) > REMEMBERED:
+                known, rows = {}, rows[:0]
+            asked = list(zip(piece, read, at, read_pos, strict=True) if mode == "fast" else zip(piece, read, strict=True))
+            new = [k for k in dict.fromkeys(asked) if k not in known]
+            if new:
+                pieces, reads, *places = map(list, zip(*new, strict=True))
+                found = extended(pieces, places[0], reads, places[1], WIDTH, *limits) if places else fitted(pieces, reads, *limits)
+                known |= {k: len(rows) + i for i, k in enumerate(new)}
+                rows = np.concatenate([rows, found])
+            out = pd.DataFrame(rows[[known[k] for k in asked]], columns=["score", "first", "last", "mismatches", "indels"]).astype("Int32")
+            yield out.mask(out["score"] < 0)
 
     return extend.asNondeterministic()  # else the test for nulls is pushed below, and everything is aligned twice
 
