@@ -216,7 +216,8 @@ def aligned(
     found: DataFrame, pairs: DataFrame, chunks: DataFrame, size: int = 100_000, mode: str = "fast"
 ) -> DataFrame:
     """Adds score, first, last, mismatches and indels to candidates; those given up are left out."""
-    rows = placed(found, pairs, chunks, size, mode)
+    # a pair's candidates come together, as its copies have equal pieces; large pairs are split
+    rows = placed(found, pairs, chunks, size, mode).hint("rebalance", "pair_id")
     rows = rows.withColumn("a", _extension(mode)("_piece", F.col("ref_pos") - F.col("_low"), "read", "read_pos"))
     return rows.where("a.score is not null").select(
         *_ALIGNED, "a.score", (F.col("_low") + F.col("a.first")).alias("first"),
