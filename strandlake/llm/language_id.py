@@ -38,8 +38,8 @@ from strandlake.plans.lineage import cut, spent
 TRAIN_CHARS, TOTAL_CHARS, SYMBOLS, LANE = 60_000, 900_000, 56, 1024
 #: Of the alphabet, the symbols shared by letters that have none of their own.
 HASHED = 16
-#: Languages with fewer training documents than this are left out; the most languages, and the documents and characters of each looked at.
-MIN_DOCS, LANGUAGES, TRAIN_DOCS, DOC_CHARS = 3, 300, 600, 15_000
+#: Languages with fewer training documents than this are left out; the documents of a language and characters of each looked at.
+MIN_DOCS, TRAIN_DOCS, DOC_CHARS = 3, 600, 15_000
 UNKNOWN = "und"
 
 
@@ -202,19 +202,21 @@ class Model:
 def samples_of(docs: DataFrame, modulus: int, held_out: int) -> dict[str, list[str]]:
     """Training texts of each language: documents of any length, first by a hash of the id.
 
-    Bounded by the LANGUAGES with the most documents, and for each by TRAIN_DOCS
-    documents, the first DOC_CHARS characters of a document and TRAIN_CHARS in
-    all (TOTAL_CHARS over all languages): sizes are summed before any text moves
-    to the driver. Equal texts count once.
+    Every language with MIN_DOCS training documents that have a letter is learnt,
+    however many languages there are and however many of its rows are null, empty
+    or held out. Bounded for each by TRAIN_DOCS documents, the first DOC_CHARS
+    characters of a document and TRAIN_CHARS in all (TOTAL_CHARS over all
+    languages, and a third of a language's part of that for a document): sizes
+    are summed before any text moves to the driver. Equal texts count once.
     """
     known = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
         F.substring(F.col("text").cast("string"), 1, DOC_CHARS).alias("text"),
-    ).where("lang is not null and doc_id is not null and length(text) > 0")
+    ).where("lang is not null and doc_id is not null").where(F.col("text").rlike("\\p{L}"))
     known = known.where(F.pmod(fold(), F.lit(modulus)) != held_out)
     # a language's documents are thinned by their hash to about twice what is wanted, so no task sorts more than that
-    per = docs.select(F.col("lang").cast("string").alias("lang")).where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"))
-    wide = per.where(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    per = known.groupBy("lang").agg(F.count("*").alias("n"))
+    wide = per.where(F.col("n") >= MIN_DOCS).collect()
     if not wide:
         return {}
     least = [(r["lang"], min(2 * TRAIN_DOCS / r["n"], 1.0)) for r in wide]
@@ -225,9 +227,10 @@ def samples_of(docs: DataFrame, modulus: int, held_out: int) -> dict[str, list[s
     names = sorted(r["lang"] for r in few.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS).collect())
     chosen: dict[str, dict[int, int]] = {}
     if names:
-        most = min(TRAIN_CHARS, TOTAL_CHARS // len(names))
+        most = min(TRAIN_CHARS, max(TOTAL_CHARS // len(names), MIN_DOCS))
+        clip = min(DOC_CHARS, max(most // MIN_DOCS, 1))
         running = Window.partitionBy("lang").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-        enough = few.where(F.col("lang").isin(names)).withColumn("before", F.coalesce(F.sum("size").over(running), F.lit(0)))
+        enough = few.where(F.col("lang").isin(names)).withColumn("before", F.coalesce(F.sum(F.least("size", F.lit(clip))).over(running), F.lit(0)))
         for r in enough.where((F.col("before") < most) | (F.col("r") <= MIN_DOCS)).select("lang", "doc_id", "r").collect():
             chosen.setdefault(r["lang"], {})[r["doc_id"]] = r["r"]
     spent(few)
@@ -235,7 +238,7 @@ def samples_of(docs: DataFrame, modulus: int, held_out: int) -> dict[str, list[s
         return {}
     rows = [(name, i, r) for name, ids in chosen.items() for i, r in ids.items()]
     picked = docs.sparkSession.createDataFrame(rows, "lang string, doc_id long, r int")
-    texts = known.join(F.broadcast(picked), ["lang", "doc_id"]).select("lang", "r", "text").toPandas()
+    texts = known.join(F.broadcast(picked), ["lang", "doc_id"]).select("lang", "r", F.substring("text", 1, clip).alias("text")).toPandas()
     texts = texts.sort_values(["lang", "r", "text"]).drop_duplicates(["lang", "text"])
     return {name: list(group["text"]) for name, group in texts.groupby("lang")}
 

@@ -9,14 +9,16 @@
    so that padding every document to its bucket's bound costs least. A bound is
    the length of the longest document that it holds, never a bin's end.
 3. Inside a bucket, batches hold as many documents as the token budget admits at
-   the bucket's bound (one at least). Buckets are dealt by a hash of the id into
+   the bucket's bound (one at least). Buckets are dealt by a hash of id, length and text into
    shards of about ``SHARD`` documents, whose number follows from the histogram;
    batches form within a shard. No shard holds a hot bucket, and a shard leaves
    at most one batch that is not full.
 
 Null and empty texts have length 0 and a bucket of their own at bound 0. Every
-row is kept, repeated rows and rows of a null id too. The shards' order is by a
-hash of the id, then id and length, so equal rows are interchangeable. Other
+row is kept, repeated rows and rows of a null id too: documents of one id, or of
+none, are dealt by their texts, and only rows equal in both share a shard. The
+shards' order is by that hash, then id and length, so equal rows are
+interchangeable. Without a text column, id and length are hashed. Other
 columns are ignored, whatever their names; an empty table gives no rows.
 """
 
@@ -91,7 +93,8 @@ def pack(
     batch_id (text, unique over all batches) and slot (place in the batch).
     """
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (token_count() if length is None else length).alias("n_tokens")
+        F.col("doc_id").cast("long").alias("doc_id"), (token_count() if length is None else length).alias("n_tokens"),
+        (F.xxhash64(F.col("text").cast("string")) if "text" in docs.columns else F.lit(0).cast("long")).alias("_print"),
     )
     rows = rows.withColumn("_bin", bin_of(F.col("n_tokens")))
     found = rows.groupBy("_bin").agg(F.max("n_tokens").alias("top"), F.count("*").alias("n"), F.sum("n_tokens").alias("total")).collect()
@@ -106,7 +109,7 @@ def pack(
     def of(values):
         return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("bucket") + 1)
 
-    dealt = rows.withColumn("bucket", bucket.cast("int")).withColumn("_h", F.xxhash64("doc_id")).withColumn(
+    dealt = rows.withColumn("bucket", bucket.cast("int")).withColumn("_h", F.xxhash64("doc_id", "n_tokens", "_print")).withColumn(
         "_shard", F.pmod(F.col("_h"), of(shards)).cast("int")
     )
     by = Window.partitionBy("bucket", "_shard").orderBy("_h", "doc_id", "n_tokens")

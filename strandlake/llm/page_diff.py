@@ -10,12 +10,13 @@
    last page of a range also goes to the next one and the first to the one
    before, so every page sees both its neighbours.
 3. All lines that stand in no such element are aligned with the neighbour's by
-   longest common subsequence; shared lines are deleted, in articles too. A range
-   is sorted and streamed, so a task holds three pages at a time.
+   longest common subsequence; shared lines are deleted. A range is sorted and
+   streamed, so a task holds three pages at a time.
 
-Pages that are copies of each other would lose the very text that is wanted: a
-neighbour that shares more than half the characters of the shorter article
-deletes none of an article's lines but those that are mostly links. If a page
+Articles repeat sentences of each other, so one neighbour is no evidence against
+an article's line: of these go lines that are mostly links, and those that both
+neighbours share (bylines, share bars). A neighbour that shares more than half the characters of the shorter article is
+a copy and deletes none but lines of links. If a page
 has an article, what stands outside is no content. A pair that shares all its
 lines tells template from text as little as a copy does, so the deletion is
 dropped if it would empty the page.
@@ -283,11 +284,15 @@ def main_text(lines: list[str], kinds: list[int], keys: list[int], neighbours: l
     has_own = OWN in kinds
     size = own_chars(lines, kinds)
     gone: set[int] = set()
+    agreed: list[set[int]] = []
     for other, other_size in neighbours:
         shared = shared_lines(keys, other)
-        if 2 * sum(len(lines[i]) for i in shared if kinds[i] == OWN) > min(size, other_size):  # a copy
-            shared = {i for i in shared if kinds[i] != OWN}
-        gone |= shared
+        own = {i for i in shared if kinds[i] == OWN}
+        copy = 2 * sum(len(lines[i]) for i in own) > min(size, other_size)
+        agreed.append(set() if copy else own)
+        gone |= shared - own
+    if len(agreed) > 1:
+        gone |= set.intersection(*agreed)
     inside = [i for i, k in enumerate(kinds) if k != OPEN or not has_own]
     keep = [i for i in inside if i not in gone]
     if not keep:
@@ -380,7 +385,7 @@ def _ranged(base: DataFrame, size: int) -> tuple[DataFrame, int]:
 
 
 def _met(ranged: DataFrame) -> DataFrame | None:
-    """(page_id, url, also): the pages at an end of a range and the ranges that they border on within their host."""
+    """(_id, _url, also): the pages at an end of a range, null ids too, and the ranges that they border on within their host."""
     place = F.struct(*_PLACE)
     ends = ranged.groupBy("part").agg(F.min(place).alias("first"), F.max(place).alias("last")).collect()
     ends.sort(key=lambda r: r["part"])
@@ -390,7 +395,7 @@ def _met(ranged: DataFrame) -> DataFrame | None:
             also.setdefault((one["last"]["page_id"], one["last"]["url"]), []).append(two["part"])
             also.setdefault((two["first"]["page_id"], two["first"]["url"]), []).append(one["part"])
     rows = [(i, u, p) for (i, u), p in also.items()]
-    return ranged.sparkSession.createDataFrame(rows, "page_id long, url string, also array<int>") if rows else None
+    return ranged.sparkSession.createDataFrame(rows, "_id long, _url string, also array<int>") if rows else None
 
 
 def extract(pages: DataFrame, big_host: int = BIG_HOST) -> DataFrame:
@@ -414,7 +419,8 @@ def extract(pages: DataFrame, big_host: int = BIG_HOST) -> DataFrame:
             F.array(F.struct("part", F.lit(False).alias("guest"))),
             F.transform(F.coalesce("also", F.array().cast("array<int>")), lambda p: F.struct(p.alias("part"), F.lit(True).alias("guest"))),
         )
-        dealt = ranged.join(F.broadcast(met), ["page_id", "url"], "left").withColumn("place", F.explode(places)).select(
+        at_end = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("url") == F.col("_url"))
+        dealt = ranged.join(F.broadcast(met), at_end, "left").withColumn("place", F.explode(places)).select(
             *[c for c in ranged.columns if c != "part"], "place.part", "place.guest"
         )
     # a range is a partition: hashed, several would meet in one

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -429,6 +430,32 @@ def test_markup():
     assert page_diff.blocks("<div>unclosed <span>text")[0][0] == "unclosed text"
 
 
+def test_rows_without_an_id_are_dealt_over_shards(spark):
+    docs = spark.range(20_000).select(
+        F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("one two "), F.col("id")).alias("text")
+    )
+    got = packing.pack(docs, n_buckets=1, budget=300)
+    assert got.count() == 20_000
+    shards = got.where("doc_id is null").groupBy(F.split("batch_id", "-")[1].alias("s")).count().collect()
+    assert len(shards) == 5 and max(r["count"] for r in shards) < 2_400
+
+
+def test_languages_beside_unusable_rows_are_learnt(spark):
+    """A language's null, empty, letterless and held-out rows don't count against its texts; no number of languages leaves one out."""
+    few = spark.createDataFrame(
+        [(i, "hei på deg og takk for sist", "no") for i in range(40)] + [(100 + i, "the words of an english text", "en") for i in range(40)],
+        "doc_id long, text string, lang string",
+    )
+    bare = spark.range(1_000, 201_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "12 34").alias("text"), F.lit("no").alias("lang"))
+    assert sorted(language_id.samples_of(few.union(bare), 4, 2)) == ["en", "no"]
+    many = spark.range(400 * 12).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id")).alias("text"), F.concat(F.lit("l"), (F.col("id") % 400).cast("string")).alias("lang")
+    )
+    usable = [sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(k, 400 * 12, 400)) for k in range(400)]
+    assert sum(n >= 3 for n in usable) > 300
+    assert {name: len(texts) for name, texts in language_id.samples_of(many, 4, 2).items()} == {f"l{k}": n for k, n in enumerate(usable) if n >= 3}
+
+
 def test_shared_lines_go(spark):
     def page(body):
         return f"<html><body><div>Home</div><div>About us</div><div>{body}</div><div>Imprint of the site</div></body></html>"
@@ -452,10 +479,20 @@ def test_shared_lines_of_articles_go(spark):
     rows += [(10 + i, f"https://copy.example.com/{i}", page(i // 3, bodies[0])) for i in range(5)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in page_diff.extract(pages).collect()}
-    assert all(got[i] == f"Story {i} {b}" for i, b in enumerate(bodies))
+    assert all(got[i] == f"Story {i} {b}" for i, b in enumerate(bodies) if 0 < i < 5)
+    # one neighbour is no evidence against an article's line
+    assert all(got[i] == f"Story {i} Sent to you by the desk {bodies[i]} All rights reserved" for i in (0, 5))
     assert all(bodies[0] in got[10 + i] for i in range(5))
 
 
+def test_pages_without_an_id_keep_their_neighbours(spark):
+    rows = [(None if i % 2 else i, f"https://h.example.com/{i:03d}", f"<div>Home</div><div>story {i}</div><div>Imprint</div>") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for big in (3, 1000):
+        got = page_diff.extract(pages, big_host=big).collect()
+        assert sorted(r.text for r in got) == sorted(f"story {i}" for i in range(60))
+
+
 @pytest.mark.parametrize("stride", [4, 64])
 def test_ranges_lose_no_neighbour(spark, monkeypatch, stride):
     monkeypatch.setattr(page_diff, "STRIDE", stride)
