@@ -35,8 +35,10 @@ def cluster_buckets(clusters: DataFrame, threshold: int = 1000, rest: str | None
 
     With ``rest`` None the others are left out.
     """
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    named = clusters.join(sizes, "component").select(
+    # a component may hold most reads: it is dealt out, and its size broadcast
+    sizes = cut(clusters.groupBy("component").agg(F.count("*").alias("size")))
+    met = lookup(clusters.select("node", "component"), sizes, "component", counts=sizes.select("component", F.col("size").alias("count")))
+    named = met.select(
         F.col("node").alias("read_id"),
         F.when(F.col("size") >= threshold, F.concat(F.lit("output"), F.col("component").cast("string")))
         .otherwise(F.lit(rest)).alias("bucket"),

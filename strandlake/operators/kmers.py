@@ -11,6 +11,8 @@ are chosen one too high (for clean reads that drops start 0).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +28,39 @@ def _kept(i: Column, k: int, compat: bool) -> Column:
     return ~((i > bad - k) & (i <= bad))
 
 
+def _bound(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made(value)`` with the value computed once, however often it is used: as a column it could be inlined in every use."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
+def _sliding(values: Column, k: int, op: Callable[[Column, Column], Column]) -> Column:
+    """``op`` over each ``k`` neighbours of an array, by their first; null where fewer follow.
+
+    Windows of doubled width are made of two, and that of ``k`` of those of its
+    binary digits, so a read takes about 2 log2(k) passes and not ``k``.
+    """
+    def beside(one: Column, two: Column, by: int) -> Column:
+        return F.zip_with(one, F.slice(two, F.lit(by + 1), F.size(two)), op)
+
+    def widened(v: Column, width: int, rest: int, done: Column | None, covered: int) -> Column:
+        if rest & 1:
+            done, covered = v if done is None else beside(done, v, covered), covered + width
+        if rest == 1:
+            return done
+        return _bound(beside(v, v, width), lambda w: widened(w, 2 * width, rest >> 1, done, covered))
+
+    return _bound(values, lambda v: widened(v, 1, k, None, 0))
+
+
 def windows(
     reads: DataFrame, k: int, prefix: int | None = None, inclusive: bool | None = None, step: int = 1, clean: bool = True,
-    compat: bool = False,
+    compat: bool = False, beside: tuple[Column, Callable[[Column, Column], list[Column]]] | None = None,
 ) -> DataFrame:
     """Adds pos (0-based) and kmer to the columns of ``reads``, one row per window.
 
+    ``beside`` is a value made once a read, and a function of it and a start that
+    gives further fields of the window there.
+
     ``prefix`` limits starts to windows of the first so many bases: starts
     ``0 .. prefix - k - 1``, or one more with ``inclusive``; reads shorter than
     the prefix have none. Without it, starts go to ``length - k`` (``inclusive``,
@@ -42,13 +71,18 @@ def windows(
         inclusive = prefix is None and not compat
     last = (n if prefix is None else F.lit(prefix)) - k - (0 if inclusive else 1)
     enough = (last >= 0) & (n >= (k if prefix is None else prefix))
-    made = F.transform(
-        F.sequence(F.lit(0), last, F.lit(step)),
-        lambda i: F.struct(i.alias("pos"), F.upper(F.substring("sequence", i + 1, F.lit(k))).alias("kmer")),
-    )
+
+    def at(value: Column | None) -> Column:
+        more = beside[1] if beside else lambda value, i: []
+        return F.transform(
+            F.sequence(F.lit(0), last, F.lit(step)),
+            lambda i: F.struct(i.alias("pos"), F.upper(F.substring("sequence", i + 1, F.lit(k))).alias("kmer"), *more(value, i)),
+        )
+
+    made = _bound(beside[0], at) if beside else at(None)
     if compat:
         made = F.filter(made, lambda w: _kept(w["pos"], k, True))
-        made = F.transform(made, lambda w: F.struct(w["pos"].alias("pos"), F.regexp_replace(w["kmer"], "[^ACGT]", "T").alias("kmer")))
+        made = F.transform(made, lambda w: w.withField("kmer", F.regexp_replace(w["kmer"], "[^ACGT]", "T")))
     elif clean:  # most reads are clean as a whole, which is tested once and not for each window
         made = F.when(codec.is_clean("sequence"), made).otherwise(F.filter(made, lambda w: ~w["kmer"].rlike("[^ACGT]")))
     return reads.where(enough).select(*reads.columns, F.inline(made))
@@ -61,11 +95,25 @@ def kmer_counts(reads: DataFrame, k: int, **how) -> DataFrame:
 
 
 def window_quality(reads: DataFrame, k: int, **how) -> DataFrame:
-    """(read_id, pos, kmer, qual, acc) of every window: mean score and probability of no error."""
-    rows = reads.select("read_id", "sequence", quality.phred("quality").alias("_scores"))
-    part = F.slice("_scores", F.col("pos") + 1, F.lit(k))
-    made = windows(rows, k, **how).withColumn("_w", part)
-    return made.select("read_id", "pos", "kmer", quality.mean("_w").alias("qual"), quality.accuracy("_w").alias("acc"))
+    """(read_id, pos, kmer, qual, acc) of every window: mean score and probability of no error.
+
+    All windows of a read are summed and multiplied together by :func:`_sliding`;
+    a window that the quality string doesn't cover is taken over what there is.
+    """
+    right = _bound(quality.phred("quality"), lambda q: F.struct(
+        q.alias("scores"), _sliding(q, k, lambda a, b: a + b).alias("sums"),
+        _sliding(F.transform(q, lambda x: 1 - F.pow(F.lit(10.0), -x / F.lit(10.0))), k, lambda a, b: a * b).alias("right"),
+    ))
+
+    def fields(v: Column, i: Column) -> list[Column]:
+        part = F.slice(v["scores"], i + 1, F.lit(k))
+        return [
+            F.coalesce(F.get(v["sums"], i) / F.lit(k), quality.mean(part)).alias("qual"),
+            F.coalesce(F.get(v["right"], i), quality.accuracy(part)).alias("acc"),
+        ]
+
+    made = windows(reads.select("read_id", "sequence", "quality"), k, beside=(right, fields), **how)
+    return made.select("read_id", "pos", "kmer", "qual", "acc")
 
 
 def kmer_statistics(reads: DataFrame, k: int, **how) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -242,3 +243,18 @@ def test_fitted_alignment(spark):
     assert paired.Aligner(2).pass_reference_genome(one).index().count() == 10
     with pytest.raises(ValueError):
         dictionary.check_spread(spark.createDataFrame([(0, "a", "AC"), (1, "b", "ACACACAC")], "adaptor_idx int, name string, bases string"))
+
+
+def test_window_quality_of_every_size(spark):
+    """Against sums and products one by one; quality strings may be shorter than the read, empty or null."""
+    rows = [(0, "ACGTACGTACGTACGTACGTACGTACGTACGTACGTACG", "".join(chr(35 + i) for i in range(39))), (1, "ACGTACG", "IIII"), (2, "ACGTACG", ""), (3, "ACGTACG", None)]
+    frame = spark.createDataFrame(rows, "read_id long, sequence string, quality string")
+    for k in (1, 2, 3, 7, 10, 32):
+        got = {(r.read_id, r.pos): (r.kmer, r.qual, r.acc) for r in kmers.window_quality(frame, k).collect()}
+        assert len(got) == sum(max(len(s) - k + 1, 0) for _, s, _ in rows)
+        for (read_id, pos), (kmer, qual, acc) in got.items():
+            _, sequence, quality = rows[read_id]
+            scores = [ord(c) - 33 for c in (quality or "")[pos : pos + k]]
+            assert kmer == sequence[pos : pos + k]
+            assert qual == pytest.approx(sum(scores) / len(scores) if scores else -1)
+            assert acc == pytest.approx(math.prod(1 - 10 ** (-x / 10) for x in scores) if scores else -1)
