@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -665,6 +666,52 @@ def test_near_variants_of_every_long_template(spark):
         assert got[2 * k + 1].license is None, name
 
 
+BSD_FILE = """Copyright (c) 2019, A. Writer
+All rights reserved here by nobody.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+
+
+def test_whole_licence_files_are_named_right(spark):
+    """A file of a licence, wrapped, under a copyright line, is named by its own licence although others are much alike."""
+    whole = {}
+    for name, text in licenses.TEMPLATES:
+        if len(licenses.bigrams(text)) >= 25:
+            whole[name] = max(whole.get(name, ""), text, key=len)
+    assert {"BSD-2-Clause", "BSD-3-Clause", "MIT", "MIT-0", "ISC", "0BSD", "PostgreSQL", "Unlicense", "WTFPL", "Zlib", "LGPL-2.1", "LGPL-3.0"} <= set(whole)
+    third = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    texts = {f"{n} file": f"Copyright (c) 2020 A. Writer\n\n{textwrap.fill(t, 72)}\n" for n, t in whole.items()}
+    texts |= {"BSD-2-Clause own": BSD_FILE.format(third=""), "BSD-3-Clause own": BSD_FILE.format(third=third)}
+    names = list(texts)
+    docs = spark.createDataFrame([(i, texts[n]) for i, n in enumerate(names)], "doc_id long, text string")
+    got = {names[r.doc_id]: r.license for r in licenses.scan(docs).collect()}
+    assert got == {n: n.split()[0] for n in names}
+
+
 def test_bounds_and_telling_words():
     for n in range(1, 60):
         low, high = licenses._bounds(n, 0.8)
