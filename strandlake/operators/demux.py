@@ -1,8 +1,9 @@
 """Unsupervised demultiplexing: reads that share a prefix k-mer belong together.
 
-Reads and k-mers form a bipartite graph, one edge per read and k-mer; its
-components are those of the read graph without any pair of reads being made, so
-a k-mer that a third of all reads share costs one edge each.
+Reads of equal prefix k-mers are of one kind, and the smallest stands for it. Kinds
+and k-mers form a bipartite graph, one edge per kind and k-mer; its components
+are those of the read graph without any pair of reads being made. There are no
+more kinds than different prefixes, so the rounds don't grow with the reads.
 """
 
 from __future__ import annotations
@@ -10,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.functions.codec import encode
+from strandlake.functions.codec import encode, is_clean
 from strandlake.operators.kmers import windows
 from strandlake.plans.components import connected_components
-from strandlake.plans.lineage import cut
+from strandlake.plans.lineage import cut, total
 from strandlake.plans.skew import lookup
 
 
@@ -21,13 +22,24 @@ def demux_clusters(reads: DataFrame, width: int = 12, k: int = 10, inclusive: bo
     """(node, component) of every read; reads shorter than ``width`` are alone."""
     if width <= k:
         raise ValueError("width must be larger than k")
-    rows = windows(reads.select("read_id", "sequence"), k, prefix=width, inclusive=inclusive).select("read_id", "kmer")
-    rows = rows.select("read_id", encode("kmer").alias("kmer") if k <= 31 else "kmer")
-    heads = cut(rows.groupBy("kmer").agg(F.min("read_id").alias("head"), F.count("*").alias("count")))
-    # every read of a k-mer is tied to the smallest: components stay the same, and k-mers need no node
-    tied = lookup(rows, heads.select("kmer", "head"), "kmer", counts=heads.select("kmer", "count"))
-    edges = tied.select(F.col("read_id").alias("src"), F.col("head").alias("dst"))
-    return connected_components(edges, reads.select(F.col("read_id").alias("node")))
+    last, n = width - k - (0 if inclusive else 1), F.length("sequence")
+    made = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda i: F.upper(F.substring("sequence", i + 1, F.lit(k))))
+    made = F.transform(F.filter(made, is_clean), lambda w: encode(w) if k <= 31 else w)
+    rows = reads.where("read_id is not null").select("read_id", F.when(n >= width, made).otherwise(F.slice(made, 1, 0)).alias("kmers"))
+    # a read is a row, repeated ids too; the texts aren't read again
+    rows = cut(rows.groupBy("read_id").agg(F.array_distinct(F.flatten(F.collect_set("kmers"))).alias("kmers")))
+    kinds = rows.where(F.size("kmers") > 0).groupBy("kmers").agg(F.min("read_id").alias("id"), F.count("*").alias("count"))
+    kinds = cut(kinds)
+    each = kinds.select("id", F.explode("kmers").alias("kmer"))
+    heads = cut(each.groupBy("kmer").agg(F.min("id").alias("head"), F.count("*").alias("count")))
+    # every kind of a k-mer is tied to the smallest: components stay the same, and k-mers need no node
+    tied = lookup(each, heads.select("kmer", "head"), "kmer", counts=heads.select("kmer", "count"))
+    found = connected_components(tied.select(F.col("id").alias("src"), F.col("head").alias("dst")))
+    labels = cut(kinds.join(found, kinds["id"] == found["node"]).select("kmers", "component"))
+    some = rows.where(F.size("kmers") > 0)
+    named = lookup(some, labels, "kmers", counts=kinds.select("kmers", "count")) if total(kinds) else some.withColumn("component", F.col("read_id"))
+    alone = rows.where(F.size("kmers") == 0).select(F.col("read_id").alias("node"), F.col("read_id").alias("component"))
+    return named.select(F.col("read_id").alias("node"), "component").unionByName(alone)
 
 
 def cluster_buckets(clusters: DataFrame, threshold: int = 1000, rest: str | None = "ungrouped") -> DataFrame:
