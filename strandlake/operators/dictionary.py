@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.functions import codec
+from strandlake.functions import codec, minimizers
 from strandlake.operators.kmers import windows
 from strandlake.plans.lineage import cut
+from strandlake.plans.shipping import ship
 
 #: Rows up to which a dictionary is broadcast, after counting them, and keys up to which it is looked up within the row.
 BROADCAST_ROWS, LITERAL_KEYS = 100_000, 2_000
@@ -99,22 +102,51 @@ def _hits(few: list, longest: bool) -> tuple[Column, Column]:
     return F.filter(F.transform(starts, find), lambda h: h["adaptor_idx"].isNotNull()), F.length("_s") >= shortest
 
 
+def _found(reads: DataFrame, few: list, longest: bool) -> DataFrame:
+    """(read_id, pos, adaptor_idx): keys of up to 31 bases looked up by their numbers in all windows of a batch together."""
+    keys = {}
+    for r in few:
+        code = int(r["bases"].translate(str.maketrans(codec.BASES, codec.DIGITS)), 4)
+        keys.setdefault(len(r["bases"]), []).append((code, r["adaptor_idx"]))
+    tables = {n: tuple(np.array(x, np.int64) for x in zip(*sorted(v), strict=True)) for n, v in keys.items()}
+
+    def run(batches):
+        for batch in batches:
+            ids, made = batch.column(0), []
+            for n, (text, pos, code) in zip(tables, minimizers.words(batch.column(1), list(tables)), strict=True):
+                codes, idx = tables[n]
+                at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                hit = codes[at] == code
+                made.append((text[hit], pos[hit], idx[at[hit]], np.full(int(hit.sum()), -n if longest else 0)))
+            text, pos, idx, size = map(np.concatenate, zip(*made, strict=True))
+            order = np.lexsort([idx, size, pos, text])
+            text, pos, idx = text[order], pos[order], idx[order]
+            first = np.ones(len(text), bool)
+            first[1:] = (text[1:] != text[:-1]) | (pos[1:] != pos[:-1])
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(text[first])), pa.array(pos[first].astype(np.int32)), pa.array(idx[first])], names=["read_id", "pos", "adaptor_idx"]
+            )
+
+    ship(reads.sparkSession)
+    kind = reads.schema["read_id"].dataType.simpleString()
+    plain = reads.select("read_id", F.regexp_replace("sequence", "[^ACGTacgt]", "N").alias("sequence"))
+    return plain.mapInArrow(run, f"read_id {kind}, pos int, adaptor_idx long")
+
+
 def window_matches(reads: DataFrame, dictionary: DataFrame, longest: bool = False) -> DataFrame:
     """(read_id, pos, adaptor_idx): the key that is a prefix of the read from ``pos``.
 
     If several are, the smallest adaptor_idx wins, or the longest key with
-    ``longest``. A dictionary of at most LITERAL_KEYS keys is looked up within
-    the row, by an array of the keys that begin with the same bases; only hits
-    leave the row. A larger one is joined on the windows.
+    ``longest``. A dictionary of at most LITERAL_KEYS keys is looked up by
+    their numbers, a batch of reads at a time; only hits leave the batch. A larger one is joined on the windows.
     """
     keys = valid_keys(dictionary).groupBy("bases").agg(F.min("adaptor_idx").cast("long").alias("adaptor_idx"))
     few = keys.limit(LITERAL_KEYS + 1).collect()
     rows = reads.select("read_id", F.upper("sequence").alias("_s"))
     if not few:
         return rows.select("read_id", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("adaptor_idx")).limit(0)
-    if len(few) <= LITERAL_KEYS:
-        hits, enough = _hits(few, longest)
-        return rows.where(enough).select("read_id", F.inline(hits))
+    if len(few) <= LITERAL_KEYS and max(len(r["bases"]) for r in few) <= 31:
+        return _found(reads, few, longest)
     lengths = sorted(r[0] for r in keys.select(F.length("bases")).distinct().collect())
     out = None
     for n in lengths:
