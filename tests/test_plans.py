@@ -24,6 +24,15 @@ def test_lookup_equals_a_left_join(spark):
         assert {tuple(r) for r in got} == {(i, k, *known.get(k, (None, None))) for i, k in rows}
 
 
+def test_lookup_by_arrays_of_which_some_are_hot(spark):
+    draw = random.Random(4)
+    rows = [(i, draw.choice([[5, 2**40]] * 6 + [[7]] * 4 + [[], None, [1, 2], [7, 7]])) for i in range(600)]
+    known = {(5, 2**40): "a", (7,): "b", (): "c", (1, 2): "d"}
+    left, right = spark.createDataFrame(rows, "i int, k array<long>"), spark.createDataFrame([(list(k), v) for k, v in known.items()], "k array<long>, v string")
+    got = lookup(left, right, "k", share=4, least=10).collect()
+    assert sorted((r.i, r.v) for r in got) == [(i, known.get(None if k is None else tuple(k))) for i, k in rows]
+
+
 @pytest.mark.parametrize("hub", [False, True])
 def test_components_against_union_find(spark, hub, monkeypatch):
     monkeypatch.setattr("strandlake.plans.skew.lookup.__defaults__", (None, None, 4, 20, None))
